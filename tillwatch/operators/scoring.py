@@ -196,21 +196,24 @@ def machine_profile(tx: DataFrame, cash: DataFrame) -> DataFrame:
     return balances.join(volumes, "atm_id")
 
 
-def predictions(feats: DataFrame, as_of, heads: dict[str, Column] | None = None) -> DataFrame:
-    """One prediction record per machine: figures, the four heads and the history series.
+def newest_with_series(feats: DataFrame, as_of) -> DataFrame:
+    """Newest feature row, week and months of each machine.
 
-    Newest row, week and months come from one aggregation over the features, on the
-    partitioning the features already have.
+    All three come from one aggregation over the features, on the partitioning the features
+    already have.
     """
-    heads = heads or formula_heads(feats.columns)
     newest = F.max_by(F.struct(*[c for c in feats.columns if c != "atm_id"]), F.struct(*_NEWEST))
     rows = feats.groupBy("atm_id").agg(
         newest.alias("_row"),
         F.array(*week_slots(as_of)).alias("weekly_txns"),
         F.array(*month_errors(as_of)).alias("monthly_inactive"),
     )
-    latest = rows.select("atm_id", "_row.*", "weekly_txns", "monthly_inactive")
-    return finish_record(latest, as_of, heads)
+    return rows.select("atm_id", "_row.*", "weekly_txns", "monthly_inactive")
+
+
+def predictions(feats: DataFrame, as_of) -> DataFrame:
+    """One prediction record per machine: figures, the four formula heads and the history series."""
+    return finish_record(newest_with_series(feats, as_of), as_of, formula_heads(feats.columns))
 
 
 def finish_record(latest: DataFrame, as_of, heads: dict[str, Column]) -> DataFrame:

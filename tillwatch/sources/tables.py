@@ -17,7 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+    return event_rows(table(spark, sf_dir, "events"))
+
+
+def event_rows(events: DataFrame) -> DataFrame:
+    """Events with the user as machine id and the number inside ``props``. Works on a stream as well."""
+    return events.select(
         "event_id", "ts", F.col("user_id").cast("string").alias("atm_id"), "event_type", "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
