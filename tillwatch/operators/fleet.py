@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 from tillwatch.functions import half_even, half_up
 from tillwatch.operators.alerts import alert_codes
 from tillwatch.operators.geo import DEFAULT_RADIUS_KM, near_point
-from tillwatch.operators.scoring import (
-    DEFAULT_AVG_AMOUNT,
-    DEFAULT_DAILY_WITHDRAWAL,
-    DEFAULT_PREDICTION,
-    with_defaults,
-)
+from tillwatch.operators.scoring import DEFAULT_AVG_AMOUNT, DEFAULT_DAILY_WITHDRAWAL, with_defaults
+from tillwatch.schemas import ATM_METADATA
+
+MASTER_COLUMNS = [c for c in ATM_METADATA.names if c != "atm_id"]
 
 # Display bands as (lowest value, label), best first.
 HEALTH_BANDS = [(80, "Healthy"), (55, "Fair")]
@@ -27,24 +25,47 @@ QUEUE_HEALTH, QUEUE_CASH, QUEUE_CRITICAL, QUEUE_TODAY = 80, 35, 55, 3
 PEAK_HOURS = [(10, 12), (15, 17)]
 
 
-def fleet_kpis(snapshot: DataFrame, preds: DataFrame) -> DataFrame:
-    """Fleet figures in one row: two global aggregates over snapshot and predictions."""
-    active = (
-        F.count_if(F.col("operational_status") == "in_service")
-        if "operational_status" in snapshot.columns
-        else F.count("*")
+# The day's own figures a fleet row shows next to the prediction, by their names in such a row.
+DAY_FIGURES = {
+    "day_uptime": "uptime_percentage",
+    "day_errors": "error_count",
+    "day_transactions": "transaction_count",
+    "day": "record_date",
+}
+_RECORD_NAMES = {"operational_status": "record_status", "record_date": "record_day"}
+
+
+def fleet_rows(snapshot: DataFrame, preds: DataFrame) -> DataFrame:
+    """Snapshot rows (newest day and master columns) with their machine's prediction or the defaults."""
+    days = snapshot.select(
+        "atm_id",
+        *[F.col(c).alias(n) for n, c in DAY_FIGURES.items()],
+        *[c for c in MASTER_COLUMNS if c in snapshot.columns],
     )
-    machines = snapshot.agg(F.count("*").alias("total_atms"), active.alias("active_atms"))
-    scores = preds.agg(
-        F.coalesce(half_even(F.avg("health_score"), 1), F.lit(0.0)).alias("fleet_health_pct"),
+    return with_defaults(days, preds.withColumnsRenamed(_RECORD_NAMES))
+
+
+def fleet_rows_of(records: DataFrame, master: DataFrame) -> DataFrame:
+    """The same from records that carry their day's figures: one join, no second roll-up."""
+    columns = [c for c in ("atm_id", *MASTER_COLUMNS) if c in master.columns]
+    return records.withColumnsRenamed(_RECORD_NAMES).join(master.select(*columns), "atm_id", "left")
+
+
+def fleet_kpis(rows: DataFrame, in_snapshot: Column | None = None) -> DataFrame:
+    """Fleet figures in one row. ``in_snapshot`` tells which rows count as machines of the
+    snapshot; health and risk figures cover all rows. Everything is zero for an empty snapshot."""
+    member = F.lit(True) if in_snapshot is None else in_snapshot
+    active = member & (F.col("operational_status") == "in_service") if "operational_status" in rows.columns else member
+    figures = rows.agg(
+        F.count_if(member).alias("total_atms"),
+        F.count_if(active).alias("active_atms"),
+        half_even(F.avg("health_score"), 1).alias("fleet_health_pct"),
         F.count_if(F.col("cash_stress_indicator") > 0.70).alias("low_cash_alerts"),
         F.count_if(F.col("failure_probability") > 0.50).alias("high_risk_atms"),
     )
-    # One row on each side.
-    joined = machines.crossJoin(scores)
-    filled = [c for c in scores.columns]
-    return joined.select(
-        *[F.when(F.col("total_atms") > 0, F.col(c)).otherwise(0).alias(c) for c in filled],
+    shown = ["fleet_health_pct", "low_cash_alerts", "high_risk_atms"]
+    return figures.select(
+        *[F.when(F.col("total_atms") > 0, F.col(c)).otherwise(0).alias(c) for c in shown],
         "active_atms",
         "total_atms",
         (F.col("total_atms") - F.col("active_atms")).alias("offline_count"),
@@ -55,33 +76,30 @@ def cash_level(digits: int) -> Column:
     return half_even((1 - F.coalesce("cash_stress_indicator", F.lit(0.3))) * 100, digits)
 
 
-def fleet_table(snapshot: DataFrame, preds: DataFrame, status_from_master: bool = True) -> DataFrame:
+def fleet_table(rows: DataFrame, status_from_master: bool = True) -> DataFrame:
     """Every machine of the snapshot with prediction, cash level and alerts (unordered).
 
     ``status_from_master`` lets the master's status into the alert rules. Without it the rules see
     the status of the prediction record only.
     """
-    taken = preds.withColumnsRenamed(
-        {"uptime_percentage": "_uptime", "operational_status": "_status", "record_date": "_day"}
-    )
-    rows = with_defaults(snapshot, taken)
-    rows = rows.withColumn("status", F.coalesce("operational_status", F.lit("in_service")))
+    status = F.coalesce("operational_status", F.lit("in_service"))
     if not status_from_master:
-        rows = rows.withColumn("operational_status", F.coalesce("_status", F.lit("in_service")))
+        rows = rows.withColumn("_status", status).withColumn("operational_status", F.col("record_status"))
+        status = F.col("_status")
     return rows.select(
         "atm_id",
         F.col("atm_bank").alias("bank_name"),
         "location",
         F.col("atm_bank").alias("manufacturer"),
         F.col("atm_model").alias("model"),
-        "status",
+        status.alias("status"),
         "health_score",
         "failure_probability",
         "days_to_depletion",
         "activity_level",
-        F.coalesce("uptime_percentage", F.lit(95.0)).alias("uptime"),
-        F.coalesce("error_count", F.lit(0)).cast("long").alias("error_count"),
-        F.coalesce("transactions_24h_predicted", "transaction_count", F.lit(0)).cast("long").alias("transactions_24h"),
+        F.coalesce("day_uptime", F.lit(95.0)).alias("uptime"),
+        F.coalesce("day_errors", F.lit(0)).cast("long").alias("error_count"),
+        F.coalesce("transactions_24h_predicted", "day_transactions", F.lit(0)).cast("long").alias("transactions_24h"),
         F.coalesce("avg_amount", F.lit(DEFAULT_AVG_AMOUNT)).alias("avg_amount"),
         F.coalesce("avg_daily_withdrawal", F.lit(DEFAULT_DAILY_WITHDRAWAL)).alias("avg_daily_withdrawal"),
         cash_level(1).alias("cash_level"),
@@ -192,8 +210,7 @@ def service_filter(machines: DataFrame, service: str) -> DataFrame:
 
 
 def finder(
-    snapshot: DataFrame,
-    preds: DataFrame,
+    rows: DataFrame,
     *,
     service: str | None = None,
     lat: float | None = None,
@@ -202,14 +219,10 @@ def finder(
 ) -> DataFrame:
     """Machines offering a service near a point, with what a customer needs to know."""
     if service:
-        snapshot = service_filter(snapshot, service)
+        rows = service_filter(rows, service)
     located = lat is not None and lng is not None
     if located:
-        snapshot = near_point(snapshot, lat, lng, radius_km)
-    taken = preds.select(
-        "atm_id", *DEFAULT_PREDICTION, "deposit_bin_utilization", "transactions_24h_predicted", "historical_series"
-    )
-    rows = with_defaults(snapshot, taken)
+        rows = near_point(rows, lat, lng, radius_km)
     level = cash_level(0)
     return rows.select(
         F.trim("atm_id").alias("atm_id"),
@@ -222,7 +235,7 @@ def finder(
         F.when(level < 0, 0.0).otherwise(level).alias("cash_level"),
         F.coalesce("deposit_bin_utilization", F.lit(0.0)).alias("deposit_bin_utilization"),
         "days_to_depletion",
-        F.coalesce("transactions_24h_predicted", "transaction_count", F.lit(0)).cast("long").alias("transactions_24h"),
+        F.coalesce("transactions_24h_predicted", "day_transactions", F.lit(0)).cast("long").alias("transactions_24h"),
         "services",
         "card_types",
         "historical_series",

@@ -209,8 +209,9 @@ def daily_metrics(
     whole = ["transaction_count", "daily_deposit_count", "error_count", "downtime_duration"]
     amounts = ["daily_withdrawal_amount", "daily_deposit_amount", "avg_transaction_amount"]
     daily = (
-        joined.withColumns({c: _zero_if_null(F.col(c), 0).cast("long") for c in whole})
-        .withColumns({c: _zero_if_null(F.col(c)) for c in amounts})
+        joined.withColumns(
+            {c: _zero_if_null(F.col(c), 0).cast("long") for c in whole} | {c: _zero_if_null(F.col(c)) for c in amounts}
+        )
         .transform(starting_balance)
         .drop("reading")
         .transform(add_uptime)

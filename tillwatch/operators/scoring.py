@@ -216,7 +216,8 @@ def predictions(feats: DataFrame, as_of) -> DataFrame:
     return finish_record(newest_with_series(feats, as_of), as_of, formula_heads(feats.columns))
 
 
-def finish_record(latest: DataFrame, as_of, heads: dict[str, Column]) -> DataFrame:
+def finish_record(latest: DataFrame, as_of, heads: dict[str, Column], carry: dict[str, str] | None = None) -> DataFrame:
+    """Prediction records from the newest rows. ``carry`` keeps further columns under new names."""
     columns = {**record_columns(latest.columns), **heads}
     series = F.struct(
         "weekly_txns",
@@ -229,6 +230,7 @@ def finish_record(latest: DataFrame, as_of, heads: dict[str, Column]) -> DataFra
         *[c.alias(n) for n, c in columns.items()],
         steady_volume("weekly_txns").alias("transactions_24h_predicted"),
         series.alias("historical_series"),
+        *[F.col(c).alias(n) for n, c in (carry or {}).items()],
     )
 
 

@@ -82,5 +82,5 @@ query("features_supplier_days", _ALL, "SELECT * FROM sfeat_all")(supplier_featur
          GROUP BY ALL) GROUP BY atm_id, record_date""",
 )
 def hourly_volatility(spark, d):
-    counts = hourly_counts(t.transactions(spark, d))
+    counts = hourly_counts(t.transactions(t.event_log(spark, d)))
     return counts.withColumn("transaction_volatility", hourly_spread("hourly_counts"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwatch.operators import fleet as views
 from tillwatch.operators.features import HOLIDAYS, features
-from tillwatch.operators.rollup import daily_metrics, fleet_snapshot, last_n_days
-from tillwatch.operators.scoring import as_day, predictions
+from tillwatch.operators.models import FleetModels, model_heads
+from tillwatch.operators.rollup import cash_days, daily_metrics, fleet_snapshot, window_start
+from tillwatch.operators.scoring import as_day, finish_record, formula_heads, newest_with_series
 
 SNAPSHOT_DAYS = 30
 PREDICTION_DAYS = 90
@@ -22,6 +23,9 @@ class FleetJob:
 
     ``anchor`` is the newest day of the data. Given as a literal it prunes the scans of the raw
     tables to the prediction range; left out, it is found by a scalar subquery.
+
+    A machine's newest row within the snapshot range is its newest row overall, so the snapshot
+    is a filter on the prediction records: the raw tables are read and rolled up once per answer.
     """
 
     def __init__(
@@ -31,39 +35,61 @@ class FleetJob:
         *,
         anchor: str | dt.date | None = None,
         holidays: Sequence[str] = HOLIDAYS,
+        models: FleetModels | None = None,
     ):
+        self.raw = raw
         self.master = raw["atm_metadata"]
         self.as_of = as_day(as_of)
         self.anchor = anchor
+        self.models = models
         self.daily = daily_metrics(
             raw["cash_status"], raw["transactions"], raw["operational_logs"], raw["maintenance_records"],
             days=PREDICTION_DAYS, anchor=anchor,
         )
-        self.features = features(self.daily, holidays)
+        self.holidays = holidays
+
+    def features(self) -> DataFrame:
+        return features(self.daily, self.holidays)
 
-    def predictions(self) -> DataFrame:
-        return predictions(self.features, self.as_of)
+    def predictions(self, carry: dict[str, str] | None = None) -> DataFrame:
+        """Prediction record per machine; trained models replace the formulas where there are any."""
+        feats = self.features()
+        latest, heads = newest_with_series(feats, self.as_of), formula_heads(feats.columns)
+        if self.models is not None:
+            latest, trained = model_heads(latest, self.models)
+            heads = {**heads, **trained}
+        return finish_record(latest, self.as_of, heads, carry)
 
     def snapshot(self) -> DataFrame:
         return fleet_snapshot(self.daily, self.master, SNAPSHOT_DAYS, self.anchor)
 
-    def table(self, preds: DataFrame | None = None) -> DataFrame:
-        return views.fleet_table(self.snapshot(), self.predictions() if preds is None else preds)
+    def _in_snapshot(self) -> Column:
+        return F.col("day") >= window_start(cash_days(self.raw["cash_status"]), SNAPSHOT_DAYS, self.anchor)
+
+    def _rows(self) -> DataFrame:
+        return views.fleet_rows_of(self.predictions(views.DAY_FIGURES), self.master)
+
+    def rows(self) -> DataFrame:
+        """Machines of the snapshot: prediction record, the day's figures and master columns."""
+        return self._rows().filter(self._in_snapshot())
 
-    def health(self, preds: DataFrame | None = None) -> DataFrame:
-        return views.worst_first(self.table(preds))
+    def table(self) -> DataFrame:
+        return views.fleet_table(self.rows())
+
+    def health(self) -> DataFrame:
+        return views.worst_first(self.table())
 
     def kpis(self) -> DataFrame:
-        return views.fleet_kpis(self.snapshot(), self.predictions())
+        return views.fleet_kpis(self._rows(), self._in_snapshot())
 
     def finder(self, **request) -> DataFrame:
-        return views.finder(self.snapshot(), self.predictions(), **request)
+        return views.finder(self.rows(), **request)
 
     def machine(self, atm_id: str) -> DataFrame:
         """One machine's record. The id filter moves below the windows to the raw scans."""
         mine = self.predictions().filter(F.col("atm_id") == atm_id)
-        master = self.master.filter(F.col("atm_id") == atm_id)
-        return mine.join(master.drop("operational_status"), "atm_id").select(
+        master = self.master.filter(F.col("atm_id") == atm_id).select("atm_id", "location", "services", "card_types")
+        return mine.join(master, "atm_id").select(
             "atm_id",
             F.col("location").alias("name"),
             "services",
@@ -79,7 +105,3 @@ class FleetJob:
             "error_acceleration",
             views.alert_codes(mine).alias("alerts"),
         )
-
-
-def recent_features(daily: DataFrame, days: int = PREDICTION_DAYS, anchor=None, holidays=HOLIDAYS) -> DataFrame:
-    return features(last_n_days(daily, days, anchor), holidays)

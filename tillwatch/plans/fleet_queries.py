@@ -96,7 +96,7 @@ def monthly_errors(spark, d):
          LEFT JOIN tx ON tx.atm_id = m.atm_id AND hour(tx.transaction_time) = h.hour GROUP BY ALL) GROUP BY atm_id""",
 )
 def hourly_profile(spark, d):
-    return scoring.hourly_profile(t.transactions(spark, d))
+    return scoring.hourly_profile(t.transactions(t.event_log(spark, d)))
 
 
 @query(
@@ -111,7 +111,7 @@ def hourly_profile(spark, d):
              FROM tx WHERE transaction_type = 'withdrawal' GROUP BY atm_id) v ON c.atm_id = v.atm_id""",
 )
 def machine_profile(spark, d):
-    return scoring.machine_profile(t.transactions_untyped(spark, d), t.cash_status(spark, d))
+    return scoring.machine_profile(t.transactions_untyped(t.event_log(spark, d)), t.cash_status(t.event_log(spark, d)))
 
 
 @query(
@@ -129,9 +129,7 @@ def fleet_with_defaults(spark, d):
     """Only machines that were ever serviced are scored here, so the others take the defaults."""
     j = job(spark, d)
     known = j.predictions().filter(F.col("days_since_maintenance") < 999)
-    return scoring.with_defaults(
-        j.snapshot().select("atm_id"), known.select("atm_id", *scoring.DEFAULT_PREDICTION)
-    )
+    return fleet.fleet_rows(j.snapshot(), known)
 
 
 @query(
@@ -384,7 +382,7 @@ def wait_class(spark, d):
        FROM (SELECT *, hour(transaction_time) AS h FROM tx) GROUP BY atm_id""",
 )
 def peak_flag(spark, d):
-    return fleet.peak_share(t.transactions(spark, d))
+    return fleet.peak_share(t.transactions(t.event_log(spark, d)))
 
 
 @query(

@@ -145,8 +145,7 @@ def perturbed(spark, d):
 
 
 def _event_stream(spark, d):
-    schema = t.table(spark, d, "events").schema
-    return stream.read_files(spark, f"{d}/events*.parquet", schema)
+    return stream.read_files(spark, f"{d}/events*.parquet", t.TABLE_SCHEMAS["events"])
 
 
 def _finished(spark, rows, purpose):
@@ -159,7 +158,7 @@ def _finished(spark, rows, purpose):
 @query("stream_ingest", "transaction_id:i atm_id transaction_time:t amount:f transaction_type", "SELECT * FROM tx")
 def stream_ingest(spark, d):
     """The same files arrive twice; each transaction is kept once."""
-    once, again = (t.transactions_from_events(t.event_rows(_event_stream(spark, d))) for _ in range(2))
+    once, again = (t.transactions(t.event_rows(_event_stream(spark, d))) for _ in range(2))
     return _finished(spark, stream.distinct_rows(once.union(again), "transaction_id", "transaction_time"), "ingest")
 
 
@@ -171,5 +170,5 @@ def stream_ingest(spark, d):
 )
 def stream_daily_tx(spark, d):
     """Equals the batch roll-up for the days that are closed."""
-    tx = t.transactions_from_events(t.event_rows(_event_stream(spark, d)))
+    tx = t.transactions(t.event_rows(_event_stream(spark, d)))
     return _finished(spark, stream.daily_transactions(tx), "daily-tx")

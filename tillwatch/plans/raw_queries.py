@@ -24,9 +24,10 @@ _DAILY = (
 _MASTER = "atm_id atm_bank location atm_model services card_types operational_status lat:f lng:f"
 
 
-def daily(spark, d):
+def daily(spark, d, **days):
+    log = t.event_log(spark, d)
     return rollup.daily_metrics(
-        t.cash_status(spark, d), t.transactions(spark, d), t.operational_logs(spark, d), t.maintenance_records(spark, d)
+        t.cash_status(log), t.transactions(log), t.operational_logs(log), t.maintenance_records(log), **days
     )
 
 
@@ -40,7 +41,7 @@ def daily(spark, d):
 )
 def scan_raw(spark, d):
     path = work_path(spark, "transactions-csv")
-    ingest.write_raw_csv(t.transactions(spark, d), path, "transaction_time")
+    ingest.write_raw_csv(t.transactions(t.event_log(spark, d)), path, "transaction_time")
     return readers.read_raw_csv(spark, path, TRANSACTIONS)
 
 
@@ -51,7 +52,7 @@ def scan_raw(spark, d):
     "strftime(transaction_time, '%Y-%m-%d') AS day_text FROM tx",
 )
 def format_times(spark, d):
-    tx = t.transactions(spark, d).withColumn("day_text", F.col("transaction_time"))
+    tx = t.transactions(t.event_log(spark, d)).withColumn("day_text", F.col("transaction_time"))
     return ingest.format_time(ingest.format_time(tx, "transaction_time", True), "day_text", False)
 
 
@@ -66,7 +67,7 @@ def master_lookup(spark, d):
     "SELECT *, maintenance_date AS service_date FROM maint",
 )
 def maintenance_log(spark, d):
-    return readers.maintenance_log(t.maintenance_records(spark, d))
+    return readers.maintenance_log(t.maintenance_records(t.event_log(spark, d)))
 
 
 @query(
@@ -163,12 +164,12 @@ def coerce_types(spark, d):
 
 @query("daily_tx_typed", _TX_DAY, "SELECT * FROM tx_days")
 def daily_tx_typed(spark, d):
-    return rollup.transactions_by_type(t.transactions(spark, d))
+    return rollup.transactions_by_type(t.transactions(t.event_log(spark, d)))
 
 
 @query("daily_tx_outer", _TX_DAY, "SELECT * FROM tx_days")
 def daily_tx_outer(spark, d):
-    return rollup.transactions_by_type_joined(t.transactions(spark, d))
+    return rollup.transactions_by_type_joined(t.transactions(t.event_log(spark, d)))
 
 
 @query(
@@ -179,22 +180,22 @@ def daily_tx_outer(spark, d):
        FROM tx WHERE transaction_type = 'withdrawal' GROUP BY atm_id, record_date""",
 )
 def daily_tx_plain(spark, d):
-    return rollup.transactions_daily(t.transactions_untyped(spark, d))
+    return rollup.transactions_daily(t.transactions_untyped(t.event_log(spark, d)))
 
 
 @query("daily_errors", "atm_id record_date:d error_count:i", "SELECT * FROM error_days")
 def daily_errors(spark, d):
-    return rollup.errors_daily(t.operational_logs(spark, d))
+    return rollup.errors_daily(t.operational_logs(t.event_log(spark, d)))
 
 
 @query("daily_downtime", "atm_id record_date:d downtime_duration:i", "SELECT * FROM downtime_days")
 def daily_downtime(spark, d):
-    return rollup.downtime_daily(t.operational_logs(spark, d))
+    return rollup.downtime_daily(t.operational_logs(t.event_log(spark, d)))
 
 
 @query("cash_balances", "atm_id record_date:d starting_cash_balance:f ending_cash_balance:f", "SELECT * FROM balances")
 def cash_balances(spark, d):
-    return rollup.cash_balances(t.cash_status(spark, d))
+    return rollup.cash_balances(t.cash_status(t.event_log(spark, d)))
 
 
 @query("daily_metrics", _DAILY, "SELECT * FROM daily")
@@ -209,20 +210,17 @@ def daily_metrics(spark, d):
             (1440 - CASE WHEN downtime_duration < 0 THEN 0 WHEN downtime_duration > 1440 THEN 1440
                          ELSE downtime_duration END) / 1440e0 * 100 AS uptime_percentage FROM downtime_days""")
 def daily_uptime(spark, d):
-    return rollup.add_uptime(rollup.downtime_daily(t.operational_logs(spark, d)))
+    return rollup.add_uptime(rollup.downtime_daily(t.operational_logs(t.event_log(spark, d))))
 
 
 @query("latest_service", "atm_id service_date:d", "SELECT * FROM services_seen")
 def latest_service(spark, d):
-    return rollup.latest_service(t.maintenance_records(spark, d))
+    return rollup.latest_service(t.maintenance_records(t.event_log(spark, d)))
 
 
 @query("last_n_days", _DAILY, "SELECT * FROM daily WHERE record_date >= (SELECT max(record_date) FROM daily) - 7")
 def last_n_days(spark, d):
-    return rollup.daily_metrics(
-        t.cash_status(spark, d), t.transactions(spark, d), t.operational_logs(spark, d),
-        t.maintenance_records(spark, d), days=7,
-    )
+    return daily(spark, d, days=7)
 
 
 @query("since_as_of", _DAILY, f"SELECT * FROM daily WHERE record_date >= DATE '{AS_OF}' - 10")
@@ -237,7 +235,7 @@ def since_as_of(spark, d):
        FROM sup s LEFT JOIN services_seen m ON s.atm_id = m.atm_id""",
 )
 def metrics_with_maint(spark, d):
-    return rollup.with_latest_service(t.supplier_days(spark, d), t.maintenance_records(spark, d))
+    return rollup.with_latest_service(t.supplier_days(spark, d), t.maintenance_records(t.event_log(spark, d)))
 
 
 @query("fleet_snapshot", f"{_DAILY} atm_bank location atm_model operational_status lat:f lng:f", "SELECT * FROM snapshot")

@@ -16,6 +16,9 @@ def local_session(cpus: str | int = "*", app: str = "tillwatch", memory: str = "
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # The JVM does not compile methods beyond 8,000 bytes; wide projections then run faster as
+        # separate operators than in one generated method.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .getOrCreate()

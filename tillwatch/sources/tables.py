@@ -12,11 +12,24 @@ from pyspark.sql import functions as F
 from tillwatch.operators.rollup import add_uptime, starting_balance
 
 
+# Declared so that opening a table needs no look into its files.
+TABLE_SCHEMAS = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+    "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+    "l_shipdate TIMESTAMP_NTZ",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_rows(table(spark, sf_dir, "events"))
 
 
@@ -28,13 +41,9 @@ def event_rows(events: DataFrame) -> DataFrame:
     )
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transactions_from_events(_events(spark, sf_dir))
-
-
-def transactions_from_events(events: DataFrame) -> DataFrame:
+def transactions(log: DataFrame) -> DataFrame:
     """Purchases are withdrawals, signups are deposits. Works on a stream as well."""
-    return events.filter(F.col("event_type").isin("purchase", "signup")).select(
+    return log.filter(F.col("event_type").isin("purchase", "signup")).select(
         F.col("event_id").alias("transaction_id"),
         "atm_id",
         F.col("ts").alias("transaction_time"),
@@ -44,18 +53,18 @@ def transactions_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def transactions_untyped(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transactions_untyped(log: DataFrame) -> DataFrame:
     return (
-        transactions(spark, sf_dir)
+        transactions(log)
         .filter(F.col("transaction_type") == "withdrawal")
         .drop("transaction_type")
         .withColumnRenamed("amount", "withdrawal_amount")
     )
 
 
-def operational_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def operational_logs(log: DataFrame) -> DataFrame:
     failed = F.col("event_type") == "error"
-    return _events(spark, sf_dir).filter(F.col("event_type").isin("error", "view")).select(
+    return log.filter(F.col("event_type").isin("error", "view")).select(
         F.col("event_id").alias("log_id"),
         "atm_id",
         F.col("ts").alias("timestamp"),
@@ -65,10 +74,13 @@ def operational_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cash_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last event of each machine and day is its balance reading (one row per machine-day)."""
+def cash_status(log: DataFrame) -> DataFrame:
+    """The last event of each machine and day is its balance reading (one row per machine-day).
+
+    An aggregate with map-side combine: a busy machine reaches the shuffle as one row per task and day.
+    """
     last = F.max(F.struct("ts", "event_id", "value"))
-    daily = _events(spark, sf_dir).groupBy("atm_id", F.to_date("ts").alias("timestamp")).agg(last.alias("e"))
+    daily = log.groupBy("atm_id", F.to_date("ts").alias("timestamp")).agg(last.alias("e"))
     return daily.select(
         F.col("e.event_id").alias("cash_id"),
         "atm_id",
@@ -77,8 +89,8 @@ def cash_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def maintenance_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).filter((F.col("event_type") == "error") & (F.col("k") % 10 == 0)).select(
+def maintenance_records(log: DataFrame) -> DataFrame:
+    return log.filter((F.col("event_type") == "error") & (F.col("k") % 10 == 0)).select(
         F.col("event_id").alias("maintenance_id"),
         "atm_id",
         F.col("ts").alias("maintenance_date"),
@@ -114,11 +126,12 @@ def atm_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    log = event_log(spark, sf_dir)
     return {
-        "transactions": transactions(spark, sf_dir),
-        "operational_logs": operational_logs(spark, sf_dir),
-        "cash_status": cash_status(spark, sf_dir),
-        "maintenance_records": maintenance_records(spark, sf_dir),
+        "transactions": transactions(log),
+        "operational_logs": operational_logs(log),
+        "cash_status": cash_status(log),
+        "maintenance_records": maintenance_records(log),
         "atm_metadata": atm_metadata(spark, sf_dir),
     }
 
