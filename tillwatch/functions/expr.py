@@ -26,9 +26,23 @@ def clip(c, low=None, high=None) -> Column:
 
 
 def half_even(c, digits: int = 0) -> Column:
-    """Round a double with ties to even, on the binary value (0.125 -> 0.12, 2.675 -> 2.67)."""
-    scale = float(10**digits)
-    return F.rint(_col(c) * F.lit(scale)) / F.lit(scale)
+    """Round a double on its exact binary value, ties to even (0.125 -> 0.12, 2.675 -> 2.67).
+
+    Scaling by a power of ten can land on a half that the value itself does not have, so in that
+    case the part lost in the multiplication decides the direction.
+    """
+    c = _col(c)
+    if digits == 0:
+        return F.rint(c)
+    scale = F.lit(float(10**digits))
+    scaled = c * scale
+    # The value split into two short halves, whose products with the scale are exact.
+    spread = c * F.lit(float(2**27 + 1))
+    high = spread - (spread - c)
+    lost = (high * scale - scaled) + (c - high) * scale
+    below = F.floor(scaled).cast("double")
+    on_half = (scaled - below == 0.5) & (lost != 0)
+    return F.when(on_half, F.when(lost > 0, below + 1).otherwise(below)).otherwise(F.rint(scaled)) / scale
 
 
 def half_up(c, digits: int = 0) -> Column:

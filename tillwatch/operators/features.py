@@ -45,8 +45,9 @@ ROLLING_MEAN_COLUMNS = [
 ]
 
 def _history() -> WindowSpec:
-    """A machine's rows by day (balances only settle the order of several rows of one day)."""
-    return Window.partitionBy("atm_id").orderBy("record_date", "starting_cash_balance", "ending_cash_balance")
+    """A machine's rows by day. The balance only settles the order of several rows of one day; it is
+    the order of the roll-up's own window too, so rows that come from there need no new sort."""
+    return Window.partitionBy("atm_id").orderBy("record_date", "ending_cash_balance")
 
 
 def _last(rows: int) -> WindowSpec:

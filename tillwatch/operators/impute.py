@@ -171,9 +171,10 @@ def perturb(df: DataFrame, columns: list[str], key: list[str], seed: int = 42, s
     """Small Gaussian noise per column, sized by the column's own spread, two decimals."""
     df = coerce_numbers(df, columns)
     columns = [c for c in columns if c in df.columns]
-    # A one-row aggregate, so the cross join adds columns and no rows.
-    spread = df.agg(*[F.greatest(F.stddev_samp(c) * share, F.lit(0.01)).alias(f"_sd_{c}") for c in columns])
-    noisy = df.crossJoin(F.broadcast(spread)).withColumns(
-        {c: half_even(F.col(c) + F.col(f"_sd_{c}") * stable_normal(seed + i, *key), 2) for i, c in enumerate(columns)}
-    )
-    return noisy.drop(*[f"_sd_{c}" for c in columns])
+    spread = df.agg(F.struct(*[F.stddev_samp(c).alias(c) for c in columns])).scalar()
+
+    def noisy(i: int, c: str):
+        sigma = F.greatest(spread[c] * share, F.lit(0.01))
+        return half_even(F.col(c) + sigma * stable_normal(seed + i, *key), 2)
+
+    return df.withColumns({c: noisy(i, c) for i, c in enumerate(columns)})

@@ -122,24 +122,32 @@ def logs_daily(logs: DataFrame) -> DataFrame:
     )
 
 
-def cash_days(cash: DataFrame) -> DataFrame:
-    """Balance readings with their day; ``reading`` breaks ties where a day has several."""
-    reading = F.col("cash_id") if "cash_id" in cash.columns else F.col("remaining_cash")
-    return _with_day(cash, "timestamp").select(
-        *DAY_KEYS, F.col("remaining_cash").alias("ending_cash_balance"), reading.alias("reading")
-    )
+def cash_days(cash: DataFrame, keep_all_readings: bool = False) -> DataFrame:
+    """End-of-day balance per machine and day: the last reading of the day wins, as in an upsert.
+
+    That makes (machine, day) unique, so the history of a machine is bounded by the calendar and
+    no window over it can grow with the data. ``keep_all_readings`` keeps a row per reading, in
+    reading order, for tables in which repeated readings are meant.
+    """
+    reading = "cash_id" if "cash_id" in cash.columns else "remaining_cash"
+    days = _with_day(cash, "timestamp")
+    if keep_all_readings:
+        return days.select(*DAY_KEYS, F.col("remaining_cash").alias("ending_cash_balance"), F.col(reading).alias("reading"))
+    is_day = dict(cash.dtypes)["timestamp"] == "date"
+    order = F.col(reading) if is_day else F.struct("timestamp", reading)
+    return days.groupBy(*DAY_KEYS).agg(F.max_by("remaining_cash", order).alias("ending_cash_balance"))
 
 
 def starting_balance(days: DataFrame) -> DataFrame:
     """A day starts with the previous row's ending balance; the first row with its own."""
-    order = ["record_date", "reading"] if "reading" in days.columns else ["record_date"]
+    order = ["record_date", "reading" if "reading" in days.columns else "ending_cash_balance"]
     w = Window.partitionBy("atm_id").orderBy(*order)
     previous = F.lag("ending_cash_balance").over(w)
     return days.withColumn("starting_cash_balance", F.coalesce(previous, F.col("ending_cash_balance")))
 
 
-def cash_balances(cash: DataFrame) -> DataFrame:
-    return starting_balance(cash_days(cash)).drop("reading")
+def cash_balances(cash: DataFrame, keep_all_readings: bool = False) -> DataFrame:
+    return starting_balance(cash_days(cash, keep_all_readings)).drop("reading")
 
 
 def add_uptime(days: DataFrame) -> DataFrame:
@@ -173,6 +181,11 @@ def window_start(frame: DataFrame, days: int, anchor=None) -> Column:
     return F.date_sub(newest, days)
 
 
+def newest_days(cash: DataFrame) -> DataFrame:
+    """The days of the balance readings, for finding the newest one in a single narrow scan."""
+    return _with_day(cash, "timestamp").select("record_date")
+
+
 def last_n_days(daily: DataFrame, days: int, anchor=None) -> DataFrame:
     """Rows from ``days`` before the newest day on; the bound counts too, so days + 1 dates."""
     return daily.filter(F.col("record_date") >= window_start(daily, days, anchor))
@@ -191,6 +204,7 @@ def daily_metrics(
     *,
     days: int | None = None,
     anchor=None,
+    keep_all_readings: bool = False,
 ) -> DataFrame:
     """The machine-day table. Balance readings are the spine: a day without one has no row.
 
@@ -200,9 +214,9 @@ def daily_metrics(
     With ``days`` the other tables are cut to the range before they are aggregated. Balances
     are not: the first day of the range starts with the balance of the day before it.
     """
-    spine = cash_days(cash)
+    spine = cash_days(cash, keep_all_readings)
     if days is not None:
-        start = window_start(spine, days, anchor)
+        start = window_start(newest_days(cash), days, anchor)
         tx = tx.filter(F.to_date("transaction_time") >= start)
         logs = logs.filter(F.to_date("timestamp") >= start)
     joined = spine.join(transactions_daily(tx), DAY_KEYS, "left").join(logs_daily(logs), DAY_KEYS, "left")

@@ -29,7 +29,7 @@ MONTH_NAMES = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "O
 WEEKDAY_LETTERS = ["s", "m", "t", "w", "t", "f", "s"]
 
 
-_NEWEST = ("record_date", "starting_cash_balance", "ending_cash_balance")
+_NEWEST = ("record_date", "ending_cash_balance")
 
 
 def latest_features(feats: DataFrame) -> DataFrame:

@@ -11,9 +11,14 @@ FIXTURE_HOLIDAYS = ["1997-01-01", "1998-12-25", "1999-08-06", "2024-01-01", "202
 
 
 def half_even(x: str, digits: int) -> str:
+    """Exact rounding with ties to even; ``x`` is repeated, so it should be a plain column."""
     v = f"(({x}) * 1e{digits})"
+    high = f"(({x}) * 134217729e0 - (({x}) * 134217729e0 - ({x})))"
+    lost = f"(({high} * 1e{digits} - {v}) + (({x}) - {high}) * 1e{digits})"
     return (
-        f"(CASE WHEN {v} - floor({v}) = 0.5 THEN 2 * floor((floor({v}) + 1) / 2) "
+        f"(CASE WHEN {v} - floor({v}) = 0.5 AND {lost} > 0 THEN floor({v}) + 1 "
+        f"WHEN {v} - floor({v}) = 0.5 AND {lost} < 0 THEN floor({v}) "
+        f"WHEN {v} - floor({v}) = 0.5 THEN 2 * floor((floor({v}) + 1) / 2) "
         f"ELSE floor({v} + 0.5) END / 1e{digits})"
     )
 
@@ -124,10 +129,9 @@ def _feature_steps(p: str, base: str) -> dict[str, str]:
 _PEAK = "(1e0 + is_holiday * 0.3e0 + is_salary_day * 0.4e0 + is_month_end * 0.2e0)"
 _FILL = "least(greatest(ending_cash_balance / 3000000e0, 0), 1)"
 _RAW_DAYS = "(CASE WHEN cash_consumption_rate > 0 THEN ending_cash_balance / cash_consumption_rate ELSE 7e0 END)"
-_DEPLETION = f"""CASE WHEN ending_cash_balance <= 0 THEN 0e0 ELSE {half_even(
-    f'''greatest(0.5e0 * {_FILL}, least({_FILL}, CASE WHEN {_PEAK} > 1
+_DAYS_LEFT = f"""greatest(0.5e0 * {_FILL}, least({_FILL}, CASE WHEN {_PEAK} > 1
         THEN least({_RAW_DAYS} / {_PEAK}, 0.5e0 * {_FILL} + ({_FILL} - 0.5e0 * {_FILL}) * 0.25e0)
-        ELSE {_RAW_DAYS} / {_PEAK} END))''', 2)} END"""
+        ELSE {_RAW_DAYS} / {_PEAK} END))"""
 
 _SLOTS = ", ".join(
     f"coalesce(max(transaction_count) FILTER (WHERE record_date BETWEEN DATE '{AS_OF}' - 6 AND DATE '{AS_OF}' "
@@ -226,13 +230,14 @@ COMMON: dict[str, str] = {
         FROM sup_days""",
     **_feature_steps("feat", "daily"),
     **_feature_steps("sfeat", "sup"),
-    "newest": """
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY atm_id ORDER BY record_date DESC) AS rn
-                       FROM feat_all) WHERE rn = 1""",
+    "newest": f"""
+        SELECT *, {_DAYS_LEFT} AS days_left, least(greatest(failure_risk_score, 0), 1) AS risk
+        FROM (SELECT *, row_number() OVER (PARTITION BY atm_id ORDER BY record_date DESC) AS rn FROM feat_all)
+        WHERE rn = 1""",
     "week": f"SELECT atm_id, [{_SLOTS}] AS weekly_txns FROM daily GROUP BY atm_id",
-    "week_volume": f"""
-        SELECT atm_id, CASE WHEN list_sum(weekly_txns) > 0 THEN {half_even(
-            "CAST(list_sum(weekly_txns) AS DOUBLE) / len(list_filter(weekly_txns, lambda x: x > 0))", 0)}
+    "week_volume": """
+        SELECT atm_id, CASE WHEN list_sum(weekly_txns) > 0 THEN round_even(
+            CAST(list_sum(weekly_txns) AS DOUBLE) / len(list_filter(weekly_txns, lambda x: x > 0)), 0)
           ELSE 0 END AS transactions_24h_predicted
         FROM week""",
     "pred": f"""
@@ -245,10 +250,10 @@ COMMON: dict[str, str] = {
           {half_even("avg_transaction_amount_7d", 2)} AS avg_amount,
           days_since_maintenance, {half_even("deposit_bin_utilization", 3)} AS deposit_bin_utilization,
           'in_service' AS operational_status,
-          {half_even("least(greatest(failure_risk_score, 0), 1)", 3)} AS failure_probability,
+          {half_even("risk", 3)} AS failure_probability,
           CASE WHEN transaction_count > 220 THEN 'High' WHEN transaction_count > 100 THEN 'Moderate'
                ELSE 'Low' END AS activity_level,
-          {_DEPLETION} AS days_to_depletion, transactions_24h_predicted
+          CASE WHEN ending_cash_balance <= 0 THEN 0e0 ELSE {half_even("days_left", 2)} END AS days_to_depletion, transactions_24h_predicted
         FROM newest n JOIN week_volume w ON n.atm_id = w.atm_id""",
     "snapshot": """
         SELECT d.*, m.* EXCLUDE (atm_id) FROM (
@@ -260,7 +265,7 @@ COMMON: dict[str, str] = {
           coalesce(s.operational_status, 'in_service') AS status, health_score, failure_probability,
           days_to_depletion, activity_level, s.uptime_percentage AS uptime, s.error_count,
           transactions_24h_predicted AS transactions_24h, avg_amount, avg_daily_withdrawal,
-          {half_even("(1 - cash_stress_indicator) * 100", 1)} AS cash_level,
+          {half_even("level", 1)} AS cash_level,
           deposit_bin_utilization, error_acceleration,
           list_filter([
             CASE WHEN cash_stress_indicator > 0.70e0 THEN 'CASH_CRITICAL' END,
@@ -271,7 +276,7 @@ COMMON: dict[str, str] = {
             CASE WHEN days_since_maintenance > 60 THEN 'MAINTENANCE_OVERDUE' END,
             CASE WHEN s.operational_status = 'out_of_service' THEN 'OUT_OF_SERVICE' END,
             CASE WHEN failure_probability > 0.70e0 THEN 'CRITICAL_ERROR' END], lambda x: x IS NOT NULL) AS alerts
-        FROM snapshot s JOIN pred p ON s.atm_id = p.atm_id""",
+        FROM snapshot s JOIN (SELECT *, (1 - cash_stress_indicator) * 100 AS level FROM pred) p ON s.atm_id = p.atm_id""",
     "feed": """
         SELECT atm_id, health_score, alert_order - 1 AS alert_order, alerts[alert_order] AS code,
           CASE WHEN contains(alerts[alert_order], 'CRITICAL') OR contains(alerts[alert_order], 'OUT_OF_SERVICE')
@@ -282,10 +287,9 @@ COMMON: dict[str, str] = {
     "found": f"""
         SELECT s.atm_id, location AS name, atm_bank AS short, location AS building,
           coalesce(s.operational_status, 'in_service') AS status, health_score AS health, activity_level,
-          greatest({half_even("(1 - cash_stress_indicator) * 100", 0)}, 0) AS cash_level, deposit_bin_utilization,
+          greatest(round_even((1 - cash_stress_indicator) * 100, 0), 0) AS cash_level, deposit_bin_utilization,
           days_to_depletion, transactions_24h_predicted AS transactions_24h, services, card_types, lat, lng,
-          {half_even(distance("17.95e0", "-76.85e0", "lat", "lng"), 2)} AS distance_km
-        FROM snapshot s JOIN pred p ON s.atm_id = p.atm_id
-        WHERE regexp_matches(services, 'Deposits')
-          AND {distance("17.95e0", "-76.85e0", "lat", "lng")} <= 5""",
+          {half_even("km", 2)} AS distance_km
+        FROM (SELECT *, {distance("17.95e0", "-76.85e0", "lat", "lng")} AS km FROM snapshot) s
+        JOIN pred p ON s.atm_id = p.atm_id WHERE regexp_matches(services, 'Deposits') AND km <= 5""",
 }

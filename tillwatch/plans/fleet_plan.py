@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tillwatch.operators import fleet as views
 from tillwatch.operators.features import HOLIDAYS, features
 from tillwatch.operators.models import FleetModels, model_heads
-from tillwatch.operators.rollup import cash_days, daily_metrics, fleet_snapshot, window_start
+from tillwatch.operators.rollup import daily_metrics, fleet_snapshot, newest_days, window_start
 from tillwatch.operators.scoring import as_day, finish_record, formula_heads, newest_with_series
 
 SNAPSHOT_DAYS = 30
@@ -64,7 +64,7 @@ class FleetJob:
         return fleet_snapshot(self.daily, self.master, SNAPSHOT_DAYS, self.anchor)
 
     def _in_snapshot(self) -> Column:
-        return F.col("day") >= window_start(cash_days(self.raw["cash_status"]), SNAPSHOT_DAYS, self.anchor)
+        return F.col("day") >= window_start(newest_days(self.raw["cash_status"]), SNAPSHOT_DAYS, self.anchor)
 
     def _rows(self) -> DataFrame:
         return views.fleet_rows_of(self.predictions(views.DAY_FIGURES), self.master)

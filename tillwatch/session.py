@@ -19,6 +19,8 @@ def local_session(cpus: str | int = "*", app: str = "tillwatch", memory: str = "
         # The JVM does not compile methods beyond 8,000 bytes; wide projections then run faster as
         # separate operators than in one generated method.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # Without call-site capture a plan of a few thousand column calls is built in half the time.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .getOrCreate()

@@ -63,10 +63,9 @@ def append_distinct(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 def appended_rows(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Row count of the result less that of the old table (negative if the old one held duplicates)."""
-    before = existing.agg(F.count("*").alias("rows_before"))
-    after = append_distinct(existing, new).agg(F.count("*").alias("rows_after"))
-    # Both sides are one-row aggregates, so the cross join is 1 x 1.
-    return after.crossJoin(before).withColumn("rows_added", F.col("rows_after") - F.col("rows_before"))
+    before = existing.agg(F.count("*")).scalar()
+    counts = append_distinct(existing, new).agg(F.count("*").alias("rows_after")).withColumn("rows_before", before)
+    return counts.withColumn("rows_added", F.col("rows_after") - F.col("rows_before"))
 
 
 def ingest_csv(spark: SparkSession, new_path: str, table_path: str | None, *, typed: DataFrame | None = None):
