@@ -103,16 +103,22 @@ def _previous_rows(days: DataFrame) -> DataFrame:
     return days.withColumns(new)
 
 
-def _whole_days_since(day: str, earlier: str) -> Column:
-    """Whole days between two moments, rounded down also where the second is later."""
-    seconds = [F.col(c).cast("timestamp").cast("double") for c in (day, earlier)]
-    return F.floor((seconds[0] - seconds[1]) / 86400)
+def _whole_days_since_service(days: DataFrame) -> Column:
+    """Whole days from the last service to the row's day, rounded down also where it lies ahead.
+
+    Counted in calendar days, so a clock change in the session's time zone plays no part; a service
+    later than midnight has not yet completed its last day.
+    """
+    kind = dict(days.dtypes)["_service"]
+    service_day = F.to_date("_service")
+    whole = F.datediff("record_date", service_day)
+    return whole if kind == "date" else whole - _flag(F.col("_service") > service_day.cast(kind))
 
 
 def _since_service(days: DataFrame) -> DataFrame:
     if "_service" not in days.columns:
         return days.withColumn("days_since_maintenance", F.lit(NEVER_SERVICED).cast("long"))
-    since = _whole_days_since("record_date", "_service")
+    since = _whole_days_since_service(days)
     return days.withColumn("days_since_maintenance", F.coalesce(since, F.lit(NEVER_SERVICED)).cast("long"))
 
 

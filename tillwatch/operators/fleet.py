@@ -309,15 +309,14 @@ def normalised(series: str) -> dict[str, Column]:
     }
 
 
+def low_cash_badge() -> Column:
+    return (F.col("status") == "in_service") & (F.col("cash_level") < LOW_CASH_LEVEL)
+
+
 def finder_counts(found: DataFrame) -> DataFrame:
     """How many machines of a result are available, and how many of those run low on cash."""
-    available = F.col("status") == "in_service"
     return found.agg(
         F.count("*").alias("machines"),
-        F.count_if(available).alias("available"),
-        F.count_if(available & (F.col("cash_level") < LOW_CASH_LEVEL)).alias("low_cash"),
+        F.count_if(F.col("status") == "in_service").alias("available"),
+        F.count_if(low_cash_badge()).alias("low_cash"),
     )
-
-
-def low_cash_badge() -> Column:
-    return (F.col("status") == "in_service") & (F.col("cash_level") < LOW_CASH_LEVEL)
