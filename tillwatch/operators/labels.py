@@ -62,17 +62,16 @@ def fold_count(rows: int) -> int:
     return min(5, max(2, rows // 10))
 
 
-def expanding_folds(rows: DataFrame, n_rows: int | None = None) -> DataFrame:
+def expanding_folds(rows: DataFrame) -> DataFrame:
     """Fold number per row: 0 is never tested, block i is tested by a fit on all rows before it.
 
-    Rows are ordered by machine and day, so blocks cut the fleet rather than the calendar.
+    Rows are ordered by machine and day, so blocks cut the fleet rather than the calendar. The
+    table's size comes along with the positions; it needs no count of its own.
     """
-    n = rows.count() if n_rows is None else n_rows
-    k = fold_count(n)
-    size = n // (k + 1)
+    n, index = F.col("row_count"), F.col("row_index")
+    k = F.least(F.lit(5), F.greatest(F.lit(2), F.floor(n / 10)))
+    size = F.floor(n / (k + 1))
     first = n - k * size
-    indexed = row_positions(rows)
-    if size == 0:
-        return indexed.withColumn("fold", F.lit(0))
-    block = F.floor((F.col("row_index") - first) / size).cast("int") + 1
-    return indexed.withColumn("fold", F.when(F.col("row_index") < first, 0).otherwise(block))
+    block = F.floor(F.try_divide(index - first, size)) + 1
+    fold = F.when((index < first) | (size == 0), 0).otherwise(block).cast("int")
+    return row_positions(rows).withColumn("fold", fold).drop("row_count")

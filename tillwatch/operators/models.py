@@ -17,7 +17,13 @@ from pyspark.sql import functions as F
 
 from tillwatch.functions import half_even
 from tillwatch.operators.labels import expanding_folds, fold_count
-from tillwatch.operators.scoring import bounded_depletion, finish_record, formula_heads, newest_with_series
+from tillwatch.operators.scoring import (
+    bounded_depletion,
+    finish_record,
+    formula_heads,
+    newest_with_series,
+    record_inputs,
+)
 from tillwatch.session import cut_lineage
 from tillwatch.sources.ingest import add_missing_columns
 
@@ -269,7 +275,7 @@ def train(labelled: DataFrame, sizes: Sizes = Sizes(), *, real_labels: bool = Fa
     if n == 0:
         models.metrics = {"status": "no_data"}
         return models
-    data = expanding_folds(rows, n).persist()
+    data = expanding_folds(rows).persist()
     try:
         models.metrics = {"rows_trained": n, "used_real_labels": real_labels}
         if "health" in heads:
@@ -321,5 +327,5 @@ def model_heads(latest: DataFrame, models: FleetModels) -> tuple[DataFrame, dict
 
 def predict_fleet(feats: DataFrame, as_of, models: FleetModels) -> DataFrame:
     """Prediction record per machine with the trained heads; untrained ones use their formula."""
-    latest, found = model_heads(newest_with_series(feats, as_of), models)
+    latest, found = model_heads(newest_with_series(record_inputs(feats, MODEL_FEATURES), as_of), models)
     return finish_record(latest, as_of, {**formula_heads(feats.columns), **found})

@@ -11,8 +11,8 @@ _LOW_BITS = 2**33 - 1
 
 
 def running_offsets(keys: DataFrame, order: str, weight: str) -> DataFrame:
-    """Per key: rank in the global order (``key_rank``, 0-based) and the sum of ``weight`` of all
-    keys before it (``row_offset``).
+    """Per key: rank in the global order (``key_rank``, 0-based), the sum of ``weight`` of all keys
+    before it (``row_offset``) and of all keys (``row_count``).
 
     ``keys`` has one row per ``order`` value. It is range-sorted, its rows are tagged with their
     partition, and the tagged rows are stored so that the tags cannot change on a retry. Only
@@ -23,21 +23,24 @@ def running_offsets(keys: DataFrame, order: str, weight: str) -> DataFrame:
     totals = tagged.groupBy("_part").agg(F.count("*").alias("_n"), F.sum(weight).alias("_w"))
     # One row per partition of the sort: at most spark.sql.shuffle.partitions rows.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     starts = totals.select(
         "_part",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
         F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_w0"),
+        F.sum("_w").over(everything).alias("row_count"),
     )
     inside = Window.partitionBy("_part").orderBy("_tag").rowsBetween(Window.unboundedPreceding, -1)
     return tagged.join(F.broadcast(starts), "_part").select(
         order,
         (F.col("_n0") + F.col("_tag").bitwiseAND(_LOW_BITS)).alias("key_rank"),
         (F.col("_w0") + F.coalesce(F.sum(weight).over(inside), F.lit(0))).alias("row_offset"),
+        "row_count",
     )
 
 
 def row_positions(rows: DataFrame, *tie: str) -> DataFrame:
-    """0-based position of every row in the (machine, day) order of the whole table."""
+    """0-based position of every row in the (machine, day) order of the table, and the table's size."""
     counts = rows.groupBy("atm_id").agg(F.count("*").alias("_rows"))
     offsets = running_offsets(counts, "atm_id", "_rows").drop("key_rank")
     w = Window.partitionBy("atm_id").orderBy("record_date", *tie)

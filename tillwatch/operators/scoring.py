@@ -196,6 +196,21 @@ def machine_profile(tx: DataFrame, cash: DataFrame) -> DataFrame:
     return balances.join(volumes, "atm_id")
 
 
+# Feature columns a prediction record and its formula heads are made from.
+RECORD_INPUTS = [
+    "atm_id", "record_date", "starting_cash_balance", "ending_cash_balance", "transaction_count", "error_count",
+    "uptime_percentage", "composite_health_score", "cash_stress_indicator", "error_acceleration",
+    "daily_withdrawal_amount_7d", "avg_transaction_amount_7d", "days_since_maintenance",
+    "deposit_bin_utilization", "operational_status", "failure_risk_score", "cash_consumption_rate", *PEAK_SHARES,
+]
+
+
+def record_inputs(feats: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """Only what scoring reads, so that the planner drops the windows of all other features."""
+    wanted = dict.fromkeys([*RECORD_INPUTS, *(extra or [])])
+    return feats.select(*[c for c in wanted if c in feats.columns])
+
+
 def newest_with_series(feats: DataFrame, as_of) -> DataFrame:
     """Newest feature row, week and months of each machine.
 
@@ -213,7 +228,7 @@ def newest_with_series(feats: DataFrame, as_of) -> DataFrame:
 
 def predictions(feats: DataFrame, as_of) -> DataFrame:
     """One prediction record per machine: figures, the four formula heads and the history series."""
-    return finish_record(newest_with_series(feats, as_of), as_of, formula_heads(feats.columns))
+    return finish_record(newest_with_series(record_inputs(feats), as_of), as_of, formula_heads(feats.columns))
 
 
 def finish_record(latest: DataFrame, as_of, heads: dict[str, Column], carry: dict[str, str] | None = None) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tillwatch.operators import fleet as views
 from tillwatch.operators.features import HOLIDAYS, features
-from tillwatch.operators.models import FleetModels, model_heads
+from tillwatch.operators.models import MODEL_FEATURES, FleetModels, model_heads
 from tillwatch.operators.rollup import daily_metrics, fleet_snapshot, newest_days, window_start
-from tillwatch.operators.scoring import as_day, finish_record, formula_heads, newest_with_series
+from tillwatch.operators.scoring import as_day, finish_record, formula_heads, newest_with_series, record_inputs
 
 SNAPSHOT_DAYS = 30
 PREDICTION_DAYS = 90
@@ -53,7 +53,7 @@ class FleetJob:
 
     def predictions(self, carry: dict[str, str] | None = None) -> DataFrame:
         """Prediction record per machine; trained models replace the formulas where there are any."""
-        feats = self.features()
+        feats = record_inputs(self.features(), MODEL_FEATURES if self.models is not None else None)
         latest, heads = newest_with_series(feats, self.as_of), formula_heads(feats.columns)
         if self.models is not None:
             latest, trained = model_heads(latest, self.models)
