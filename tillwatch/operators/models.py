@@ -275,23 +275,22 @@ def train(labelled: DataFrame, sizes: Sizes = Sizes(), *, real_labels: bool = Fa
     if n == 0:
         models.metrics = {"status": "no_data"}
         return models
-    data = expanding_folds(rows).persist()
-    try:
-        models.metrics = {"rows_trained": n, "used_real_labels": real_labels}
-        if "health" in heads:
-            if score:
-                by_fold = r2_by_fold(data, n, sizes)
-                models.metrics["r2_by_fold"] = by_fold
-                models.metrics["health_r2"] = round(sum(by_fold.values()) / len(by_fold), 4)
-            models.health = health_estimator(sizes).fit(data)
-        if "cash" in heads:
-            models.cash = fit_cash(data, sizes)
-        if "failure" in heads and data.select("y_failure").distinct().count() >= 2:
-            models.failure = failure_estimator(sizes).fit(data)
-        if "activity" in heads:
-            models.activity = fit_activity(data, sizes)
-    finally:
-        data.unpersist()
+    # Stored rather than cached: the stored rows have the partitions the adaptive planner merged,
+    # a cached frame keeps all shuffle partitions, and every fit would schedule each of them.
+    data = cut_lineage(rows.sparkSession, expanding_folds(rows))
+    models.metrics = {"rows_trained": n, "used_real_labels": real_labels}
+    if "health" in heads:
+        if score:
+            by_fold = r2_by_fold(data, n, sizes)
+            models.metrics["r2_by_fold"] = by_fold
+            models.metrics["health_r2"] = round(sum(by_fold.values()) / len(by_fold), 4)
+        models.health = health_estimator(sizes).fit(data)
+    if "cash" in heads:
+        models.cash = fit_cash(data, sizes)
+    if "failure" in heads and data.select("y_failure").distinct().count() >= 2:
+        models.failure = failure_estimator(sizes).fit(data)
+    if "activity" in heads:
+        models.activity = fit_activity(data, sizes)
     return models
 
 
