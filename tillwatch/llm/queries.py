@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillwatch.llm.language import identify
 from tillwatch.llm.shipping import ship
+from tillwatch.llm.spaced_seeds import contaminated
 from tillwatch.llm.vantage import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +36,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
