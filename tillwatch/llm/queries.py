@@ -9,7 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tillwatch.llm.language import identify
 from tillwatch.llm.shipping import ship
 from tillwatch.llm.spaced_seeds import contaminated
+from tillwatch.llm.url_filter import filter_urls, rule_table
 from tillwatch.llm.vantage import near_duplicates
+from tillwatch.llm.warc import archive_pages
+
+# The rules of the URL query.
+URL_RULES = [
+    ("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"),
+]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,3 +48,13 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
+
+
+@_query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_table(spark, sf_dir, "pages"))
