@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tillwatch.llm.block_tables import document_fingerprints
 from tillwatch.llm.language import identify
 from tillwatch.llm.shipping import ship
 from tillwatch.llm.spaced_seeds import contaminated
@@ -58,3 +59,8 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages"))
+
+
+@_query
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(_table(spark, sf_dir, "documents"))
