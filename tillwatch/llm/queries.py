@@ -5,15 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillwatch.llm.block_tables import document_fingerprints
+from tillwatch.llm.common import stored
 from tillwatch.llm.language import identify
 from tillwatch.llm.shipping import ship
 from tillwatch.llm.spaced_seeds import contaminated
+from tillwatch.llm.token_counts import apply_edits, build_trees, sample_edits
 from tillwatch.llm.url_filter import filter_urls, rule_table
 from tillwatch.llm.vantage import near_duplicates
 from tillwatch.llm.warc import archive_pages
 
+TOKENIZERS = "/opt/tokenizers"  # public vocabulary files; each query has a setting that names another one
+
 # The rules of the URL query.
 URL_RULES = [
     ("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"),
@@ -64,3 +69,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    ranks = spark.conf.get("spark.tillwatch.ranks", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    trees = stored(build_trees(docs, ranks), "token-trees")
+    found = apply_edits(docs, trees, sample_edits(docs), ranks)
+    return found.select("doc_id", "n_tokens", "edited_tokens", "edits", "encoded_chars", F.length("text").alias("edited_chars"))
