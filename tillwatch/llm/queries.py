@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillwatch.llm.block_tables import document_fingerprints
 from tillwatch.llm.common import stored
 from tillwatch.llm.language import identify
+from tillwatch.llm.sentencepiece import Vocabulary, digests, encode_documents
 from tillwatch.llm.shipping import ship
 from tillwatch.llm.spaced_seeds import contaminated
 from tillwatch.llm.token_counts import apply_edits, build_trees, sample_edits
@@ -78,3 +79,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = stored(build_trees(docs, ranks), "token-trees")
     found = apply_edits(docs, trees, sample_edits(docs), ranks)
     return found.select("doc_id", "n_tokens", "edited_tokens", "edits", "encoded_chars", F.length("text").alias("edited_chars"))
+
+
+@_query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    vocabulary = Vocabulary.load(spark.conf.get("spark.tillwatch.pieces", f"{TOKENIZERS}/piece_bpe_32k.model"))
+    found = encode_documents(docs, vocabulary)
+    found = found.withColumn("d", digests(docs, vocabulary, F.col("ids")))
+    return found.select(
+        "doc_id", "d.n_pieces", "score", "d.ids_sha256", (F.col("d.decoded_sha256") == F.col("text_sha256")).alias("round_trip")
+    )
