@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillwatch.llm.block_tables import document_fingerprints
 from tillwatch.llm.common import stored
 from tillwatch.llm.language import identify
+from tillwatch.llm.license_scan import scan_licenses
 from tillwatch.llm.lm_scoring import score_documents
 from tillwatch.llm.sentencepiece import Vocabulary, digests, encode_documents
 from tillwatch.llm.shipping import ship
@@ -97,3 +98,8 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = spark.conf.get("spark.tillwatch.pieces", f"{TOKENIZERS}/piece_bpe_32k.model")
     return score_documents(_table(spark, sf_dir, "documents"), pieces)
+
+
+@_query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
