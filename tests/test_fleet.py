@@ -87,7 +87,7 @@ def test_rounding_and_clipping(spark):
 )
 def test_depletion_bounds(spark, change, expected):
     latest = scoring.latest_features(features(one_row(spark, **change)))
-    assert latest.select(scoring.formula_depletion(latest.columns)).first()[0] == pytest.approx(expected, abs=0.005)
+    assert scoring.with_rounded(latest, {"days": scoring.formula_depletion(latest.columns)}).first()["days"] == pytest.approx(expected, abs=0.005)
 
 
 def test_week_and_months(spark):

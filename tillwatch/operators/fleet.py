@@ -72,8 +72,12 @@ def fleet_kpis(rows: DataFrame, in_snapshot: Column | None = None) -> DataFrame:
     )
 
 
+def exact_cash_level() -> Column:
+    return (1 - F.coalesce("cash_stress_indicator", F.lit(0.3))) * 100
+
+
 def cash_level(digits: int) -> Column:
-    return half_even((1 - F.coalesce("cash_stress_indicator", F.lit(0.3))) * 100, digits)
+    return half_even(exact_cash_level(), digits)
 
 
 def fleet_table(rows: DataFrame, status_from_master: bool = True) -> DataFrame:
@@ -86,6 +90,7 @@ def fleet_table(rows: DataFrame, status_from_master: bool = True) -> DataFrame:
     if not status_from_master:
         rows = rows.withColumn("_status", status).withColumn("operational_status", F.col("record_status"))
         status = F.col("_status")
+    rows = rows.withColumn("_level", exact_cash_level())  # rounded from a plain column
     return rows.select(
         "atm_id",
         F.col("atm_bank").alias("bank_name"),
@@ -102,7 +107,7 @@ def fleet_table(rows: DataFrame, status_from_master: bool = True) -> DataFrame:
         F.coalesce("transactions_24h_predicted", "day_transactions", F.lit(0)).cast("long").alias("transactions_24h"),
         F.coalesce("avg_amount", F.lit(DEFAULT_AVG_AMOUNT)).alias("avg_amount"),
         F.coalesce("avg_daily_withdrawal", F.lit(DEFAULT_DAILY_WITHDRAWAL)).alias("avg_daily_withdrawal"),
-        cash_level(1).alias("cash_level"),
+        half_even("_level", 1).alias("cash_level"),
         F.coalesce("deposit_bin_utilization", F.lit(0.0)).alias("deposit_bin_utilization"),
         "error_acceleration",
         alert_codes(rows).alias("alerts"),

@@ -12,12 +12,12 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import MinMaxScaler, RobustScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwatch.functions import half_even
 from tillwatch.operators.labels import expanding_folds, fold_count
 from tillwatch.operators.scoring import (
+    Figure,
     bounded_depletion,
     finish_record,
     formula_heads,
@@ -297,7 +297,7 @@ def train(labelled: DataFrame, sizes: Sizes = Sizes(), *, real_labels: bool = Fa
 # --- scoring ------------------------------------------------------------------------------
 
 
-def model_heads(latest: DataFrame, models: FleetModels) -> tuple[DataFrame, dict[str, Column]]:
+def model_heads(latest: DataFrame, models: FleetModels) -> tuple[DataFrame, dict[str, Figure]]:
     """Apply the models to the newest rows; returns the frame and the head expressions on it.
 
     The models read zeros for nulls; afterwards the columns get their own values back.
@@ -308,19 +308,19 @@ def model_heads(latest: DataFrame, models: FleetModels) -> tuple[DataFrame, dict
         model = getattr(models, head)
         if model is not None:
             scored = model.transform(scored)
-    found: dict[str, Column] = {}
+    found: dict[str, Figure] = {}
     if models.health is not None:
-        found["health_score"] = half_even("_health_pred", 1)
+        found["health_score"] = (F.col("_health_pred"), 1)
     if models.cash is not None:
         found["days_to_depletion"] = bounded_depletion(F.col("_cash_pred"), latest.columns)
     if models.failure is not None:
         scored = scored.withColumn("_failure_p", vector_to_array("_failure_prob")[1])
-        found["failure_probability"] = half_even("_failure_p", 3)
+        found["failure_probability"] = (F.col("_failure_p"), 3)
     if models.activity is not None:
         label = F
         for number, name in models.activity_names().items():
             label = label.when(F.col("_cluster") == number, name)
-        found["activity_level"] = label.otherwise("Moderate")
+        found["activity_level"] = (label.otherwise("Moderate"), None)
     return scored.withColumns({c: F.col(f"_own_{c}") for c in own}).drop(*[f"_own_{c}" for c in own]), found
 
 

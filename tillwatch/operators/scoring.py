@@ -42,38 +42,56 @@ def latest_features(feats: DataFrame) -> DataFrame:
     return feats.groupBy("atm_id").agg(newest.alias("_row")).select("_row.*")
 
 
-def record_columns(columns: list[str]) -> dict[str, Column]:
-    """The rounded figures of a prediction record, from the columns of the newest feature row."""
+# A column and the digits it is rounded to; None leaves it as it is.
+Figure = tuple[Column, int | None]
 
-    def optional(column: str) -> Column:
-        return half_even(column, 2) if column in columns else F.lit(0.0)
+
+def with_rounded(rows: DataFrame, figures: dict[str, Figure], *kept: Column | str) -> DataFrame:
+    """Select ``kept`` and the figures, rounded exactly.
+
+    The rounding reads its argument about nine times. Computed into a column of its own first, the
+    argument appears once in the generated code, however long it is.
+    """
+    rounded = {n: c for n, (c, digits) in figures.items() if digits is not None}
+    staged = rows.withColumns({f"_exact_{n}": c for n, c in rounded.items()})
+    shown = [
+        (c if digits is None else half_even(f"_exact_{n}", digits)).alias(n) for n, (c, digits) in figures.items()
+    ]
+    return staged.select(*kept[:1], *shown, *kept[1:])
+
+
+def record_figures(columns: list[str]) -> dict[str, Figure]:
+    """The figures of a prediction record, from the columns of the newest feature row."""
+
+    def optional(column: str) -> Figure:
+        return (F.col(column), 2) if column in columns else (F.lit(0.0), None)
 
     status = F.col("operational_status") if "operational_status" in columns else F.lit(None)
     return {
-        "record_date": F.col("record_date"),
-        "health_score": half_even("composite_health_score", 1),
-        "cash_stress_indicator": half_even("cash_stress_indicator", 3),
-        "error_acceleration": half_even("error_acceleration", 3),
-        "uptime_percentage": half_even("uptime_percentage", 1),
-        "transactions_24h": F.col("transaction_count").cast("long"),
+        "record_date": (F.col("record_date"), None),
+        "health_score": (F.col("composite_health_score"), 1),
+        "cash_stress_indicator": (F.col("cash_stress_indicator"), 3),
+        "error_acceleration": (F.col("error_acceleration"), 3),
+        "uptime_percentage": (F.col("uptime_percentage"), 1),
+        "transactions_24h": (F.col("transaction_count").cast("long"), None),
         "avg_daily_withdrawal": optional("daily_withdrawal_amount_7d"),
         "avg_amount": optional("avg_transaction_amount_7d"),
-        "days_since_maintenance": F.coalesce(F.col("days_since_maintenance"), F.lit(999)).cast("long"),
-        "deposit_bin_utilization": half_even("deposit_bin_utilization", 3),
-        "operational_status": F.coalesce(status, F.lit("in_service")),
+        "days_since_maintenance": (F.coalesce(F.col("days_since_maintenance"), F.lit(999)).cast("long"), None),
+        "deposit_bin_utilization": (F.col("deposit_bin_utilization"), 3),
+        "operational_status": (F.coalesce(status, F.lit("in_service")), None),
     }
 
 
 def base_record(feats: DataFrame) -> DataFrame:
     latest = latest_features(feats)
-    return latest.select("atm_id", *[c.alias(n) for n, c in record_columns(latest.columns).items()])
+    return with_rounded(latest, record_figures(latest.columns), "atm_id")
 
 
 def activity_by_count(tx: Column) -> Column:
     return F.when(tx > BUSY_ABOVE, "High").when(tx > MODERATE_ABOVE, "Moderate").otherwise("Low")
 
 
-def bounded_depletion(days: Column, columns: list[str]) -> Column:
+def bounded_depletion(days: Column, columns: list[str]) -> Figure:
     """Keep an estimate between half a day and a day of a full machine, scaled by how full it is.
 
     Peak days shorten the estimate and pull it into the lowest quarter of that range.
@@ -87,20 +105,20 @@ def bounded_depletion(days: Column, columns: list[str]) -> Column:
     low, high = 0.5 * fill, fill
     shortened = days / peak
     shortened = F.when(peak > 1.0, F.least(shortened, low + (high - low) * 0.25)).otherwise(shortened)
-    return F.when(balance <= 0, 0.0).otherwise(half_even(F.greatest(low, F.least(high, shortened)), 2))
+    return F.when(balance <= 0, 0.0).otherwise(F.greatest(low, F.least(high, shortened))), 2
 
 
-def formula_depletion(columns: list[str]) -> Column:
+def formula_depletion(columns: list[str]) -> Figure:
     balance, rate = F.col("ending_cash_balance"), F.col("cash_consumption_rate")
     return bounded_depletion(F.when(rate > 0, balance / rate).otherwise(7.0), columns)
 
 
-def formula_heads(columns: list[str]) -> dict[str, Column]:
+def formula_heads(columns: list[str]) -> dict[str, Figure]:
     """The four predictions without trained models: the documented fallbacks."""
     return {
-        "health_score": half_even("composite_health_score", 1),
-        "failure_probability": half_even(clip("failure_risk_score", 0.0, 1.0), 3),
-        "activity_level": activity_by_count(F.col("transaction_count")),
+        "health_score": (F.col("composite_health_score"), 1),
+        "failure_probability": (clip("failure_risk_score", 0.0, 1.0), 3),
+        "activity_level": (activity_by_count(F.col("transaction_count")), None),
         "days_to_depletion": formula_depletion(columns),
     }
 
@@ -231,18 +249,18 @@ def predictions(feats: DataFrame, as_of) -> DataFrame:
     return finish_record(newest_with_series(record_inputs(feats), as_of), as_of, formula_heads(feats.columns))
 
 
-def finish_record(latest: DataFrame, as_of, heads: dict[str, Column], carry: dict[str, str] | None = None) -> DataFrame:
+def finish_record(latest: DataFrame, as_of, heads: dict[str, Figure], carry: dict[str, str] | None = None) -> DataFrame:
     """Prediction records from the newest rows. ``carry`` keeps further columns under new names."""
-    columns = {**record_columns(latest.columns), **heads}
     series = F.struct(
         "weekly_txns",
         F.array(*[F.lit(x) for x in week_labels(as_of)]).alias("weekly_labels"),
         "monthly_inactive",
         F.array(*[F.lit(MONTH_NAMES[m - 1]) for m in past_months(as_of)]).alias("monthly_labels"),
     )
-    return latest.select(
+    return with_rounded(
+        latest,
+        {**record_figures(latest.columns), **heads},
         "atm_id",
-        *[c.alias(n) for n, c in columns.items()],
         steady_volume("weekly_txns").alias("transactions_24h_predicted"),
         series.alias("historical_series"),
         *[F.col(c).alias(n) for n, c in (carry or {}).items()],

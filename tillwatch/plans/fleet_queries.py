@@ -50,7 +50,8 @@ def predict_formula(spark, d):
 @query("depletion_days", "atm_id days_to_depletion:f", "SELECT * FROM pred")
 def depletion_days(spark, d):
     latest = scoring.latest_features(fleet_features(spark, d))
-    return latest.withColumn("days_to_depletion", scoring.formula_depletion(latest.columns))
+    depletion = {"days_to_depletion": scoring.formula_depletion(latest.columns)}
+    return scoring.with_rounded(latest, depletion, *latest.columns)
 
 
 _SUP_SLOTS = ", ".join(
