@@ -67,6 +67,9 @@ def test_csv_round_trip(spark):
     path = work_path(spark, "csv-test")
     ingest.write_raw_csv(tx, path, "transaction_time")
     assert readers.read_raw_csv(spark, path, TRANSACTIONS).collect() == tx.collect()
+    with pytest.raises(ValueError, match="header"):
+        tx.write.csv(path + "-bare")
+        readers.read_raw_csv(spark, path + "-bare", TRANSACTIONS)
 
 
 def test_ingest_writes_a_new_version(spark):

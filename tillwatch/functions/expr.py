@@ -69,10 +69,11 @@ def stable_uniform(seed: int, *keys: str) -> Column:
     """A uniform draw in (0, 1) that depends on the row's key alone.
 
     ``rand(seed)`` depends on how rows are laid out over partitions, so a retried
-    task after a shuffle may draw other values. A hash of the key never does.
+    task after a shuffle may draw other values. A hash of the key never does. The first 48 bits of
+    an MD5 digest give the same draw in any engine.
     """
-    h = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
-    return (F.pmod(h, F.lit(2**52)).cast("double") + 0.5) / F.lit(float(2**52))
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
 
 
 def stable_normal(seed: int, *keys: str) -> Column:

@@ -12,9 +12,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwatch.functions import clip, half_even, stable_normal
+from tillwatch.functions import clip, half_even
 from tillwatch.operators.ordering import running_offsets
-from tillwatch.session import cut_lineage
+from tillwatch.session import Stored, store
 from tillwatch.sources.ingest import coerce_dates, coerce_numbers
 
 # Allowed range per imputed metric.
@@ -123,10 +123,12 @@ def impute_metrics(df: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     Each round visits the columns with gaps, fewest gaps first: regress on the rows where the
     column was observed, predict where it was not, clip to the column's range. Rounds end when
     no value moves by more than a thousandth of the largest observed one.
+
+    Only rows with gaps are rewritten, into one version per round, and a version goes as soon as
+    the next one is written. The complete rows and the last version stay for the result to read.
     """
-    spark = df.sparkSession
     original = df.columns
-    ready = cut_lineage(spark, _prepare(df))
+    ready = store(_prepare(df), "impute-input")
     stats = ready.agg(
         F.count("*").alias("n"),
         *[F.count(m).alias(f"n_{m}") for m in METRICS],
@@ -149,32 +151,20 @@ def impute_metrics(df: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     fixed = _moments(complete, shift)
     gappy = ready.filter(~whole)
     gappy = gappy.withColumns({f"_seen_{m}": F.col(m).isNotNull() for m in METRICS})
-    gappy = cut_lineage(spark, gappy.withColumns({m: F.coalesce(F.col(m), F.lit(shift[m])) for m in METRICS}))
+    version = Stored(gappy.withColumns({m: F.coalesce(F.col(m), F.lit(shift[m])) for m in METRICS}), "impute-round")
 
     for _ in range(max_rounds):
-        before = {f"_old_{m}": F.col(m) for m in targets}
-        current = gappy.withColumns(before)
+        current = version.frame.withColumns({f"_old_{m}": F.col(m) for m in targets})
         for target in targets:
             seen = F.col(f"_seen_{target}")
             m = fixed + _moments(current.filter(seen), shift)
             filled = F.when(seen, F.col(target)).otherwise(_predictor_expression(target, m, shift))
             current = current.withColumn(target, filled)
-        current = cut_lineage(spark, current)
-        moved = current.agg(F.max(F.greatest(*[F.abs(F.col(m) - F.col(f"_old_{m}")) for m in targets], F.lit(0.0))))
-        gappy = current.drop(*before)
-        if moved.first()[0] < TOLERANCE * stats["largest"]:
+        change = F.greatest(*[F.abs(F.col(m) - F.col(f"_old_{m}")) for m in targets], F.lit(0.0))
+        last, version = version, Stored(current.withColumn("_moved", change).drop(*[f"_old_{m}" for m in targets]), "impute-round")
+        last.drop()
+        moved = version.frame.agg(F.max("_moved")).first()[0]
+        version.frame = version.frame.drop("_moved")
+        if moved < TOLERANCE * stats["largest"]:
             break
-    return domain_rules(complete.select(*keep).unionByName(gappy.select(*keep)))
-
-
-def perturb(df: DataFrame, columns: list[str], key: list[str], seed: int = 42, share: float = 0.005) -> DataFrame:
-    """Small Gaussian noise per column, sized by the column's own spread, two decimals."""
-    df = coerce_numbers(df, columns)
-    columns = [c for c in columns if c in df.columns]
-    spread = df.agg(F.struct(*[F.stddev_samp(c).alias(c) for c in columns])).scalar()
-
-    def noisy(i: int, c: str):
-        sigma = F.greatest(spread[c] * share, F.lit(0.01))
-        return half_even(F.col(c) + sigma * stable_normal(seed + i, *key), 2)
-
-    return df.withColumns({c: noisy(i, c) for i, c in enumerate(columns)})
+    return domain_rules(complete.select(*keep).unionByName(version.frame.select(*keep)))

@@ -24,7 +24,7 @@ from tillwatch.operators.scoring import (
     newest_with_series,
     record_inputs,
 )
-from tillwatch.session import cut_lineage
+from tillwatch.session import Stored
 from tillwatch.sources.ingest import add_missing_columns
 
 # Input columns of each model.
@@ -44,14 +44,21 @@ ACTIVITY_FEATURES = [
 ]
 MODEL_FEATURES = list(dict.fromkeys(HEALTH_FEATURES + CASH_FEATURES + FAILURE_FEATURES + ACTIVITY_FEATURES))
 SEED = 42
+TREE_MEMORY_MB = 1024  # statistics of so many nodes are gathered in one pass over the rows
 
 
 @dataclass(frozen=True)
 class Sizes:
-    """Model sizes. The defaults are the full ones; tests train smaller models."""
+    """Model sizes. The defaults are the full ones; tests train smaller models.
+
+    Trees grow without a limit where the algorithm allows it; 30 levels are the most that Spark has.
+    """
 
     trees: int = 200
-    tree_depth: int = 12
+    tree_depth: int = 30
+    tree_bins: int = 32
+    tree_leaf_rows: int = 1
+    lasso_rounds: int = 10_000
     boosting_rounds: int = 150
     boosting_depth: int = 6
     learning_rate: float = 0.05
@@ -77,7 +84,8 @@ def health_estimator(sizes: Sizes = Sizes()) -> Pipeline:
             StandardScaler(inputCol="_health_in", outputCol="_health_x", withMean=True, withStd=True),
             RandomForestRegressor(
                 featuresCol="_health_x", labelCol="y_health", predictionCol="_health_pred", numTrees=sizes.trees,
-                maxDepth=sizes.tree_depth, featureSubsetStrategy="all", seed=SEED,
+                maxDepth=sizes.tree_depth, maxBins=sizes.tree_bins, minInstancesPerNode=sizes.tree_leaf_rows,
+                featureSubsetStrategy="all", seed=SEED, maxMemoryInMB=TREE_MEMORY_MB, cacheNodeIds=True,
             ),
         ]
     )
@@ -181,17 +189,36 @@ def fit_cash(train: DataFrame, sizes: Sizes = Sizes()) -> PipelineModel:
     ).fit(train)
     n = train.count()
     folds = min(5, n)
-    scaled = prepare.transform(train).select(
-        F.least(F.floor(F.col("row_index") * folds / n), F.lit(folds - 1)).alias("_fold"),
-        vector_to_array("_cash_x").alias("_x"),
-        "y_cash",
-    )
+    # Contiguous folds; the first n mod k of them have one row more.
+    small, longer = n // folds if folds else 1, n % folds if folds else 0
+    index, bound = F.col("row_index"), longer * (small + 1)
+    fold = F.when(index < bound, F.floor(index / (small + 1))).otherwise(longer + F.floor((index - bound) / max(1, small)))
+    scaled = prepare.transform(train).select(fold.alias("_fold"), vector_to_array("_cash_x").alias("_x"), "y_cash")
     alpha = best_alpha(_fold_sums(scaled, len(CASH_FEATURES)), sizes.lasso_alphas)
     lasso = LinearRegression(
         featuresCol="_cash_x", labelCol="y_cash", predictionCol="_cash_pred", elasticNetParam=1.0, regParam=alpha,
-        standardization=False, maxIter=200,
+        standardization=False, maxIter=sizes.lasso_rounds,
     )
-    return PipelineModel(stages=[*prepare.stages, lasso.fit(prepare.transform(train))])
+    return PipelineModel(stages=[*prepare.stages, lasso.fit(prepare.transform(train).select("_cash_x", "y_cash"))])
+
+
+def lasso_conditions(train: DataFrame, model: PipelineModel, tolerance: float) -> DataFrame:
+    """Whether the fitted lasso meets its optimality conditions on the training rows.
+
+    With r the residuals and p the penalty, the mean of x_j * r (centred) equals p * sign(w_j) for each
+    weight that is not zero and is at most p otherwise. One row per feature; the sums are one aggregate.
+    """
+    lasso = model.stages[-1]
+    weights, penalty = lasso.coefficients.toArray(), float(lasso.getRegParam())
+    rows = model.transform(model_input(train))
+    x = [vector_to_array("_cash_x")[i] for i in range(len(weights))]
+    row = rows.agg(*[F.covar_pop(c, F.col("y_cash") - F.col("_cash_pred")).alias(f"c{i}") for i, c in enumerate(x)]).first()
+    found = []
+    for i, (name, w) in enumerate(zip(CASH_FEATURES, weights)):
+        slope = float(row[f"c{i}"])
+        good = abs(slope - penalty * np.sign(w)) <= tolerance if w else abs(slope) <= penalty + tolerance
+        found.append((name, bool(good), slope, float(w)))
+    return train.sparkSession.createDataFrame(found, "feature string, optimal boolean, slope double, weight double")
 
 
 def fit_activity(train: DataFrame, sizes: Sizes = Sizes()) -> PipelineModel:
@@ -202,14 +229,11 @@ def fit_activity(train: DataFrame, sizes: Sizes = Sizes()) -> PipelineModel:
             MinMaxScaler(inputCol="_activity_in", outputCol="_activity_x"),
         ]
     ).fit(train)
-    scaled = prepare.transform(train).select("_activity_x").persist()
-    try:
+    with Stored(prepare.transform(train).select("_activity_x"), "clusters") as scaled:
         fits = [
             KMeans(featuresCol="_activity_x", predictionCol="_cluster", k=3, seed=SEED + i).fit(scaled)
             for i in range(sizes.cluster_starts)
         ]
-    finally:
-        scaled.unpersist()
     best = min(fits, key=lambda m: m.summary.trainingCost)
     return PipelineModel(stages=[*prepare.stages, best])
 
@@ -265,33 +289,44 @@ def train(labelled: DataFrame, sizes: Sizes = Sizes(), *, real_labels: bool = Fa
           score: bool = True) -> FleetModels:
     """Fit the chosen heads on features with ``y_health``, ``y_cash`` and ``y_failure``.
 
-    The training columns are written out once, so neither a fit nor a retried task computes the
-    features again. Nothing but model parameters and metrics comes back to the driver.
+    The columns of the chosen heads are written out once, so neither a fit nor a retried task computes
+    the features again, and removed after the last fit. Nothing but model parameters and metrics
+    comes back to the driver.
     """
-    keep = ["atm_id", "record_date", *MODEL_FEATURES, "y_health", "y_cash", "y_failure"]
-    rows = cut_lineage(labelled.sparkSession, model_input(labelled).select(*keep))
+    used = {"health": HEALTH_FEATURES, "cash": CASH_FEATURES, "failure": FAILURE_FEATURES, "activity": ACTIVITY_FEATURES}
+    targets = {"health": ["y_health"], "cash": ["y_cash"], "failure": ["y_failure"], "activity": []}
+    columns = dict.fromkeys(c for head in heads for c in [*used[head], *targets[head]])
+    ordered = "cash" in heads or ("health" in heads and score)  # only these heads need positions or folds
+    rows = model_input(labelled).select("atm_id", "record_date", *columns)
     models = FleetModels()
-    n = rows.count()
-    if n == 0:
-        models.metrics = {"status": "no_data"}
-        return models
-    # Stored rather than cached: the stored rows have the partitions the adaptive planner merged,
-    # a cached frame keeps all shuffle partitions, and every fit would schedule each of them.
-    data = cut_lineage(rows.sparkSession, expanding_folds(rows))
-    models.metrics = {"rows_trained": n, "used_real_labels": real_labels}
+    with Stored(rows, "training") as rows:
+        n = rows.count()
+        if n == 0:
+            models.metrics = {"status": "no_data"}
+            return models
+        models.metrics = {"rows_trained": n, "used_real_labels": real_labels}
+        if not ordered:
+            _fit_heads(models, rows, n, sizes, heads, score)
+            return models
+        with Stored(expanding_folds(rows), "training-folds") as folds:
+            _fit_heads(models, folds, n, sizes, heads, score)
+    return models
+
+
+def _fit_heads(models: FleetModels, data: DataFrame, n: int, sizes: Sizes, heads, score: bool) -> None:
+    """Fit on stored rows; each head reads its own columns."""
     if "health" in heads:
         if score:
-            by_fold = r2_by_fold(data, n, sizes)
+            by_fold = r2_by_fold(data.select(*HEALTH_FEATURES, "y_health", "fold"), n, sizes)
             models.metrics["r2_by_fold"] = by_fold
             models.metrics["health_r2"] = round(sum(by_fold.values()) / len(by_fold), 4)
-        models.health = health_estimator(sizes).fit(data)
+        models.health = health_estimator(sizes).fit(data.select(*HEALTH_FEATURES, "y_health"))
     if "cash" in heads:
-        models.cash = fit_cash(data, sizes)
+        models.cash = fit_cash(data.select(*CASH_FEATURES, "y_cash", "row_index"), sizes)
     if "failure" in heads and data.select("y_failure").distinct().count() >= 2:
-        models.failure = failure_estimator(sizes).fit(data)
+        models.failure = failure_estimator(sizes).fit(data.select(*FAILURE_FEATURES, "y_failure"))
     if "activity" in heads:
-        models.activity = fit_activity(data, sizes)
-    return models
+        models.activity = fit_activity(data.select(*ACTIVITY_FEATURES), sizes)
 
 
 # --- scoring ------------------------------------------------------------------------------

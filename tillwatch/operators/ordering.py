@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwatch.session import cut_lineage
+from tillwatch.session import store
 
 _LOW_BITS = 2**33 - 1
 
@@ -19,7 +19,7 @@ def running_offsets(keys: DataFrame, order: str, weight: str) -> DataFrame:
     one total per partition is then summed up globally, and the partition number bounds that.
     """
     tagged = keys.orderBy(order).withColumn("_tag", F.monotonically_increasing_id())
-    tagged = cut_lineage(keys.sparkSession, tagged.withColumn("_part", F.shiftright("_tag", 33)))
+    tagged = store(tagged.withColumn("_part", F.shiftright("_tag", 33)), "offsets")
     totals = tagged.groupBy("_part").agg(F.count("*").alias("_n"), F.sum(weight).alias("_w"))
     # One row per partition of the sort: at most spark.sql.shuffle.partitions rows.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

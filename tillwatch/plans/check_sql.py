@@ -35,6 +35,16 @@ def distance(lat1, lng1, lat2, lng2) -> str:
     return f"(6371e0 * 2 * atan2(sqrt({a}), sqrt(1 - {a})))"
 
 
+def uniform(seed: int) -> str:
+    """The draw of a machine-day."""
+    text = f"concat_ws('|', '{seed}', atm_id, CAST(record_date AS VARCHAR))"
+    return f"((CAST('0x' || substr(md5({text}), 1, 12) AS BIGINT) + 0.5e0) / {2**48}e0)"
+
+
+def normal(seed: int) -> str:
+    return f"(sqrt(-2 * ln({uniform(2 * seed)})) * cos(2 * pi() * {uniform(2 * seed + 1)}))"
+
+
 _DAYS = ", ".join(f"DATE '{d}'" for d in FIXTURE_HOLIDAYS)
 
 _H = "PARTITION BY atm_id ORDER BY record_date"

@@ -5,19 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillwatch.operators import labels
-from tillwatch.operators.impute import impute_metrics, perturb
-from tillwatch.operators.models import FleetModels, Sizes, predict_fleet, train
+from tillwatch.operators.impute import BOUNDS, METRICS, impute_metrics
+from tillwatch.operators.models import CASH_FEATURES, FleetModels, lasso_conditions, predict_fleet, train
 from tillwatch.plans.catalog import query
-from tillwatch.plans.check_sql import AS_OF
+from tillwatch.plans.check_sql import AS_OF, normal, uniform
+from tillwatch.plans.fleet_plan import FleetJob
 from tillwatch.plans.feature_queries import fleet_features
 from tillwatch.plans.raw_queries import daily, gappy
 from tillwatch.session import work_path
 from tillwatch.sources import tables as t
 from tillwatch.streaming import ingest as stream
 
-# Model sizes of the named queries. The library's own defaults are the full sizes.
-QUERY_SIZES = Sizes(trees=20, tree_depth=8, boosting_rounds=10, cluster_starts=3)
-
 _LABELS = "atm_id record_date:d y_health:f y_failure:i y_cash:f"
 _LABELS_SQL = """
     SELECT atm_id, record_date, least(greatest(composite_health_score, 0), 100) AS y_health,
@@ -34,7 +32,13 @@ def _training(spark, d):
     return labels.noisy_labels(labels.pseudo_labels(fleet_features(spark, d)))
 
 
-@query("noisy_labels", _LABELS)
+@query(
+    "noisy_labels",
+    _LABELS,
+    f"""SELECT atm_id, record_date, least(greatest(y_health + 2.5e0 * {normal(42)}, 0), 100) AS y_health,
+          CASE WHEN {uniform(62)} < 0.02 THEN 1 - y_failure ELSE y_failure END AS y_failure,
+          least(greatest(y_cash + 0.5e0 * {normal(52)}, 0), 60) AS y_cash FROM ({_LABELS_SQL})""",
+)
 def noisy_labels(spark, d):
     return _training(spark, d)
 
@@ -75,70 +79,127 @@ def ts_folds(spark, d):
     return labels.expanding_folds(t.supplier_days(spark, d).select("atm_id", "record_date"))
 
 
-@query("r2_per_fold", "fold:i r2:f")
+# Fitted values differ between libraries; what is exact is who gets a prediction, the ranges and the folds.
+_MACHINES = "SELECT DISTINCT atm_id FROM feat_all"
+
+
+@query(
+    "r2_per_fold",
+    "fold:i is_share",
+    """SELECT unnest(range(1, k + 1)) AS fold, true AS is_share
+       FROM (SELECT least(5, greatest(2, count(*) // 10)) AS k FROM feat_all)""",
+)
 def r2_per_fold(spark, d):
-    models = train(_training(spark, d), QUERY_SIZES, heads=("health",))
-    return spark.createDataFrame(list(models.metrics["r2_by_fold"].items()), "fold int, r2 double")
+    """One score per fold, at most 1."""
+    models = train(_training(spark, d), heads=("health",))
+    scores = spark.createDataFrame(list(models.metrics["r2_by_fold"].items()), "fold int, r2 double")
+    return scores.select("fold", (F.col("r2") <= 1).alias("is_share"))
 
 
 def _apply(spark, d, head):
-    models = train(_training(spark, d), QUERY_SIZES, heads=(head,), score=False)
+    models = train(_training(spark, d), heads=(head,), score=False)
     return predict_fleet(fleet_features(spark, d), AS_OF, models)
 
 
-@query("train_health", "atm_id health_score:f")
+def _within(column, low, high):
+    return F.col(column).between(low, high).alias("in_range")
+
+
+@query("train_health", "atm_id in_range", f"SELECT atm_id, true AS in_range FROM ({_MACHINES})")
 def train_health(spark, d):
-    return _apply(spark, d, "health")
+    return _apply(spark, d, "health").select("atm_id", _within("health_score", 0, 100))
 
 
-@query("train_cash", "atm_id days_to_depletion:f")
+@query("train_cash", "atm_id in_range", f"SELECT atm_id, true AS in_range FROM ({_MACHINES})")
 def train_cash(spark, d):
-    return _apply(spark, d, "cash")
+    return _apply(spark, d, "cash").select("atm_id", _within("days_to_depletion", 0, 1))
+
+
+@query(
+    "cash_optimum",
+    "feature optimal",
+    f"SELECT unnest([{', '.join(repr(c) for c in CASH_FEATURES)}]) AS feature, true AS optimal",
+)
+def cash_optimum(spark, d):
+    """The optimality conditions of the fitted lasso on its training rows, per feature."""
+    rows = _training(spark, d)
+    return lasso_conditions(rows, train(rows, heads=("cash",)).cash, 1e-4).select("feature", "optimal")
 
 
-@query("train_failure", "atm_id failure_probability:f")
+@query("train_failure", "atm_id in_range", f"SELECT atm_id, true AS in_range FROM ({_MACHINES})")
 def train_failure(spark, d):
-    return _apply(spark, d, "failure")
+    return _apply(spark, d, "failure").select("atm_id", _within("failure_probability", 0, 1))
 
 
-@query("train_activity", "atm_id activity_level")
+@query(
+    "train_activity",
+    "atm_id known_level levels:i",
+    f"SELECT atm_id, true AS known_level, 3 AS levels FROM ({_MACHINES})",
+)
 def train_activity(spark, d):
-    return _apply(spark, d, "activity")
+    models = train(_training(spark, d), heads=("activity",))
+    levels = predict_fleet(fleet_features(spark, d), AS_OF, models)
+    known = F.col("activity_level").isin("Low", "Moderate", "High")
+    return levels.select("atm_id", known.alias("known_level"), F.lit(len(models.activity_names())).alias("levels"))
 
 
-@query("training_summary", "rows_trained:i used_real_labels health_r2:f")
+@query(
+    "training_summary",
+    "rows_trained:i used_real_labels is_share",
+    "SELECT count(*) AS rows_trained, true AS used_real_labels, true AS is_share FROM feat_all WHERE CAST(atm_id AS BIGINT) % 2 = 0",
+)
 def training_summary(spark, d):
     labelled = labels.join_labels(fleet_features(spark, d), _measured(spark, d))
-    m = train(labelled, QUERY_SIZES, real_labels=True, heads=("health",)).metrics
+    m = train(labelled, real_labels=True, heads=("health",)).metrics
     return spark.createDataFrame(
-        [(m["rows_trained"], m["used_real_labels"], m["health_r2"])],
-        "rows_trained long, used_real_labels boolean, health_r2 double",
+        [(m["rows_trained"], m["used_real_labels"], m["health_r2"] <= 1)],
+        "rows_trained long, used_real_labels boolean, is_share boolean",
     )
 
 
 @query(
     "predict_fleet",
-    "atm_id health_score:f failure_probability:f activity_level days_to_depletion:f transactions_24h_predicted:i",
+    "atm_id transactions_24h_predicted:i in_range",
+    "SELECT atm_id, transactions_24h_predicted, true AS in_range FROM pred",
 )
 def fleet_predictions(spark, d):
-    """All four heads, trained, stored, loaded again and applied."""
+    """All four heads, trained, stored, loaded again and applied to the last 90 days of the fleet."""
     path = work_path(spark, "models")
-    train(_training(spark, d), QUERY_SIZES, score=False).save(path)
-    return predict_fleet(fleet_features(spark, d), AS_OF, FleetModels.load(spark, path))
+    train(_training(spark, d), score=False).save(path)
+    job = FleetJob(t.raw_tables(spark, d), AS_OF, anchor=AS_OF, models=FleetModels.load(spark, path))
+    ranges = {"health_score": (0, 100), "failure_probability": (0, 1), "days_to_depletion": (0, 1)}
+    good = F.col("activity_level").isin("Low", "Moderate", "High")
+    for column, (low, high) in ranges.items():
+        good = good & F.col(column).between(low, high)
+    return job.predictions().select("atm_id", "transactions_24h_predicted", good.alias("in_range"))
 
 
 @query(
     "impute_metrics",
-    "atm_id record_date:d uptime_percentage:f error_count:i transaction_count:i starting_cash_balance:i "
-    "ending_cash_balance:i",
+    "atm_id n_rows:i n_null:i n_out:i n_changed:i",
+    "SELECT atm_id, count(*) AS n_rows, 0 AS n_null, 0 AS n_out, 0 AS n_changed FROM daily GROUP BY atm_id",
 )
 def imputed(spark, d):
-    return impute_metrics(gappy(daily(spark, d)))
-
-
-@query("perturb", "atm_id record_date:d uptime_percentage:f ending_cash_balance:f")
-def perturbed(spark, d):
-    return perturb(daily(spark, d), ["uptime_percentage", "ending_cash_balance"], ["atm_id", "record_date"])
+    """Per machine: rows, nulls left, rows out of bounds or with an end above the start, and observed
+    values that changed by more than the rounding to whole numbers."""
+    given = gappy(daily(spark, d))
+    filled = impute_metrics(given)
+    before = given.select("atm_id", "record_date", *[F.col(m).alias(f"_old_{m}") for m in METRICS])
+    both = filled.join(before, ["atm_id", "record_date"])
+    null, out, changed = (F.lit(False) for _ in range(3))
+    for m in METRICS:
+        low, high = BOUNDS[m]
+        old = F.col(f"_old_{m}")
+        null = null | F.col(m).isNull()
+        out = out | ~F.col(m).between(low, high)
+        if m == "ending_cash_balance":  # an observed end above the start is cut to it by the domain rules
+            old = F.when(old.isNotNull(), F.least(old, F.col("starting_cash_balance")))
+        changed = changed | F.coalesce(F.abs(F.col(m) - old) > 0.5, F.lit(False))
+    out = out | (F.col("ending_cash_balance") > F.col("starting_cash_balance"))
+    return both.groupBy("atm_id").agg(
+        F.count("*").alias("n_rows"), F.count_if(null).alias("n_null"), F.count_if(out).alias("n_out"),
+        F.count_if(changed).alias("n_changed"),
+    )
 
 
 # --- streams ------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from tillwatch.operators import rollup
 from tillwatch.operators.impute import METRICS, domain_rules, impute_zero
 from tillwatch.plans.catalog import query
 from tillwatch.plans.check_sql import AS_OF
-from tillwatch.schemas import TRANSACTIONS
+from tillwatch.schemas import RAW_TABLES
 from tillwatch.session import work_path
 from tillwatch.sources import ingest, readers
 from tillwatch.sources import tables as t
@@ -34,6 +34,13 @@ def daily(spark, d, **days):
 # --- sources and sinks -----------------------------------------------------------------
 
 
+def _through_csv(spark, name, df, *, order=None):
+    """Write a table as CSV in a layout of its own and read it back by its header."""
+    path = work_path(spark, f"{name}-csv")
+    df.select(*(order or df.columns)).write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+    return readers.read_raw_csv(spark, path, RAW_TABLES[name])
+
+
 @query(
     "scan_raw",
     "transaction_id:i atm_id transaction_time:t amount:f transaction_type transaction_status:i",
@@ -42,7 +49,85 @@ def daily(spark, d, **days):
 def scan_raw(spark, d):
     path = work_path(spark, "transactions-csv")
     ingest.write_raw_csv(t.transactions(t.event_log(spark, d)), path, "transaction_time")
-    return readers.read_raw_csv(spark, path, TRANSACTIONS)
+    return readers.read_raw_csv(spark, path, RAW_TABLES["transactions"])
+
+
+@query(
+    "scan_transactions",
+    "transaction_id:i atm_id transaction_time:t withdrawal_amount:f transaction_status:i",
+    "SELECT *, amount AS withdrawal_amount FROM tx WHERE transaction_type = 'withdrawal'",
+)
+def scan_transactions(spark, d):
+    """The documented layout without types."""
+    tx = t.transactions_untyped(t.event_log(spark, d))
+    layout = ["transaction_id", "atm_id", "transaction_time", "withdrawal_amount", "transaction_status"]
+    return _through_csv(spark, "transactions", tx, order=layout)
+
+
+@query("scan_cash", "atm_id timestamp:d remaining_cash:f", "SELECT atm_id, record_date AS timestamp, remaining_cash FROM cash")
+def scan_cash(spark, d):
+    """Without the record id."""
+    return _through_csv(spark, "cash_status", t.cash_status(t.event_log(spark, d)), order=["atm_id", "timestamp", "remaining_cash"])
+
+
+@query(
+    "scan_logs",
+    "atm_id timestamp:t uptime_status:i error_code downtime_duration:i note",
+    "SELECT *, ts AS timestamp, 'n' AS note FROM status_log",
+)
+def scan_logs(spark, d):
+    """Columns in another order, no record id, and a column of the sender's own."""
+    logs = t.operational_logs(t.event_log(spark, d)).withColumn("note", F.lit("n"))
+    layout = ["error_code", "note", "downtime_duration", "timestamp", "atm_id", "uptime_status"]
+    return _through_csv(spark, "operational_logs", logs, order=layout)
+
+
+@query("scan_maintenance", "atm_id maintenance_date:t maintenance_type amount_added:f", "SELECT * FROM maint")
+def scan_maintenance(spark, d):
+    layout = ["atm_id", "maintenance_date", "maintenance_type", "amount_added"]
+    return _through_csv(spark, "maintenance_records", t.maintenance_records(t.event_log(spark, d)), order=layout)
+
+
+@query("scan_metadata", "atm_id atm_bank location atm_model lat:f lng:f", "SELECT * FROM master")
+def scan_metadata(spark, d):
+    layout = ["atm_id", "atm_bank", "location", "atm_model", "lat", "lng"]
+    return _through_csv(spark, "atm_metadata", t.atm_metadata(spark, d), order=layout)
+
+
+@query("daily_from_csv", _DAILY, "SELECT * FROM daily")
+def daily_from_csv(spark, d):
+    """The roll-up over CSV files, columns in reverse order, equals the one over parquet."""
+    raw = {n: df for n, df in t.raw_tables(spark, d).items() if n != "atm_metadata"}
+    read = {n: _through_csv(spark, n, df, order=df.columns[::-1]) for n, df in raw.items()}
+    return rollup.daily_metrics(
+        read["cash_status"], read["transactions"], read["operational_logs"], read["maintenance_records"]
+    )
+
+
+@query(
+    "merge_raw_backup",
+    "table_name rows_kept:i from_raw:i",
+    """SELECT * FROM (
+         SELECT 'transactions' AS table_name, count(*) AS rows_kept, count(*) FILTER (WHERE transaction_id % 3 <> 0) AS from_raw FROM tx
+         UNION ALL SELECT 'cash_status', count(*), count(*) FILTER (WHERE cash_id % 3 <> 0) FROM cash
+         UNION ALL SELECT 'operational_logs', count(*), count(*) FILTER (WHERE log_id % 3 <> 0) FROM status_log
+         UNION ALL SELECT 'maintenance_records', count(*), count(*) FILTER (WHERE maintenance_id % 3 <> 0) FROM maint
+         UNION ALL SELECT 'atm_metadata', count(*), count(*) FILTER (WHERE CAST(atm_id AS BIGINT) % 3 <> 0) FROM master)""",
+)
+def merge_raw_backup(spark, d):
+    """A raw folder that lacks every third record and a backup folder with all of them."""
+    tables = t.raw_tables(spark, d)
+    keys = readers.RECORD_IDS
+    raw = {n: df.filter(F.col(keys[n]).cast("long") % 3 != 0).withColumn("origin", F.lit("raw")) for n, df in tables.items()}
+    merged = readers.merge_raw_and_backup(raw, {n: df.withColumn("origin", F.lit("backup")) for n, df in tables.items()})
+    counts = [
+        df.agg(F.lit(n).alias("table_name"), F.count("*").alias("rows_kept"), F.count_if(F.col("origin") == "raw").alias("from_raw"))
+        for n, df in merged.items()
+    ]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
 
 
 @query(

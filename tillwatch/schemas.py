@@ -35,10 +35,11 @@ TRAINING_LABELS = _schema(
     actual_days_to_depletion=_D,
 )
 
+# All columns that a raw table may have; a file holds some of them, in any order.
 RAW_TABLES = {
     "cash_status": CASH_STATUS,
     "operational_logs": OPERATIONAL_LOGS,
-    "transactions": TRANSACTIONS,
+    "transactions": T.StructType([*TRANSACTIONS, TRANSACTIONS_UNTYPED["withdrawal_amount"]]),
     "maintenance_records": MAINTENANCE_RECORDS,
     "atm_metadata": ATM_METADATA,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str | int = "*", app: str = "tillwatch", memory: str = "12g") -> SparkSession:
@@ -32,23 +32,63 @@ def local_session(cpus: str | int = "*", app: str = "tillwatch", memory: str = "
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (a bare local session) a temporary folder is made.
+    Only where the cluster names none (a bare local session) a temporary folder is made. A folder
+    of the driver's own disk is refused on a cluster, unless ``spark.tillwatch.sharedLocalFolder``
+    says that it is mounted on all machines.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    local = context.master.startswith("local")
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not local:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="tillwatch-")
-        spark.sparkContext.setCheckpointDir(named)
+        context.setCheckpointDir(named)
+    if not local and spark.conf.get("spark.tillwatch.sharedLocalFolder", "false") != "true":
+        if _path(spark, named)[1].getScheme() == "file":
+            raise RuntimeError(f"{named} is a local folder; executors on other machines cannot see it")
     return named
 
 
+def _path(spark: SparkSession, path: str):
+    """A path and its file system, as the cluster's file layer sees them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def work_path(spark: SparkSession, purpose: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/tillwatch/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(spark: SparkSession, df):
-    """Write the frame out once (reliable checkpoint) so that later plans start from stored rows."""
-    shared_dir(spark)
-    return df.checkpoint(eager=True)
+def remove_path(spark: SparkSession, path: str) -> None:
+    where, system = _path(spark, path)
+    system.delete(where, True)
+
+
+class Stored:
+    """A frame written as parquet below the shared folder and read back.
+
+    Later plans start from the stored columns, with pruning and statistics, and the files outlive lost
+    executors. ``drop`` removes them; used in a ``with`` block, the files go at its end.
+    """
+
+    def __init__(self, df: DataFrame, purpose: str):
+        self.spark = df.sparkSession
+        self.path = work_path(self.spark, purpose)
+        df.write.parquet(self.path)
+        self.frame = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        remove_path(self.spark, self.path)
+
+    def __enter__(self) -> DataFrame:
+        return self.frame
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
+
+def store(df: DataFrame, purpose: str) -> DataFrame:
+    """The same for a frame whose lazy result is handed on: the job's owner clears the folder."""
+    return Stored(df, purpose).frame
