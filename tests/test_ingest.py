@@ -72,13 +72,38 @@ def test_csv_round_trip(spark):
         readers.read_raw_csv(spark, path + "-bare", TRANSACTIONS)
 
 
-def test_ingest_writes_a_new_version(spark):
-    upload = spark.createDataFrame([("A", "2026-01-01", 5.0)], "atm_id string, timestamp string, remaining_cash double")
-    name, first = ingest.ingest_csv(spark, "", None, typed=upload)
-    assert name == "cash_status"
-    more = upload.unionByName(spark.createDataFrame([("B", "2026-01-01", 6.0)], upload.schema))
-    _, second = ingest.ingest_csv(spark, "", first, typed=more)
-    assert spark.read.parquet(second).count() == 2 and spark.read.parquet(first).count() == 1
+def test_upload_appends_only_what_is_new(spark):
+    tables, sent = work_path(spark, "tables"), work_path(spark, "sent")
+    rows = [("A", "2026-01-01", "5.00"), ("A", "2026-01-01", "5.0"), ("B", "2026-01-02", "n/a"), ("B", "soon", "7")]
+    spark.createDataFrame(rows, "atm_id string, timestamp string, remaining_cash string").write.option("header", True).csv(sent)
+    assert ingest.upload_csv(spark, sent, tables) == {"table": "cash_status", "rows_added": 3, "status": "ok"}
+    assert ingest.upload_csv(spark, sent, tables)["rows_added"] == 0
+    wider = sent + "-wider"
+    spark.createDataFrame([("A", "2026-01-01", 5.0, 1), ("C", "2026-01-01", 1.0, 2)], "atm_id string, timestamp string, remaining_cash double, cash_id long").write.option("header", True).csv(wider)
+
+    def broken():
+        raise RuntimeError("no model today")
+
+    assert ingest.upload_csv(spark, wider, tables, broken) == {
+        "table": "cash_status", "rows_added": 2, "status": "partial", "error": "no model today"}
+    got = ingest.read_table(spark, f"{tables}/cash_status")
+    assert got.count() == 5 and dict(got.dtypes)["remaining_cash"] == "double" and dict(got.dtypes)["timestamp"] == "date"
+
+
+def test_late_and_repeated_rows_of_a_stream(spark):
+    folder, target = work_path(spark, "late"), work_path(spark, "late-out")
+    make = lambda *days: spark.createDataFrame(
+        [(d, "A", dt.datetime(2026, 1, d), 1.0, "w", 1) for d in days], TRANSACTIONS).coalesce(1)
+    for days in ((10,), (20,), (5, 21), (10,)):
+        make(*days).write.mode("append").parquet(folder)
+    rows = stream.read_files(spark, folder, TRANSACTIONS, max_files=1)
+    stream.ingest_all(rows, target, work_path(spark, "late-cp"), "transaction_time").awaitTermination()
+    assert sorted(r["transaction_id"] for r in ingest.read_table(spark, target).collect()) == [5, 10, 20, 21]
+
+
+def test_a_whole_table_read_by_one_task_must_be_asked_for(spark):
+    with pytest.raises(ValueError, match="bounds"):
+        readers.daily_metrics_jdbc(spark, "jdbc:none")
 
 
 def test_metrics_read_filters_reach_a_parquet_scan(spark):

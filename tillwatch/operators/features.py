@@ -202,15 +202,17 @@ def _volatility(days: DataFrame) -> Column:
 
 
 def hourly_spread(column: str) -> Column:
+    """Population spread of an array in one pass: sums and squares of the distances from the first value."""
     counts = F.transform(column, lambda x: x.cast("double"))
     n = F.size(column)
 
     def add(acc, x):
-        return acc + x
+        d = x - acc["first"]
+        return F.struct(acc["first"].alias("first"), (acc["s"] + d).alias("s"), (acc["q"] + d * d).alias("q"))
 
-    mean = F.aggregate(counts, F.lit(0.0), add) / n
-    squares = F.aggregate(F.transform(counts, lambda x: (x - mean) * (x - mean)), F.lit(0.0), add)
-    return F.when(n > 0, F.sqrt(squares / n)).otherwise(0.0)
+    start = F.struct(F.get(counts, F.lit(0)).alias("first"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    variance = F.aggregate(counts, start, add, lambda acc: (acc["q"] - acc["s"] * acc["s"] / n) / n)
+    return F.when(n > 0, F.sqrt(F.greatest(variance, F.lit(0.0)))).otherwise(0.0)
 
 
 def _scores(days: DataFrame) -> DataFrame:

@@ -36,17 +36,21 @@ def near_point(machines: DataFrame, lat: float, lng: float, radius_km: float = D
     )
 
 
-def near_points(machines: DataFrame, points: DataFrame, radius_km: float = DEFAULT_RADIUS_KM) -> DataFrame:
+CELL_MACHINES = 10_000  # machines of a cell that one task meets
+
+
+def near_points(machines: DataFrame, points: DataFrame, radius_km: float = DEFAULT_RADIUS_KM,
+                cell_machines: int = CELL_MACHINES) -> DataFrame:
     """All (point, machine) pairs within the radius.
 
     Both sides get a grid cell no smaller than the radius; a point is copied to the cells its
     box touches, a machine stays in one, and the pair is found by an equi-join on the cell.
-    A crowded cell is split by the machine's id over ``salts`` sub-cells.
+    Cells with more than ``cell_machines`` machines are split by the machine's id into as many parts as
+    that takes, and only their points are copied to the parts.
     """
     angle = radius_km / EARTH_RADIUS_KM
     columns = max(1, math.floor(360 / math.degrees(angle)))
     size = 360 / columns
-    salts = 8
     cell = lambda c: F.floor((F.col(c) + 180) / size)
     dlat = math.degrees(angle) + _SLACK
     polar = F.abs(F.col("point_lat")) + dlat >= 90
@@ -67,11 +71,15 @@ def near_points(machines: DataFrame, points: DataFrame, radius_km: float = DEFAU
                 )
             ),
         )
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     placed = machines.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull()).withColumns(
-        {"_x": F.pmod(cell("lng"), F.lit(columns)), "_y": cell("lat"), "_salt": F.pmod(F.hash("atm_id"), F.lit(salts))}
+        {"_x": F.pmod(cell("lng"), F.lit(columns)), "_y": cell("lat")}
     )
+    # One row per crowded cell; the number of machines over the bound limits how many there are.
+    crowded = placed.groupBy("_x", "_y").agg(F.ceil(F.count("*") / cell_machines).cast("int").alias("_parts")).filter("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1))
+    asked = asked.join(crowded, ["_x", "_y"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    placed = placed.join(crowded, ["_x", "_y"], "left").withColumn("_salt", F.pmod(F.hash("atm_id"), parts)).drop("_parts")
     return (
         asked.join(placed, ["_x", "_y", "_salt"])
         .withColumn("distance_km", distance_km("point_lat", "point_lng", "lat", "lng"))

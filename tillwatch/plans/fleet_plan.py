@@ -85,11 +85,22 @@ class FleetJob:
     def finder(self, **request) -> DataFrame:
         return views.finder(self.rows(), **request)
 
-    def machine(self, atm_id: str) -> DataFrame:
-        """One machine's record. The id filter moves below the windows to the raw scans."""
+    def machine(self, atm_id: str, status_from_master: bool = True) -> DataFrame:
+        """One machine's record. The id filter moves below the windows to the raw scans.
+
+        ``status_from_master`` shows the master's status and lets it into the alert rules, as in the
+        fleet table; without it the record's own status stands.
+        """
         mine = self.predictions().filter(F.col("atm_id") == atm_id)
-        master = self.master.filter(F.col("atm_id") == atm_id).select("atm_id", "location", "services", "card_types")
-        return mine.join(master, "atm_id").select(
+        wanted = [c for c in ("location", "services", "card_types", "operational_status") if c in self.master.columns]
+        master = self.master.filter(F.col("atm_id") == atm_id).select("atm_id", *wanted)
+        if status_from_master and "operational_status" in wanted:
+            master = master.withColumnRenamed("operational_status", "_master_status")
+            mine = mine.join(master, "atm_id")
+            mine = mine.withColumn("operational_status", F.coalesce("_master_status", "operational_status"))
+        else:
+            mine = mine.join(master.drop("operational_status"), "atm_id")
+        return mine.select(
             "atm_id",
             F.col("location").alias("name"),
             "services",

@@ -137,10 +137,10 @@ def fleet_with_defaults(spark, d):
     "machine_detail",
     "atm_id name services card_types status health_score:f failure_probability:f activity_level cash_level:f "
     "days_to_depletion:f uptime_percentage:f error_acceleration:f alerts:a",
-    """SELECT p.atm_id, m.location AS name, m.services, m.card_types, 'in_service' AS status, p.health_score,
+    """SELECT p.atm_id, m.location AS name, m.services, m.card_types, m.operational_status AS status, p.health_score,
          p.failure_probability, p.activity_level, floor((1 - cash_stress_indicator) * 100 + 0.5) AS cash_level,
          p.days_to_depletion, p.uptime_percentage, p.error_acceleration,
-         list_filter(f.alerts, lambda x: x <> 'OUT_OF_SERVICE') AS alerts
+         f.alerts
        FROM pred p JOIN master m ON p.atm_id = m.atm_id JOIN fleet f ON f.atm_id = p.atm_id WHERE p.atm_id = '7'""",
 )
 def machine_detail(spark, d):
@@ -314,15 +314,13 @@ def nearby(spark, d):
     "point_id atm_id distance_km:f",
     f"""SELECT * FROM (
           SELECT p.location AS point_id, m.atm_id, {distance("p.lat", "p.lng", "m.lat", "m.lng")} AS distance_km
-          FROM (SELECT location, arg_min(lat, atm_id) AS lat, arg_min(lng, atm_id) AS lng FROM master GROUP BY location) p
+          FROM (SELECT atm_id AS location, lat, lng FROM master) p
           CROSS JOIN master m) WHERE distance_km <= 2""",
 )
 def nearby_join(spark, d):
-    """Machines around the first machine of every location."""
+    """Machines around every machine."""
     master = t.atm_metadata(spark, d)
-    points = master.groupBy(F.col("location").alias("point_id")).agg(
-        F.min_by("lat", "atm_id").alias("point_lat"), F.min_by("lng", "atm_id").alias("point_lng")
-    )
+    points = master.select(F.col("atm_id").alias("point_id"), F.col("lat").alias("point_lat"), F.col("lng").alias("point_lng"))
     return geo.near_points(master, points)
 
 

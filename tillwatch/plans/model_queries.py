@@ -8,12 +8,13 @@ from tillwatch.operators import labels
 from tillwatch.operators.impute import BOUNDS, METRICS, impute_metrics
 from tillwatch.operators.models import CASH_FEATURES, FleetModels, lasso_conditions, predict_fleet, train
 from tillwatch.plans.catalog import query
-from tillwatch.plans.check_sql import AS_OF, normal, uniform
+from tillwatch.plans.check_sql import AS_OF, FIXTURE_HOLIDAYS, normal, uniform
 from tillwatch.plans.fleet_plan import FleetJob
 from tillwatch.plans.feature_queries import fleet_features
 from tillwatch.plans.raw_queries import daily, gappy
 from tillwatch.session import work_path
 from tillwatch.sources import tables as t
+from tillwatch.sources.ingest import read_table
 from tillwatch.streaming import ingest as stream
 
 _LABELS = "atm_id record_date:d y_health:f y_failure:i y_cash:f"
@@ -233,3 +234,34 @@ def stream_daily_tx(spark, d):
     """Equals the batch roll-up for the days that are closed."""
     tx = t.transactions(t.event_rows(_event_stream(spark, d)))
     return _finished(spark, stream.daily_transactions(tx), "daily-tx")
+
+
+@query("stream_late_rows", "transaction_id:i atm_id transaction_time:t amount:f transaction_type transaction_status:i", "SELECT * FROM tx")
+def stream_late_rows(spark, d):
+    """Four files, one per trigger: late days first, then the newest, then the oldest, then the first again."""
+    folder, target = work_path(spark, "late-files"), work_path(spark, "late-table")
+    tx = t.transactions(t.event_log(spark, d))
+    day = F.to_date("transaction_time")
+    newest = F.lit(AS_OF).cast("date")
+    for part in (day < F.date_sub(newest, 20), day >= F.date_sub(newest, 5), day.between(F.date_sub(newest, 20), F.date_sub(newest, 6)),
+                 day < F.date_sub(newest, 20)):
+        tx.filter(part).coalesce(1).write.mode("append").parquet(folder)
+    rows = stream.read_files(spark, folder, tx.schema, max_files=1)
+    stream.ingest_all(rows, target, work_path(spark, "late-checkpoint"), "transaction_time").awaitTermination()
+    return read_table(spark, target)
+
+
+@query(
+    "stream_features",
+    "atm_id record_date:d composite_health_score:f",
+    "SELECT atm_id, record_date, composite_health_score FROM feat_all WHERE CAST(atm_id AS BIGINT) % 2 = 0",
+)
+def stream_features(spark, d):
+    """Two batches name the even machines, some of them twice; each machine has one current version."""
+    folder, target = work_path(spark, "changed"), work_path(spark, "current-features")
+    even = daily(spark, d).select("atm_id").distinct().filter(F.col("atm_id").cast("long") % 2 == 0)
+    even.coalesce(1).write.parquet(folder)
+    even.filter(F.col("atm_id").cast("long") % 4 == 0).coalesce(1).write.mode("append").parquet(folder)
+    changed = stream.read_files(spark, folder, even.schema, max_files=1)
+    stream.refresh_features(changed, daily(spark, d), target, work_path(spark, "changed-checkpoint"), FIXTURE_HOLIDAYS).awaitTermination()
+    return stream.current_features(spark, target)

@@ -196,6 +196,29 @@ def append_new_rows(spark, d):
     return ingest.appended_rows(*_two_uploads(spark, d))
 
 
+@query(
+    "upload_flow",
+    "transaction_id:i atm_id transaction_time:t amount:f transaction_type transaction_status:i",
+    """SELECT * FROM tx WHERE transaction_id % 2 = 0
+       UNION SELECT * REPLACE (CASE WHEN transaction_id % 7 = 0 THEN NULL ELSE amount END AS amount) FROM tx""",
+)
+def upload_flow(spark, d):
+    """Half of the transactions are in the table; an upload brings all of them as text, some cells spoilt, and comes twice."""
+    tables, sent = work_path(spark, "tables"), work_path(spark, "upload")
+    tx = t.transactions(t.event_log(spark, d)).withColumn("transaction_time", F.date_trunc("second", "transaction_time").cast("timestamp_ntz"))
+    ingest.append_new_rows(tx.filter("transaction_id % 2 = 0").withColumn("withdrawal_amount", F.col("amount")), f"{tables}/transactions", "transaction_time")
+    spoilt = tx.withColumns({
+        "amount": F.when(F.col("transaction_id") % 7 == 0, "n/a").otherwise(F.col("amount").cast("string")),
+        "withdrawal_amount": F.col("amount"),
+        "transaction_time": F.date_format("transaction_time", "yyyy-MM-dd HH:mm:ss"),
+    })
+    spoilt.write.option("header", True).csv(sent)
+    first, again = ingest.upload_csv(spark, sent, tables), ingest.upload_csv(spark, sent, tables)
+    if first["rows_added"] == 0 or again["rows_added"] != 0:
+        raise AssertionError(f"{first}, then {again}")
+    return ingest.read_table(spark, f"{tables}/transactions")
+
+
 def _correction(days):
     """New figures for the days with errors, and one more day per machine after its last."""
     fixed = days.filter(F.col("error_count") > 0).select(
@@ -226,7 +249,7 @@ def _correction(days):
 )
 def upsert_daily(spark, d):
     days = daily(spark, d)
-    return ingest.upsert_daily(days, _correction(days))
+    return ingest.upsert_daily(days, _correction(days).withColumn("sent", F.lit(1)), order="sent")
 
 
 @query(

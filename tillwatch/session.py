@@ -61,6 +61,11 @@ def work_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tillwatch/{purpose}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where, system = _path(spark, path)
+    return system.exists(where)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     where, system = _path(spark, path)
     system.delete(where, True)

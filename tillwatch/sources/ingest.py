@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tillwatch.session import work_path
+from tillwatch.schemas import DAILY_METRICS, RAW_TABLES
+from tillwatch.session import Stored, path_exists
 
 # The columns by which an uploaded table is recognised, in order of precedence.
 TABLE_SIGNATURES = {
@@ -68,19 +70,77 @@ def appended_rows(existing: DataFrame, new: DataFrame) -> DataFrame:
     return counts.withColumn("rows_added", F.col("rows_after") - F.col("rows_before"))
 
 
-def ingest_csv(spark: SparkSession, new_path: str, table_path: str | None, *, typed: DataFrame | None = None):
-    """Detect, append and write: returns (table name, path of the new version).
+def typed_by(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Text columns in the types of a table; a cell that does not parse becomes null, never an error."""
+    known = {f.name: f.dataType.simpleString() for f in schema}
+    return df.withColumns({c: F.col(c).try_cast(known[c]) for c in df.columns if c in known})
 
-    The new version goes to a fresh folder, never over the one being read; the caller
-    swaps the pointer to it.
+
+def rows_not_in(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Distinct rows of ``new`` that ``old`` does not hold; nulls are equal, columns only one side has are null.
+
+    Both sides meet on a hash of the whole row, and the row itself decides.
+    """
+    new = new.dropDuplicates()
+    columns = list(dict.fromkeys([*new.columns, *old.columns]))
+    pad = lambda df: [F.col(c) if c in df.columns else F.lit(None) for c in columns]
+    held = old.select(F.xxhash64(*pad(old)).alias("_hash"), F.struct(*[c.alias(n) for n, c in zip(columns, pad(old))]).alias("_row"))
+    own = new.withColumns({"_new_hash": F.xxhash64(*pad(new)), "_new_row": F.struct(*[c.alias(n) for n, c in zip(columns, pad(new))])})
+    same = (F.col("_new_hash") == F.col("_hash")) & F.col("_new_row").eqNullSafe(F.col("_row"))
+    return own.join(held, same, "left_anti").drop("_new_hash", "_new_row")
+
+
+DAY_PARTITION = "_day"
+
+
+def read_table(spark: SparkSession, target: str) -> DataFrame:
+    """A day-partitioned table without its partition column."""
+    return spark.read.option("mergeSchema", True).parquet(target).drop(DAY_PARTITION)
+
+
+def append_new_rows(new: DataFrame, target: str, time_column: str | None) -> int:
+    """Append the rows that the table at ``target`` does not hold yet; returns their number.
+
+    The table is partitioned by day, and only the days of the upload are read. Nothing is rewritten.
+    Equal rows have the same day, so no other day can hold a copy.
+    """
+    spark = new.sparkSession
+    day = F.to_date(time_column) if time_column else F.lit(None).cast("date")
+    fresh = new.dropDuplicates().withColumn(DAY_PARTITION, day)
+    if path_exists(spark, target):
+        old = spark.read.option("mergeSchema", True).parquet(target)
+        days = fresh.select(F.col(DAY_PARTITION).alias("_touched")).distinct()
+        old = old.join(days, F.col(DAY_PARTITION).eqNullSafe(F.col("_touched")), "left_semi")
+        fresh = rows_not_in(fresh, old.withColumn(DAY_PARTITION, F.col(DAY_PARTITION).cast("date")))
+    with Stored(fresh, "upload") as rows:  # counted and written from one result
+        added = rows.count()
+        if added:
+            rows.write.mode("append").partitionBy(DAY_PARTITION).parquet(target)
+    return added
+
+
+TIME_COLUMNS = {
+    "cash_status": "timestamp", "operational_logs": "timestamp", "transactions": "transaction_time",
+    "maintenance_records": "maintenance_date", "atm_metadata": None, "legacy_metrics": "record_date",
+}
+
+
+def upload_csv(spark: SparkSession, new_path: str, tables_dir: str, retrain: Callable[[], object] | None = None) -> dict:
+    """One upload as a user runs it: find the table, type the cells, append what is new, retrain if asked.
+
+    Returns the table's name, the number of rows added and the status: ``partial`` when the rows are in
+    but the training failed.
     """
-    incoming = typed if typed is not None else spark.read.option("header", True).csv(new_path)
+    incoming = spark.read.option("header", True).csv(new_path)
     name = table_type(incoming.columns)
-    if table_path is not None:
-        incoming = append_distinct(spark.read.parquet(table_path), incoming)
-    target = work_path(spark, name)
-    incoming.write.parquet(target)
-    return name, target
+    typed = typed_by(incoming, DAILY_METRICS if name == "legacy_metrics" else RAW_TABLES[name])
+    result = {"table": name, "rows_added": append_new_rows(typed, f"{tables_dir}/{name}", TIME_COLUMNS[name]), "status": "ok"}
+    if retrain is not None:
+        try:
+            retrain()
+        except Exception as error:  # the upload stands whatever the training does
+            result |= {"status": "partial", "error": str(error)}
+    return result
 
 
 def merge_first_source(sources: list[DataFrame], key: str, tie: list[str] | None = None) -> DataFrame:
@@ -103,15 +163,15 @@ METRIC_VALUES = [
 ]
 
 
-def upsert_daily(base: DataFrame, update: DataFrame, order: str | None = None) -> DataFrame:
+def upsert_daily(base: DataFrame, update: DataFrame, order: str) -> DataFrame:
     """Update rows replace the five metric values of the same (machine, day); new days are added.
 
-    The last update row of a key wins (by ``order``), also where it holds nulls. Other base
-    columns stay as they are.
+    The last update row of a key by ``order`` wins, also where it holds nulls. A frame has no order of
+    its own, so the column must be named. Other base columns stay as they are.
     """
     keys = ["atm_id", "record_date"]
-    w = Window.partitionBy(*keys).orderBy(F.desc(order) if order else F.lit(1), *[F.desc(c) for c in METRIC_VALUES])
-    last = update.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").select(*keys, *METRIC_VALUES)
+    newest = F.max_by(F.struct(*METRIC_VALUES), F.struct(order, *METRIC_VALUES))
+    last = update.groupBy(*keys).agg(newest.alias("_last")).select(*keys, "_last.*")
     if set(base.columns) == {*keys, *METRIC_VALUES}:
         kept = base.join(last.select(*keys), keys, "left_anti")
         return kept.unionByName(last)

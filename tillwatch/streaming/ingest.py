@@ -10,15 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tillwatch.operators.features import features
+from tillwatch.operators.features import HOLIDAYS, features
 from tillwatch.operators.rollup import DEPOSIT_TYPES, WITHDRAWAL_TYPES
+from tillwatch.sources.ingest import append_new_rows
 
 KEYS = ["atm_id"]
 
 
-def read_files(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> DataFrame:
-    """New files of a folder as a stream. The schema is given, streams do not infer one."""
-    reader = spark.readStream.schema(schema).format(fmt)
+FILES_PER_TRIGGER = 1000
+
+
+def read_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int = FILES_PER_TRIGGER) -> DataFrame:
+    """New files of a folder as a stream, some at a time. The schema is given, streams do not infer one."""
+    reader = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files)
     return reader.option("header", True).load(path) if fmt == "csv" else reader.load(path)
 
 
@@ -59,7 +63,21 @@ def append_to(rows: DataFrame, target: str, checkpoint: str, available_now: bool
     return writer.start(target)
 
 
-def refresh_features(changed: DataFrame, daily: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def ingest_all(rows: DataFrame, target: str, checkpoint: str, time_column: str) -> StreamingQuery:
+    """Append every distinct row once, however late it comes.
+
+    A watermark would drop late rows. Here each batch is compared with the table itself, of which only
+    the batch's days are read; a batch that is repeated after a failure finds its rows there.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        append_new_rows(batch, target, time_column)
+
+    writer = rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def refresh_features(changed: DataFrame, daily: DataFrame, target: str, checkpoint: str, holidays=HOLIDAYS) -> StreamingQuery:
     """Recompute the features of the machines named in each batch, from the whole daily table.
 
     Row frames and lag are not defined on streams, so this runs as a batch per trigger. Batch
@@ -69,7 +87,14 @@ def refresh_features(changed: DataFrame, daily: DataFrame, target: str, checkpoi
     def refresh(batch: DataFrame, batch_id: int) -> None:
         touched = batch.select(*KEYS).distinct()
         recent = daily.join(touched, KEYS, "left_semi")
-        features(recent).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        features(recent, holidays).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     writer = changed.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
+
+
+def current_features(spark: SparkSession, target: str) -> DataFrame:
+    """The newest version of each machine's rows among the batches that ``refresh_features`` wrote."""
+    versions = spark.read.parquet(target)
+    newest = versions.groupBy("atm_id").agg(F.max("batch").alias("batch"))
+    return versions.join(newest, ["atm_id", "batch"], "left_semi").drop("batch")
