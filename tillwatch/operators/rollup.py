@@ -196,6 +196,56 @@ def since_as_of(daily: DataFrame, days: int, as_of) -> DataFrame:
     return daily.filter(F.col("record_date") >= F.date_sub(as_date(as_of), days))
 
 
+def _facts(cash: DataFrame, tx: DataFrame, logs: DataFrame) -> DataFrame:
+    """The rows of the three tables in one narrow shape; each fills its own columns."""
+    amount = _amount(tx) if "transaction_type" in tx.columns else F.col("withdrawal_amount")
+    sales = _with_day(tx, "transaction_time")
+    if "transaction_type" in tx.columns:
+        out, into = _kind()
+        sales = sales.filter(out | into)
+    else:
+        out, into = F.lit(True), F.lit(False)
+    reading = "cash_id" if "cash_id" in cash.columns else "remaining_cash"
+    is_day = dict(cash.dtypes)["timestamp"] == "date"
+    order = F.struct(reading) if is_day else F.struct("timestamp", reading)
+    parts = [
+        _with_day(cash, "timestamp").select(
+            *DAY_KEYS, F.lit(True).alias("read"), order.alias("reading"), F.col("remaining_cash").alias("balance")
+        ),
+        sales.select(
+            *DAY_KEYS, out.alias("out"), F.when(out, amount).alias("withdrawn"), into.alias("into"),
+            F.when(into, amount).alias("deposited"),
+        ),
+        _with_day(logs, "timestamp").select(
+            *DAY_KEYS, (F.col("uptime_status") == 0).alias("failed"), F.col("downtime_duration").alias("down")
+        ),
+    ]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows
+
+
+def _days_from_facts(facts: DataFrame) -> DataFrame:
+    """One aggregation for balances, transactions and logs; days without a balance reading drop out."""
+    return (
+        facts.groupBy(*DAY_KEYS)
+        .agg(
+            F.max("read").alias("_read"),
+            F.max_by("balance", "reading").alias("ending_cash_balance"),
+            F.count_if("out").alias("transaction_count"),
+            _zero_if_null(F.sum("withdrawn")).alias("daily_withdrawal_amount"),
+            _zero_if_null(F.avg("withdrawn")).alias("avg_transaction_amount"),
+            F.count_if("into").alias("daily_deposit_count"),
+            _zero_if_null(F.sum("deposited")).alias("daily_deposit_amount"),
+            F.count_if("failed").alias("error_count"),
+            _zero_if_null(F.sum("down"), 0).cast("long").alias("downtime_duration"),
+        )
+        .filter("_read")
+        .drop("_read")
+    )
+
+
 def daily_metrics(
     cash: DataFrame,
     tx: DataFrame,
@@ -208,28 +258,29 @@ def daily_metrics(
 ) -> DataFrame:
     """The machine-day table. Balance readings are the spine: a day without one has no row.
 
-    The three inputs meet on (machine, day); the previous balance and everything later needs
-    the rows by machine only, so the table is shuffled by machine once, after the joins.
+    The three tables are brought to one shape and aggregated together, with map-side combine: one
+    shuffle by (machine, day) instead of three and two joins. The previous balance and everything
+    later needs the rows by machine only, so that table is shuffled by machine once. With
+    ``keep_all_readings`` a day has a row per reading, and the daily figures are joined to them.
 
     With ``days`` the other tables are cut to the range before they are aggregated. Balances
     are not: the first day of the range starts with the balance of the day before it.
     """
-    spine = cash_days(cash, keep_all_readings)
     if days is not None:
         start = window_start(newest_days(cash), days, anchor)
         tx = tx.filter(F.to_date("transaction_time") >= start)
         logs = logs.filter(F.to_date("timestamp") >= start)
-    joined = spine.join(transactions_daily(tx), DAY_KEYS, "left").join(logs_daily(logs), DAY_KEYS, "left")
-    whole = ["transaction_count", "daily_deposit_count", "error_count", "downtime_duration"]
-    amounts = ["daily_withdrawal_amount", "daily_deposit_amount", "avg_transaction_amount"]
-    daily = (
-        joined.withColumns(
+    if keep_all_readings:
+        spine = cash_days(cash, keep_all_readings)
+        joined = spine.join(transactions_daily(tx), DAY_KEYS, "left").join(logs_daily(logs), DAY_KEYS, "left")
+        whole = ["transaction_count", "daily_deposit_count", "error_count", "downtime_duration"]
+        amounts = ["daily_withdrawal_amount", "daily_deposit_amount", "avg_transaction_amount"]
+        daily = joined.withColumns(
             {c: _zero_if_null(F.col(c), 0).cast("long") for c in whole} | {c: _zero_if_null(F.col(c)) for c in amounts}
         )
-        .transform(starting_balance)
-        .drop("reading")
-        .transform(add_uptime)
-    )
+    else:
+        daily = _days_from_facts(_facts(cash, tx, logs))
+    daily = daily.transform(starting_balance).drop("reading").transform(add_uptime)
     if maintenance is not None:
         daily = with_latest_service(daily, maintenance)
     if days is not None:
