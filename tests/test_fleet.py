@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from frames import collect, day, fleet_days, one_row
 from pyspark.sql import functions as F
@@ -149,3 +150,14 @@ def test_machine_filter_reaches_the_scan(spark):
     plan = job(spark, "/root/testdata/sf0.001").machine("7")._jdf.queryExecution().optimizedPlan().toString()
     filters = [line for line in plan.splitlines() if "Filter" in line and "= 7)" in line]
     assert len(filters) >= 4
+
+
+@pytest.mark.parametrize("digits", [1, 2, 3])
+def test_rounding_equals_pythons(spark, digits):
+    """Random values, exact halves, and values next to a half."""
+    rng = np.random.default_rng(digits)
+    halves = (rng.integers(-10**6, 10**6, 2000) + 0.5) / 10**digits
+    values = np.concatenate([rng.normal(0, 10.0 ** rng.integers(-3, 7, 4000)), halves, np.nextafter(halves, 0), np.nextafter(halves, 1e9)])
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double")
+    got = [r["r"] for r in rows.select(half_even("v", digits).alias("r")).collect()]
+    assert got == [round(float(v), digits) for v in values]
