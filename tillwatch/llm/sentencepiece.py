@@ -34,10 +34,12 @@ from pyspark.sql import functions as F
 from tillwatch.llm.common import free_name, stored, text_slices
 
 BLANK = "▁"
+GIANT = 65536  # longer texts are split, shorter ones are solved within their task
 CHUNK = 16384  # characters of a chunk
 FAN = 256  # chunks that are combined at a time
 _SLICE = 1 << 20
 _SHORT = 48  # longer segments are solved one at a time
+_LANES = 1 << 13  # segments that are solved side by side
 _PAIR_BITS = 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -282,8 +284,8 @@ class Vocabulary:
         parts: list[tuple[np.ndarray, np.ndarray]] = []  # segment number of each id, ids
         for low, high in ((0, 8), (8, 16), (16, _SHORT)):
             some = np.flatnonzero((size > low) & (size <= high))
-            for k in range(0, len(some), 1 << 15):
-                few = some[k : k + (1 << 15)]
+            for k in range(0, len(some), _LANES):
+                few = some[k : k + _LANES]
                 scores[few], steps[few], ids = self.solve_short(points, begin[few], size[few])
                 parts.append((np.repeat(few, steps[few]), ids))
         for i in np.flatnonzero(size > _SHORT).tolist():
@@ -322,24 +324,31 @@ class Vocabulary:
 
     # --- chunks of giant texts -----------------------------------------------------------
 
-    def transfer(self, text: str, size: int, last: bool) -> np.ndarray:
-        """Best scores from each entry to each exit state of the chunk text[:size]; what follows is the
-        beginning of the next chunk. The last chunk's only exit state is 0."""
+    def transfer(self, texts: list[str], sizes: list[int], last: list[bool]) -> list[np.ndarray]:
+        """Per chunk text[:size] the best scores from each entry to each exit state; what follows in the text
+        is the beginning of the next chunk. The last chunk's only exit state is 0."""
         states = self.longest
-        out = np.full((states, states), -np.inf)
-        cuts = self.cuts(text[:size]) if size > 1 else np.zeros(0, int)
-        if len(cuts):  # all paths meet at the first cut: the entry side, then the rest once
-            head, tail = int(cuts[0]), int(cuts[-1])
-            middle = self.encode([text[head:tail]])[2][0]
-            exits = self._exits(self.forward(text[tail:], [0.0], size - tail)[0], size - tail, last)
-            for i in range(min(states, head + 1)):
-                enter = self.forward(text[i:head], [0.0], head - i)[0][-1]
-                out[i] = enter + middle + exits
-        else:
-            for i in range(min(states, size + 1)):
-                best = self.forward(text, [-np.inf] * i + [0.0], size)[0]
-                out[i] = self._exits(best, size, last)
-        return out
+        ends = [self._ends(t, n) for t, n in zip(texts, sizes)]
+        middle = self.encode([t[e[0] : e[1]] if e else "" for t, e in zip(texts, ends)])[2]
+        found = []
+        for text, size, final, edge, worth in zip(texts, sizes, last, ends, middle):
+            out = np.full((states, states), -np.inf)
+            if edge:  # all paths meet at the first and at the last cut
+                head, tail = edge
+                exits = self._exits(self.forward(text[tail:], [0.0], size - tail)[0], size - tail, final)
+                for i in range(min(states, head + 1)):
+                    out[i] = self.forward(text[i:head], [0.0], head - i)[0][-1] + worth + exits
+            else:
+                for i in range(min(states, size + 1)):
+                    best = self.forward(text, [-np.inf] * i + [0.0], size)[0]
+                    out[i] = self._exits(best, size, final)
+            found.append(out)
+        return found
+
+    def _ends(self, text: str, size: int) -> tuple[int, int] | None:
+        """The first and the last cut inside a chunk."""
+        cuts = self.cuts(text[:size]) if size > 1 else ()
+        return (int(cuts[0]), int(cuts[-1])) if len(cuts) else None
 
     def _exits(self, best: list[float], size: int, last: bool) -> np.ndarray:
         exits = np.full(self.longest, -np.inf)
@@ -350,32 +359,31 @@ class Vocabulary:
 
     def entries(self, text: str, size: int, entry: np.ndarray) -> list[int]:
         """For each exit state the entry state of the best path, or -1."""
-        states = self.longest
-        cuts = self.cuts(text[:size]) if size > 1 else np.zeros(0, int)
+        edge = self._ends(text, size)
         start = [float(x) for x in entry[: size + 1]]
-        if len(cuts):
-            head = int(cuts[0])
+        if edge:
+            head = edge[0]
             _, came, piece = self.forward(text[:head], start[: head + 1], head)
-            return [self.trace(came, piece, head)[0]] * states
+            return [self.trace(came, piece, head)[0]] * self.longest
         best, came, piece = self.forward(text, start, size)
         return [
             self.trace(came, piece, size + j)[0] if size + j < len(best) and best[size + j] > -np.inf else -1
-            for j in range(states)
+            for j in range(self.longest)
         ]
 
-    def chunk_ids(self, text: str, size: int, entry: int, leave: int) -> np.ndarray:
-        """The ids of the chunk's pieces between the two states."""
-        cuts = self.cuts(text[:size]) if size > 1 else np.zeros(0, int)
-        cuts = cuts[cuts >= entry]
-        parts = []
-        start = entry
-        if len(cuts):
-            start = int(cuts[-1])
-            parts.append(self.encode([text[entry:start]])[0].astype(np.int64))
-        _, came, piece = self.forward(text[start : size + leave], [0.0], size - start)
-        ids = np.array(self.trace(came, piece, size + leave - start)[1], np.int64)
-        parts.append(self._bytes(ids, np.array([0, len(ids)]))[0])
-        return np.concatenate(parts).astype(np.int32)
+    def chunk_ids(self, texts: list[str], sizes: list[int], entry: list[int], leave: list[int]) -> list[np.ndarray]:
+        """Per chunk the ids of its pieces between the two states."""
+        ends = [self._ends(t, n) for t, n in zip(texts, sizes)]
+        # No path leaves an entry state beyond the first cut, so the text up to the last cut is a whole.
+        cut = [max(e[1], i) if e else i for e, i in zip(ends, entry)]
+        flat, at, _ = self.encode([t[i:c] for t, i, c in zip(texts, entry, cut)])
+        found = []
+        for k, (text, size, start, out) in enumerate(zip(texts, sizes, cut, leave)):
+            _, came, piece = self.forward(text[start : size + out], [0.0], size - start)
+            ids = np.array(self.trace(came, piece, size + out - start)[1], np.int64)
+            ids = self._bytes(ids, np.array([0, len(ids)]))[0].astype(np.int32)
+            found.append(np.concatenate([flat[at[k] : at[k + 1]], ids]))
+        return found
 
 
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -519,67 +527,81 @@ def encode_giants(texts: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK,
     shared = spark.sparkContext.broadcast(vocabulary)
     chunks = stored(_chunks(texts, vocabulary, chunk), "sp-chunks")
 
-    @F.arrow_udf("binary")
-    def transfer(text: pa.Array, size: pa.Array, last: pa.Array) -> pa.Array:
-        rows = zip(text.to_pylist(), size.to_pylist(), last.to_pylist())
-        return pa.array([shared.value.transfer(*r).tobytes() for r in rows], pa.binary())
-
-    @F.arrow_udf("array<int>")
-    def entries(text: pa.Array, size: pa.Array, entry: pa.Array) -> pa.Array:
-        rows = zip(text.to_pylist(), size.to_pylist(), entry.to_pylist())
-        return pa.array([shared.value.entries(t, s, np.frombuffer(e, np.float64)) for t, s, e in rows], pa.list_(pa.int32()))
-
-    @F.arrow_udf("array<int>")
-    def ids(text: pa.Array, size: pa.Array, entry: pa.Array, leave: pa.Array) -> pa.Array:
-        rows = zip(text.to_pylist(), size.to_pylist(), entry.to_pylist(), leave.to_pylist())
-        return pa.array([shared.value.chunk_ids(*r) for r in rows], pa.list_(pa.int32()))
+    def transfer(batches):
+        for batch in batches:
+            for start, part in text_slices(batch.column(4), _SLICE):
+                rows = batch.slice(start, len(part))
+                ms = shared.value.transfer(part.to_pylist(), rows.column(2).to_pylist(), rows.column(3).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns[:2], rows.column(3), pa.array([m.tobytes() for m in ms], pa.binary())],
+                    names=["key", "nth", "last", "m"],
+                )
+
+    def entries(batches):
+        for batch in batches:
+            for start, part in text_slices(batch.column(4), _SLICE):
+                rows = batch.slice(start, len(part))
+                given = zip(part.to_pylist(), rows.column(2).to_pylist(), rows.column(5).to_pylist())
+                maps = [shared.value.entries(t, n, np.frombuffer(e, np.float64)) for t, n, e in given]
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns[:2], rows.column(5), pa.array(maps, pa.list_(pa.int32()))], names=["key", "nth", "entry", "states"]
+                )
+
+    def trace(batches):
+        for batch in batches:
+            for start, part in text_slices(batch.column(4), _SLICE):
+                rows = batch.slice(start, len(part))
+                size, enter, leave = (rows.column(k).to_pylist() for k in (2, 5, 6))
+                ids = shared.value.chunk_ids(part.to_pylist(), size, enter, leave)
+                yield pa.RecordBatch.from_arrays([*rows.columns[:2], pa.array(ids, pa.list_(pa.int32()))], names=["key", "nth", "ids"])
 
     @F.arrow_udf("double")
     def final(entry: pa.Array, m: pa.Array) -> pa.Array:
         rows = zip(entry.to_pylist(), m.to_pylist())
         return pa.array([float((np.frombuffer(e, np.float64) + _matrix(x, states)[:, 0]).max()) for e, x in rows])
 
-    matrices = stored(chunks.select("key", "nth", "last", transfer("text", "size", "last").alias("m")), "sp-matrices")
+    columns = [F.col(c) for c in ("key", "nth", "size", "last", "text")]
+    matrices = stored(chunks.mapInArrow(transfer, "key string, nth int, last boolean, m binary"), "sp-matrices")
     scores = _entry_scores(matrices.select("key", "nth", "m"), states, fan)
-    ready = chunks.join(scores, ["key", "nth"])
-    maps = stored(ready.select("key", "nth", "entry", entries("text", "size", "entry").alias("states")), "sp-maps")
+    ready = chunks.join(scores, ["key", "nth"]).select(*columns, "entry")
+    maps = stored(ready.mapInArrow(entries, "key string, nth int, entry binary, states array<int>"), "sp-maps")
     leave = _exit_states(maps, fan)
-    states_of = maps.join(leave, ["key", "nth"]).select("key", "nth", "leave", F.element_at("states", F.col("leave") + 1).alias("enter"))
-    solved = chunks.join(states_of, ["key", "nth"]).select("key", "nth", ids("text", "size", "enter", "leave").alias("ids"))
+    states_of = maps.join(leave, ["key", "nth"]).select("key", "nth", F.element_at("states", F.col("leave") + 1).alias("enter"), "leave")
+    solved = chunks.join(states_of, ["key", "nth"]).select(*columns, "enter", "leave").mapInArrow(trace, "key string, nth int, ids array<int>")
     whole = solved.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("nth", "ids"))).alias("parts"))
     total = matrices.filter("last").join(maps.select("key", "nth", "entry"), ["key", "nth"]).select("key", final("entry", "m").alias("score"))
     return whole.join(total, "key").select("key", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), "score")
 
 
 def encode_documents(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text",
-                     chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
-    """doc_id, text_sha256, ids, score for every row. Texts longer than ``chunk`` take the way over chunks."""
+                     giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+    """doc_id, text_sha256, ids, score for every row. Texts of more than ``giant`` characters take the way over chunks."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
-    small = rows.filter(F.length("text") <= chunk)
+    small = rows.filter(F.length("text") <= giant)
     small = small.select("doc_id", "text_sha256", encoded(docs, vocabulary, F.col("text")).alias("e"))
     small = small.select("doc_id", "text_sha256", "e.ids", "e.score")
-    giant = rows.filter(F.length("text") > chunk)
-    texts = giant.groupBy(F.col("text_sha256").alias("key")).agg(F.first("text").alias("text"))
+    long = rows.filter(F.length("text") > giant)
+    texts = long.groupBy(F.col("text_sha256").alias("key")).agg(F.first("text").alias("text"))
     solved = encode_giants(texts, vocabulary, chunk, fan)
-    giant = giant.select("doc_id", "text_sha256").join(solved.withColumnRenamed("key", "text_sha256"), "text_sha256")
-    return small.unionByName(giant.select("doc_id", "text_sha256", "ids", "score"))
+    long = long.select("doc_id", "text_sha256").join(solved.withColumnRenamed("key", "text_sha256"), "text_sha256")
+    return small.unionByName(long.select("doc_id", "text_sha256", "ids", "score"))
 
 
 def with_ids(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "piece_ids",
-             chunk: int = CHUNK) -> DataFrame:
+             giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """All rows and columns with the ids of the text added."""
     own, key = free_name(docs, "own"), free_name(docs, "sha")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    small = docs.filter(F.length(text) <= chunk)
+    small = docs.filter(F.length(text) <= giant)
     small = small.withColumn(own, encoded(docs, vocabulary, F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     small = small.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{own}.ids").alias(ids_col))
-    giant = docs.filter(F.length(text) > chunk).withColumn(key, F.sha2(text.cast("binary"), 256))
-    texts = giant.groupBy(F.col(key).alias("key")).agg(F.first(F.col(text_col).cast("string")).alias("text"))
+    long = docs.filter(F.length(text) > giant).withColumn(key, F.sha2(text.cast("binary"), 256))
+    texts = long.groupBy(F.col(key).alias("key")).agg(F.first(F.col(text_col).cast("string")).alias("text"))
     solved = encode_giants(texts, vocabulary, chunk).select(F.col("key").alias(key), F.col("ids").alias(ids_col))
-    giant = giant.join(solved, key).select(*[F.col(f"`{c}`") for c in docs.columns], ids_col)
-    return small.unionByName(giant)
+    long = long.join(solved, key).select(*[F.col(f"`{c}`") for c in docs.columns], ids_col)
+    return small.unionByName(long)
 
 
 def digests(docs: DataFrame, vocabulary: Vocabulary, ids: Column) -> Column:

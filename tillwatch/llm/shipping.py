@@ -1,4 +1,4 @@
-"""Send this package to the Python workers of a session that was not started with ``--py-files``."""
+"""Make a session ready for the text operators: code for the Python workers, batches of long texts."""
 
 from __future__ import annotations
 
@@ -9,10 +9,16 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _SENT: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000  # texts are far longer than other rows; Spark's own default is 10,000
 
 
 def ship(spark: SparkSession) -> None:
-    """Spark's own file server hands the zipped package to the executors, once per application."""
+    """Spark's own file server hands the zipped package to the executors, once per application, so the
+    session need not have been started with ``--py-files``. Arrow batches get ``BATCH_ROWS`` rows unless
+    the session says otherwise."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _SENT:
         return
