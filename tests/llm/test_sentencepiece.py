@@ -5,7 +5,7 @@ import pytest
 from llm_helpers import frame, odd_texts, prose
 from pyspark.sql import functions as F
 
-from tillwatch.llm.sentencepiece import Vocabulary, decoded, digests, encode_documents, max_plus, with_ids
+from tillwatch.llm.sentencepiece import Vocabulary, decoded, encode_documents, max_plus, with_ids
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -81,11 +81,12 @@ def test_chunked_on_spark_equals_whole(spark, model, rng):
 def test_round_trip_and_columns(spark, model, rng):
     texts = odd_texts(rng) + hard_texts()
     docs = frame(spark, texts)
-    found = with_ids(docs, model, giant=100, chunk=50)
-    assert found.columns == [*docs.columns, "piece_ids"]
-    back = found.select("text", decoded(docs, model, F.col("piece_ids")).alias("back")).collect()
+    found = with_ids(docs, model, found_col="pieces", giant=100, chunk=50)
+    assert found.columns == [*docs.columns, "pieces"]
+    back = found.select("text", "pieces.round_trip", decoded(docs, model, F.col("pieces.ids")).alias("back")).collect()
     assert len(back) == len(texts)
-    assert all((r["text"] or "") == r["back"] for r in back)
-    sums = encode_documents(docs, model).select(digests(docs, model, F.col("ids")).alias("d"), "text_sha256").collect()
-    assert all(r["d"]["decoded_sha256"] == r["text_sha256"] for r in sums)
+    assert all(r["round_trip"] and (r["text"] or "") == r["back"] for r in back)
+    whole = {r["doc_id"]: (r["ids_sha256"], r["score"]) for r in encode_documents(docs, model).collect()}
+    parts = {r["doc_id"]: (r["ids_sha256"], r["score"]) for r in encode_documents(docs, model, giant=60, chunk=30).collect()}
+    assert {i: h for i, (h, _) in whole.items()} == {i: h for i, (h, _) in parts.items()}
     assert encode_documents(docs.limit(0), model).count() == 0

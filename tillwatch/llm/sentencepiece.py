@@ -395,28 +395,38 @@ def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary, text: Column) -> Column:
-    """ids and score of texts, each solved within one task."""
+    """ids, score, the ids' SHA-256 and whether decoding gives the text back, of texts each solved within
+    one task. One Python worker does it all for a batch."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    @F.arrow_udf("struct<ids: array<int>, score: double>")
+    @F.arrow_udf(f"struct<{_FOUND}>")
     def encode(texts: pa.Array) -> pa.Array:
         own = shared.value.prepare()
-        ids, bounds, scores = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], []
-        done = 0
+        parts = [pa.array([], _FOUND_TYPE)]
         for _, part in text_slices(texts, _SLICE):
-            flat, at, score = own.encode([own.escaped(t) for t in part.to_pylist()])
-            ids.append(flat)
-            bounds.append(at[1:] + done)
-            scores.append(score)
-            done += len(flat)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(bounds).astype(np.int32)), pa.array(np.concatenate(ids)))
-        flat = np.concatenate(scores) if scores else np.zeros(0)
-        return pa.StructArray.from_arrays([lists, pa.array(flat)], names=["ids", "score"])
+            strings = part.to_pylist()
+            flat, at, score = own.encode([own.escaped(t) for t in strings])
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
+            same = [a == b for a, b in zip(own.decode(lists).to_pylist(), strings)]
+            parts.append(pa.StructArray.from_arrays(
+                [lists, pa.array(score), _digests(flat, at), pa.array(same, pa.bool_())], names=_FOUND_TYPE.names
+            ))
+        return pa.concat_arrays(parts)
 
     return encode(text)
 
 
+_FOUND = "ids: array<int>, score: double, ids_sha256: string, round_trip: boolean"
+_FOUND_TYPE = pa.struct([("ids", pa.list_(pa.int32())), ("score", pa.float64()), ("ids_sha256", pa.string()), ("round_trip", pa.bool_())])
+
+
+def _digests(flat: np.ndarray, at: np.ndarray) -> pa.Array:
+    """SHA-256 of each list of ids as little-endian 32-bit numbers."""
+    return pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(at.tolist(), at[1:].tolist())], pa.string())
+
+
 def decoded(docs: DataFrame, vocabulary: Vocabulary, ids: Column) -> Column:
+    """The texts of id lists."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.arrow_udf("string")
@@ -426,6 +436,20 @@ def decoded(docs: DataFrame, vocabulary: Vocabulary, ids: Column) -> Column:
     return decode(ids)
 
 
+def digests(docs: DataFrame, vocabulary: Vocabulary, ids: Column) -> Column:
+    """For lists of ids: their SHA-256, and that of the decoded text."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    @F.arrow_udf("struct<ids_sha256: string, decoded_sha256: string>")
+    def digest(lists: pa.Array) -> pa.Array:
+        at = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
+        texts = [hashlib.sha256(t.encode()).hexdigest() for t in shared.value.decode(lists).to_pylist()]
+        own = _digests(lists.flatten().to_numpy(), at)
+        return pa.StructArray.from_arrays([own, pa.array(texts, pa.string())], names=["ids_sha256", "decoded_sha256"])
+
+    return digest(ids)
+
+
 def _chunks(texts: DataFrame, vocabulary: Vocabulary, chunk: int) -> DataFrame:
     """(key, nth, size, last, text) of (key, text) rows; a chunk's text goes on into the next chunk."""
     ahead = vocabulary.longest - 1
@@ -573,50 +597,24 @@ def encode_giants(texts: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK,
     return whole.join(total, "key").select("key", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), "score")
 
 
-def encode_documents(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text",
-                     giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
-    """doc_id, text_sha256, ids, score for every row. Texts of more than ``giant`` characters take the way over chunks."""
+def with_ids(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", found_col: str = "found",
+             giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+    """All rows and columns with a struct added: ids, score, ids_sha256, round_trip. Texts of more than
+    ``giant`` characters take the way over chunks; equal ones are solved once."""
+    key, sums = free_name(docs, "sha"), free_name(docs, "sums")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    rows = rows.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
-    small = rows.filter(F.length("text") <= giant)
-    small = small.select("doc_id", "text_sha256", encoded(docs, vocabulary, F.col("text")).alias("e"))
-    small = small.select("doc_id", "text_sha256", "e.ids", "e.score")
-    long = rows.filter(F.length("text") > giant)
-    texts = long.groupBy(F.col("text_sha256").alias("key")).agg(F.first("text").alias("text"))
-    solved = encode_giants(texts, vocabulary, chunk, fan)
-    long = long.select("doc_id", "text_sha256").join(solved.withColumnRenamed("key", "text_sha256"), "text_sha256")
-    return small.unionByName(long.select("doc_id", "text_sha256", "ids", "score"))
-
-
-def with_ids(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "piece_ids",
-             giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """All rows and columns with the ids of the text added."""
-    own, key = free_name(docs, "own"), free_name(docs, "sha")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    small = docs.filter(F.length(text) <= giant)
-    small = small.withColumn(own, encoded(docs, vocabulary, F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    small = small.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{own}.ids").alias(ids_col))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    small = docs.filter(F.length(text) <= giant).select(*kept, encoded(docs, vocabulary, text).alias(found_col))
     long = docs.filter(F.length(text) > giant).withColumn(key, F.sha2(text.cast("binary"), 256))
     texts = long.groupBy(F.col(key).alias("key")).agg(F.first(F.col(text_col).cast("string")).alias("text"))
-    solved = encode_giants(texts, vocabulary, chunk).select(F.col("key").alias(key), F.col("ids").alias(ids_col))
-    long = long.join(solved, key).select(*[F.col(f"`{c}`") for c in docs.columns], ids_col)
-    return small.unionByName(long)
+    solved = encode_giants(texts, vocabulary, chunk, fan).withColumn(sums, digests(docs, vocabulary, F.col("ids")))
+    found = F.struct("ids", "score", F.col(f"{sums}.ids_sha256").alias("ids_sha256"), (F.col(f"{sums}.decoded_sha256") == F.col("key")).alias("round_trip"))
+    solved = solved.select(F.col("key").alias(key), found.alias(found_col))
+    return small.unionByName(long.join(solved, key).select(*kept, found_col))
 
 
-def digests(docs: DataFrame, vocabulary: Vocabulary, ids: Column) -> Column:
-    """For lists of ids: their number, the SHA-256 of the ids as little-endian 32-bit numbers, and the
-    SHA-256 of the decoded text."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    @F.arrow_udf("struct<n_pieces: long, ids_sha256: string, decoded_sha256: string>")
-    def digest(lists: pa.Array) -> pa.Array:
-        n = pc.list_value_length(lists).cast(pa.int64())
-        flat, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(n.to_numpy())])
-        own = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(at, at[1:])]
-        texts = [hashlib.sha256(t.encode()).hexdigest() for t in shared.value.decode(lists).to_pylist()]
-        return pa.StructArray.from_arrays(
-            [n, pa.array(own, pa.string()), pa.array(texts, pa.string())], names=["n_pieces", "ids_sha256", "decoded_sha256"]
-        )
-
-    return digest(ids)
+def encode_documents(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text",
+                     giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+    """doc_id, ids, score, ids_sha256, round_trip for every row."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return with_ids(rows, vocabulary, giant=giant, chunk=chunk, fan=fan).select("doc_id", "found.*")
