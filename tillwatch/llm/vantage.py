@@ -234,7 +234,14 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).alias("doc_id"), key.alias("key"), fingerprint(docs, text_col, words).alias("fp")
     )
     prints = stored(prints, "simhash")
-    grouped = prints.join(print_groups(prints, radius).withColumnRenamed("component_id", "first"), "fp")
+    groups = print_groups(prints, radius).withColumnRenamed("component_id", "first")
+    return kept_rows(docs, prints, groups, id_col, text_col)
+
+
+def kept_rows(docs: DataFrame, prints: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``keep_first``, from (doc_id, key, fp) of every row and (fp, root, first) of every fingerprint."""
+    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    grouped = prints.join(groups, "fp")
     chosen = grouped.filter(F.col("doc_id").eqNullSafe(F.col("first")))
     chosen = chosen.groupBy("root", "doc_id", "key").agg(F.count("*").alias("times"))
     w = Window.partitionBy("root").orderBy("key")  # more than one row only where ids repeat
