@@ -71,3 +71,19 @@ def test_damage_is_told():
     assert [r["status"] for r in read_records(io.BytesIO(a + b"not gzip at all"))] == ["ok", "damaged"]
     assert [r["status"] for r in read_records(io.BytesIO(gzip.compress(b"no header here")))] == ["damaged"]
     assert list(read_records(io.BytesIO(b""))) == []
+
+
+def test_headers_of_any_length(spark):
+    rows = [(1, "http://a", "one"), (2, "data:text/html," + "漢" * 150_000, "two"), (3, "http://c", "three")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    assert sorted(tuple(r) for r in archive_pages(pages).collect()) == expected(rows)
+    member = record_bytes("response", "urn:page:7", "u" * 3_000_000, b"x", base32_sha1(b"x"), None)
+    assert [len(r["uri"]) for r in read_records(Slow(member))] == [3_000_000]
+
+
+def test_reading_goes_on_behind_a_bad_record_that_inflates():
+    a, b, c = members()
+    short = gzip.compress(gzip.decompress(b)[:-12])
+    for bad, status in ((gzip.compress(b"no header" * 300_000), "damaged"), (gzip.compress(b"WARC/1.1\r\nContent-Length: x\r\n\r\n"), "damaged"),
+                        (short, "truncated")):
+        assert [r["status"] for r in read_records(io.BytesIO(a + bad + c))] == ["ok", status, "ok"]

@@ -7,14 +7,14 @@ behind is never seen. Records with equal payloads are kept once: the one with th
 
 Reading: an archive is a stream of gzip members. It is inflated piece by piece; the WARC headers give
 the block's length, and the digests of block and payload are computed on the way and compared. No
-more than one piece and one record's headers are held, however long a record is.
+more than one piece and one record's headers are held, however long a record is; headers may have any length.
 
 Defined results
     null payload          the empty payload
     null id               never the smallest of a group that has another id
     equal id and payload  all such rows are responses where their id is the smallest, else revisits
-    damaged archive       the record's ``status`` says what is wrong; reading goes on with the next
-                          archive
+    damaged record        its ``status`` says what is wrong; reading goes on with the next gzip member, or
+                          with the next archive where the member cannot be inflated to its end
 """
 
 from __future__ import annotations
@@ -32,12 +32,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwatch.llm.common import stored
+from tillwatch.llm.common import SLICE_BYTES, stored
 from tillwatch.session import work_path
 
 ARCHIVE_BYTES = 64 << 20  # an archive that has grown beyond this is closed
 PIECE = 1 << 16
-MOST_HEADER = 1 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2000-01-01T00:00:00Z"
 _TEXT = "status string, record_type string, record_id string, refers_to string, uri string, payload_bytes long, payload_digest string"
@@ -112,7 +111,7 @@ def write_archives(pages: DataFrame, target: str, id_col: str = "page_id", uri_c
                     path = f"{target}/{uuid.uuid4().hex}.warc.gz"
                     system, local = _location(path)
                     system.create_dir(local.rsplit("/", 1)[0], recursive=True)
-                    out, records, size = system.open_output_stream(local), 0, 0
+                    out, records, size = system.open_output_stream(local, compression=None), 0, 0
                 number, uri, payload, first = number.as_py(), uri.as_py(), payload.as_py(), first.as_py()
                 member = record_bytes(
                     "response" if first is None else "revisit", _urn(number), uri or "", payload, base32_sha1(payload),
@@ -154,10 +153,20 @@ class _Member:
 
     def head(self) -> bytes:
         """Everything up to the empty line, which is passed over."""
-        while b"\r\n\r\n" not in self.ready:
-            if len(self.ready) > MOST_HEADER or not self.more():
+        parts, last = [], b""
+        while True:
+            tail = last[-3:] + self.ready  # the empty line may begin in the piece before
+            at = tail.find(b"\r\n\r\n")
+            if at >= 0:
+                break
+            if self.ready:
+                parts.append(self.ready)
+                last = tail
+            self.ready = b""
+            if not self.more():
                 raise ValueError("no header")
-        head, _, self.ready = self.ready.partition(b"\r\n\r\n")
+        whole = b"".join([*parts, self.ready])
+        head, _, self.ready = whole.partition(b"\r\n\r\n")
         return head
 
     def take(self, n: int) -> Iterator[bytes]:
@@ -169,10 +178,12 @@ class _Member:
             yield piece
 
     def rest(self) -> bytes:
+        """What is left of the member; of a long rest only the beginning."""
+        kept = self.ready[:PIECE]
+        self.ready = b""
         while self.more():
-            if len(self.ready) > MOST_HEADER:
-                raise ValueError("no end")
-        return self.ready
+            kept, self.ready = (kept + self.ready)[:PIECE], b""
+        return kept
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -217,10 +228,17 @@ def read_records(source) -> Iterator[dict]:
             yield row
         except EOFError:
             yield row | {"status": "truncated"}
-            return
-        except (zlib.error, ValueError, KeyError):
+            if not member.inflate.eof:  # else the member is whole, and only its record is short
+                return
+        except zlib.error:
             yield row | {"status": "damaged"}
             return
+        except (ValueError, KeyError):
+            yield row | {"status": "damaged"}
+            try:
+                member.rest()
+            except (EOFError, zlib.error):
+                return
         left = member.inflate.unused_data or source.read(PIECE)
 
 
@@ -233,13 +251,14 @@ def read_archives(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 system, local = _location(path)
-                rows = []
-                with system.open_input_stream(local) as source:
+                rows, size = [], 0
+                with system.open_input_stream(local, compression=None) as source:
                     for row in read_records(source):
                         rows.append(row)
-                        if len(rows) == 1000:
+                        size += len(row["uri"] or "")
+                        if len(rows) == 1000 or size > SLICE_BYTES:
                             yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in rows], schema)
-                            rows = []
+                            rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in rows], schema)
 
