@@ -53,3 +53,12 @@ def test_bands_reach_their_chance():
     assert all(c.bands >= 1 for c in template_classes(TEMPLATES))
     with pytest.raises(ValueError):
         template_classes([("x", "y")] * 20_001)
+
+
+def test_variants_are_told_apart_and_parts_left_out(spark, rng):
+    by_name = dict(TEMPLATES)
+    wanted = ["BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-2.1", "LGPL-3.0", "CC0-1.0", "MPL-2.0", "ISC"]
+    texts = [f"{prose(rng, 20)} {by_name[n]} {prose(rng, 20)}" for n in wanted]
+    bsd = by_name["BSD-2-Clause"].replace("met: Redis", "met: 1. Redis").replace("disclaimer. Redis", "disclaimer. 2. Redis")
+    rows = scan_licenses(frame(spark, [*texts, bsd])).collect()
+    assert sorted((r["doc_id"], r["license"]) for r in rows) == list(enumerate([*wanted, "BSD-2-Clause"]))

@@ -14,7 +14,8 @@ words has one shingle of all its words.
 Defined results
     null or wordless text    no match
     repeated occurrences     one row each; windows that overlap are one occurrence
-    several templates match  each is reported
+    several templates match  each is reported, but of two that share most of the shorter one's shingles only the
+                             better at a place: the one with more shingles found and fewer missing
     repeated rows            each row is scanned
 """
 
@@ -38,6 +39,7 @@ MISS = 1e-3
 RATIO = 1.125  # longest to shortest template of a class
 MOST_TEMPLATES = 20_000  # templates are broadcast, so their number is bounded
 _SLICE = 1 << 20
+_ANY_BITS = 17
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,6 +75,9 @@ class TemplateClass:
         shortest = min(map(len, self.sets))
         window = self.span * self.block
         self.bands = bands_needed(CONTAINED * shortest / (window + (1 - CONTAINED) * shortest) if window > 1 else 1.0)
+        self.least = int(np.ceil(CONTAINED * shortest - 1e-9))  # shingles that a text with a match has
+        self.any = np.zeros(1 << _ANY_BITS, bool)
+        self.any[np.concatenate(self.sets) >> np.uint64(64 - _ANY_BITS)] = True
         self.keys = []
         signatures = [np.array([self.hashed(s, i).min() for i in range(self.bands * ROWS)]) for s in self.sets]
         for b in range(self.bands):
@@ -162,13 +167,17 @@ def template_classes(templates: list[tuple[str, str]]) -> list[TemplateClass]:
 def scan_texts(texts: pa.Array, classes: list[TemplateClass]) -> list[tuple[int, str, int, int, float]]:
     """(text, template, first word, last word, containment) of each occurrence."""
     tokens, at, number = tokens_of(texts)
-    found = []
+    places: dict[int, list[tuple]] = {}
     cache: dict[int, np.ndarray] = {}
     for kind in classes:
         k = kind.k
         if k not in cache:
             cache[k] = shingles(tokens, k)
         n = np.maximum(np.diff(at) - k + 1, 0)
+        # A text with fewer shingles of the class than a match has is passed over.
+        some = np.concatenate([[0], np.cumsum(kind.any[cache[k] >> np.uint64(64 - _ANY_BITS)])])
+        ends = np.minimum(at, len(cache[k]))
+        n[some[ends[1:]] - some[ends[:-1]] < kind.least] = 0
         # Only shingles inside a text: leave out those that reach into the next one.
         inside = np.repeat(at[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         if not len(inside):
@@ -186,8 +195,23 @@ def scan_texts(texts: pa.Array, classes: list[TemplateClass]) -> list[tuple[int,
                 hits.setdefault((int(of[window]), template), []).append((a + share[1], a + share[2], share[0]))
         for (text, template), spans in hits.items():
             for low, high, share in merged(spans):
-                found.append((text, kind.names[template], int(number[inside[low]]), int(number[inside[high] + k - 1]), share))
-    return sorted(found)
+                row = (text, kind.names[template], int(number[inside[low]]), int(number[inside[high] + k - 1]), share)
+                places.setdefault(text, []).append((row, kind.sets[template]))
+    return sorted(row for found in places.values() for row in best_at_a_place(found))
+
+
+def best_at_a_place(found: list[tuple[tuple, np.ndarray]]) -> list[tuple]:
+    """Leave out an occurrence that lies within a better one of a related template."""
+    kept: list[tuple[tuple, np.ndarray]] = []
+    for row, own in sorted(found, key=lambda f: (-(2 * f[0][4] - 1) * len(f[1]), f[0])):
+        for other, better in kept:
+            inside = min(row[3], other[3]) - max(row[2], other[2]) + 1
+            if row[1] != other[1] and inside >= CONTAINED * (row[3] - row[2] + 1):
+                if len(np.intersect1d(own, better)) >= CONTAINED * min(len(own), len(better)):
+                    break
+        else:
+            kept.append((row, own))
+    return [row for row, _ in kept]
 
 
 def passing(window: np.ndarray, template: np.ndarray) -> tuple[float, int, int] | None:
