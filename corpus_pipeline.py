@@ -1,7 +1,7 @@
 """A training-corpus pipeline of four stages over the ``documents`` table.
 
     language_id      rows without a language, or far from every profile, go
-    near_dedup       one row of each group of texts stays that share 80 % of their five-word shingles
+    near_dedup       one row of each SimHash group stays: three-word shingles, two differing bits at most
     decontaminate    rows that overlap with a benchmark item go
     sentencepiece    the texts become piece ids; decoding them is compared with the text
 
@@ -21,8 +21,8 @@ from tillwatch.llm.common import stored
 from tillwatch.llm.language import keep_known
 from tillwatch.llm.sentencepiece import Vocabulary, with_ids
 from tillwatch.llm.shipping import ship
-from tillwatch.llm.similar import keep_first_similar
 from tillwatch.llm.spaced_seeds import keep_clean
+from tillwatch.llm.vantage import RADIUS, WORDS, keep_first
 
 LEAST_CLOSENESS = 0.25  # below it a text is like no learned language
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"  # spark.tillwatch.pieces names another model
@@ -35,7 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return keep_first_similar(docs)
+    return keep_first(docs, words=WORDS, radius=RADIUS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
