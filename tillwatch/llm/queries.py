@@ -15,6 +15,7 @@ from tillwatch.llm.lm_scoring import score_documents
 from tillwatch.llm.sentencepiece import Vocabulary, encode_documents
 from tillwatch.llm.shipping import ship
 from tillwatch.llm.spaced_seeds import contaminated
+from tillwatch.llm.spelling import spelling_groups
 from tillwatch.llm.token_counts import apply_edits, build_trees, sample_edits
 from tillwatch.llm.url_filter import filter_urls, rule_table
 from tillwatch.llm.vantage import near_duplicates
@@ -100,3 +101,8 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(_table(spark, sf_dir, "documents"))
