@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from tillwatch.llm.block_tables import document_fingerprints
 from tillwatch.llm.common import stored
+from tillwatch.llm.conversations import repaired_conversations
 from tillwatch.llm.language import identify
 from tillwatch.llm.license_scan import scan_licenses
 from tillwatch.llm.lm_scoring import score_documents
+from tillwatch.llm.personal_data import personal_data
 from tillwatch.llm.sentencepiece import Vocabulary, encode_documents
 from tillwatch.llm.shipping import ship
 from tillwatch.llm.spaced_seeds import contaminated
@@ -106,3 +108,13 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(_table(spark, sf_dir, "conversations"))
+
+
+@_query
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
