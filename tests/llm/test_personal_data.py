@@ -133,6 +133,8 @@ def test_votes_and_overlaps():
     assert votes(text, "phone", 5, 22, False)[3] == "+" and votes(text, "card", 5, 22, False)[1] == "-"
     assert chosen([(("card", 5, 22), 0.2), (("phone", 5, 22), 0.9), (("ip", 20, 30), 1.0)]) == [("phone", 5, 22)]
     assert further_spans("x@y.zw", base_spans("x@y.zw")) == []
+    assert ("card", 5, 21) in further_spans("2024 4111111111111111", [])
+    assert ("phone", 0, 17) in further_spans("+1 (826) 555-4081 190.137.223.204", [("ip", 18, 33)])
 
 
 def test_query_on_the_test_table(spark):

@@ -59,6 +59,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 # taken whole; that keeps the scans linear.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
+_ONE_CARD = re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 # A pattern is tried only on texts that hold what no match of it is without.
 _AT = re.compile(r"[ \[({]at[ \])}]", re.I)
@@ -71,7 +72,7 @@ _WIDER = [
     ("ip", _DOT.search, re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\])[0-9]{1,3}){3}(?![0-9])")),
     ("ip", lambda text: text.count(":") >= 7, re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")),
     ("card", _LONG_NUMBER.search, re.compile(r"(?<![0-9])[0-9]{4}([._/ -]{1,3})[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])")),
-    ("phone", _NUMBERS.search, re.compile(r"(?<![0-9+])(?:00[1-9][0-9]{0,2}[ .-])?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")),
+    ("phone", _NUMBERS.search, re.compile(r"(?<![0-9+])(?:(?:00|\+)[1-9][0-9]{0,2}[ .-])?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")),
 ]
 _HINT = r"[@0-9:]|(?i:[ \[({]at[ \])}])"
 
@@ -129,7 +130,10 @@ def base_spans(text: str) -> list[Span]:
 def further_spans(text: str, base: list[Span]) -> list[Span]:
     """What the wider patterns propose outside the base spans, by place. They may overlap each other."""
     found = {(kind, m.start(), m.end()) for kind, has, pattern in _WIDER if has(text) for m in pattern.finditer(text)}
-    found |= {("card", s, e) for s, e, digits in _cards(text) if 13 <= len(digits) <= 19 and not _is_card(digits)}
+    for s, e, digits in _cards(text):
+        if not _is_card(digits):  # the chain, if short enough, and the numbers that it runs together
+            found |= {("card", s, e)} if 13 <= len(digits) <= 19 else set()
+            found |= {("card", m.start(), m.end()) for m in _ONE_CARD.finditer(text, s, e)}
     found |= {("ip", m.start(), m.end()) for m in _IP.finditer(text) if not all(map(_small, m[0].split(".")))}
     taken = sorted((s, e) for _, s, e in base)
     out, k = [], 0
