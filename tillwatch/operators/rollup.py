@@ -58,6 +58,48 @@ def transactions_by_type(tx: DataFrame) -> DataFrame:
     )
 
 
+#: Sums from which the daily figures follow, and which add up over any parts of a day's rows.
+PARTIAL_DAY = (
+    "atm_id string, record_date date, withdrawals long, withdrawn double, amounts long, deposits long, deposited double"
+)
+
+
+def partial_days(tx: DataFrame) -> DataFrame:
+    """Mergeable sums per machine-day of the typed transactions."""
+    out, into = _kind()
+    amount = _amount(tx)
+    return (
+        _with_day(tx, "transaction_time")
+        .filter(out | into)
+        .groupBy(*DAY_KEYS)
+        .agg(
+            F.count_if(out).alias("withdrawals"),
+            F.sum(F.when(out, amount)).alias("withdrawn"),
+            F.count(F.when(out, amount)).alias("amounts"),
+            F.count_if(into).alias("deposits"),
+            F.sum(F.when(into, amount)).alias("deposited"),
+        )
+    )
+
+
+def merged_days(partials: DataFrame) -> DataFrame:
+    """One row per machine-day from the sums of several parts."""
+    sums = ["withdrawals", "withdrawn", "amounts", "deposits", "deposited"]
+    return partials.groupBy(*DAY_KEYS).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def days_from_partials(partials: DataFrame) -> DataFrame:
+    """The figures of ``transactions_by_type`` from merged sums."""
+    return partials.select(
+        *DAY_KEYS,
+        F.col("withdrawals").alias("transaction_count"),
+        _zero_if_null(F.col("withdrawn")).alias("daily_withdrawal_amount"),
+        _zero_if_null(F.try_divide("withdrawn", "amounts")).alias("avg_transaction_amount"),
+        F.col("deposits").alias("daily_deposit_count"),
+        _zero_if_null(F.col("deposited")).alias("daily_deposit_amount"),
+    )
+
+
 def transactions_by_type_joined(tx: DataFrame) -> DataFrame:
     """The same figures from two aggregations and a full outer join (for comparison)."""
     out, into = _kind()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tillwatch.operators import labels
 from tillwatch.operators.impute import BOUNDS, METRICS, impute_metrics
 from tillwatch.operators.models import CASH_FEATURES, FleetModels, lasso_conditions, predict_fleet, train
+from tillwatch.operators.rollup import days_from_partials
 from tillwatch.plans.catalog import query
 from tillwatch.plans.check_sql import AS_OF, FIXTURE_HOLIDAYS, normal, uniform
 from tillwatch.plans.fleet_plan import FleetJob
@@ -236,21 +237,45 @@ def stream_daily_tx(spark, d):
     return _finished(spark, stream.daily_transactions(tx), "daily-tx")
 
 
+def _parts_by_day():
+    """Conditions that cut the transactions into early, middle and newest days."""
+    day, newest = F.to_date("transaction_time"), F.lit(AS_OF).cast("date")
+    return day < F.date_sub(newest, 20), day.between(F.date_sub(newest, 20), F.date_sub(newest, 6)), day >= F.date_sub(newest, 5)
+
+
 @query("stream_late_rows", "transaction_id:i atm_id transaction_time:t amount:f transaction_type transaction_status:i", "SELECT * FROM tx")
 def stream_late_rows(spark, d):
     """Four files, one per trigger: late days first, then the newest, then the oldest, then the first again."""
     folder, target = work_path(spark, "late-files"), work_path(spark, "late-table")
     tx = t.transactions(t.event_log(spark, d))
-    day = F.to_date("transaction_time")
-    newest = F.lit(AS_OF).cast("date")
-    for part in (day < F.date_sub(newest, 20), day >= F.date_sub(newest, 5), day.between(F.date_sub(newest, 20), F.date_sub(newest, 6)),
-                 day < F.date_sub(newest, 20)):
+    first, middle, last = _parts_by_day()
+    for part in (first, last, middle, first):
         tx.filter(part).coalesce(1).write.mode("append").parquet(folder)
     rows = stream.read_files(spark, folder, tx.schema, max_files=1)
     stream.ingest_all(rows, target, work_path(spark, "late-checkpoint"), "transaction_time").awaitTermination()
     return read_table(spark, target)
 
 
+@query(
+    "stream_daily_late",
+    "atm_id record_date:d transaction_count:i daily_withdrawal_amount:f avg_transaction_amount:f "
+    "daily_deposit_count:i daily_deposit_amount:f",
+    "SELECT * FROM tx_days",
+)
+def stream_daily_late(spark, d):
+    """Files of newest, oldest and middle days, each day's rows spread over several of them: every day is complete."""
+    folder = work_path(spark, "late-sums")
+    tx = t.transactions(t.event_log(spark, d))
+    first, middle, last = _parts_by_day()
+    odd = F.col("transaction_id") % 2 == 1
+    for part in (last & odd, first & ~odd, middle, first & odd, last & ~odd):
+        tx.filter(part).coalesce(1).write.mode("append").parquet(folder)
+    sums = stream.daily_sums(spark, work_path(spark, "daily-sums"))
+    rows = stream.read_files(spark, folder, tx.schema, max_files=1)
+    stream.roll_up_late(rows, sums, work_path(spark, "daily-sums-checkpoint")).awaitTermination()
+    return days_from_partials(sums.read())
+
+
 @query(
     "stream_features",
     "atm_id record_date:d composite_health_score:f",

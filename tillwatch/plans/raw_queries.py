@@ -12,6 +12,7 @@ from tillwatch.schemas import RAW_TABLES
 from tillwatch.session import work_path
 from tillwatch.sources import ingest, readers
 from tillwatch.sources import tables as t
+from tillwatch.sources.day_table import DayTable
 
 _TX_DAY = (
     "atm_id record_date:d transaction_count:i daily_withdrawal_amount:f avg_transaction_amount:f "
@@ -234,24 +235,40 @@ def _correction(days):
     return fixed.unionByName(added)
 
 
-@query(
-    "upsert_daily",
+_UPSERT = (
     "atm_id record_date:d uptime_percentage:f error_count:i transaction_count:i starting_cash_balance:f "
-    "ending_cash_balance:f downtime_duration:i",
-    """SELECT atm_id, record_date, CASE WHEN error_count > 0 THEN NULL ELSE uptime_percentage END AS uptime_percentage,
+    "ending_cash_balance:f downtime_duration:i"
+)
+_UPSERT_SQL = """SELECT atm_id, record_date, CASE WHEN error_count > 0 THEN NULL ELSE uptime_percentage END AS uptime_percentage,
          0 AS error_count, CASE WHEN error_count > 0 THEN transaction_count + 1 ELSE transaction_count END
            AS transaction_count,
          starting_cash_balance,
          CASE WHEN error_count > 0 THEN ending_cash_balance + 5 ELSE ending_cash_balance END AS ending_cash_balance,
          downtime_duration FROM daily
        UNION ALL
-       SELECT atm_id, max(record_date) + 1, 100, 0, 0, 1, 1, NULL FROM daily GROUP BY atm_id""",
-)
+       SELECT atm_id, max(record_date) + 1, 100, 0, 0, 1, 1, NULL FROM daily GROUP BY atm_id"""
+
+
+@query("upsert_daily", _UPSERT, _UPSERT_SQL)
 def upsert_daily(spark, d):
     days = daily(spark, d)
     return ingest.upsert_daily(days, _correction(days).withColumn("sent", F.lit(1)), order="sent")
 
 
+@query("upsert_written", _UPSERT, _UPSERT_SQL)
+def upsert_written(spark, d):
+    """The same through a stored table: it is written, takes the correction in two uploads, of which the second repeats
+    and overrules a part of the first, and is read back."""
+    days = daily(spark, d)
+    table = DayTable(spark, work_path(spark, "daily-table"), days.schema)
+    table.replace(days, table.days_of(days))
+    sent = _correction(table.read()).withColumn("sent", F.lit(2))
+    wrong = sent.filter(F.col("error_count") == 0).withColumns({"sent": F.lit(1), "ending_cash_balance": F.lit(-1.0)})
+    for upload in (sent.filter(F.crc32("atm_id") % 2 == 0).unionByName(wrong), sent):
+        ingest.write_upsert(table, upload, "sent")
+    return table.read()
+
+
 @query(
     "coerce_types",
     "event_id:i amount:f day:d",

@@ -45,12 +45,12 @@ def shared_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="tillwatch-")
         context.setCheckpointDir(named)
     if not local and spark.conf.get("spark.tillwatch.sharedLocalFolder", "false") != "true":
-        if _path(spark, named)[1].getScheme() == "file":
+        if file_system(spark, named)[1].getScheme() == "file":
             raise RuntimeError(f"{named} is a local folder; executors on other machines cannot see it")
     return named
 
 
-def _path(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     """A path and its file system, as the cluster's file layer sees them."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -62,12 +62,12 @@ def work_path(spark: SparkSession, purpose: str) -> str:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    where, system = _path(spark, path)
+    where, system = file_system(spark, path)
     return system.exists(where)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
-    where, system = _path(spark, path)
+    where, system = file_system(spark, path)
     system.delete(where, True)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tillwatch.schemas import DAILY_METRICS, RAW_TABLES
 from tillwatch.session import Stored, path_exists
+from tillwatch.sources.day_table import DayTable
 
 # The columns by which an uploaded table is recognised, in order of precedence.
 TABLE_SIGNATURES = {
@@ -181,6 +182,17 @@ def upsert_daily(base: DataFrame, update: DataFrame, order: str) -> DataFrame:
     return joined.withColumns(values).select(*base.columns)
 
 
+def write_upsert(table: DayTable, update: DataFrame, order: str) -> int:
+    """Upsert into a stored table; returns its new version.
+
+    Only the days of the update are read and written. They change together or, where any task of
+    the write fails for good, not at all.
+    """
+    with Stored(update, "upsert") as rows:  # read for its days and for its rows
+        days = table.days_of(rows)
+        return table.replace(upsert_daily(table.read(days), rows, order), days) if days else table.manifest()["version"]
+
+
 def format_time(df: DataFrame, column: str, with_seconds: bool) -> DataFrame:
     pattern = "yyyy-MM-dd HH:mm:ss" if with_seconds else "yyyy-MM-dd"
     return df.withColumn(column, F.date_format(column, pattern))

@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from tillwatch.operators.features import HOLIDAYS, features
-from tillwatch.operators.rollup import DEPOSIT_TYPES, WITHDRAWAL_TYPES
+from tillwatch.operators.rollup import DEPOSIT_TYPES, PARTIAL_DAY, WITHDRAWAL_TYPES, merged_days, partial_days
+from tillwatch.session import Stored
+from tillwatch.sources.day_table import DayTable
 from tillwatch.sources.ingest import append_new_rows
 
 KEYS = ["atm_id"]
@@ -77,6 +80,31 @@ def ingest_all(rows: DataFrame, target: str, checkpoint: str, time_column: str)
     return writer.trigger(availableNow=True).start()
 
 
+def daily_sums(spark: SparkSession, path: str) -> DayTable:
+    """The stored sums that ``roll_up_late`` keeps."""
+    return DayTable(spark, path, StructType.fromDDL(PARTIAL_DAY))
+
+
+def roll_up_late(tx: DataFrame, sums: DayTable, checkpoint: str, source: str = "transactions") -> StreamingQuery:
+    """Daily figures that every transaction reaches, however late it comes.
+
+    There is no watermark and no state in the stream. A batch is reduced to sums per machine and day, which are
+    added to the stored ones of the days it touches; other days are neither read nor written. The version
+    that holds a batch also holds its number, so a batch that is repeated after a failure is not added
+    twice. The rows themselves must be distinct, as ``ingest_all`` leaves them.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        if sums.manifest()["applied"].get(source, -1) >= batch_id:
+            return
+        with Stored(partial_days(batch), "partial-days") as fresh:
+            days = sums.days_of(fresh)
+            sums.replace(merged_days(sums.read(days).unionByName(fresh)), days, {source: batch_id})
+
+    writer = tx.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
 def refresh_features(changed: DataFrame, daily: DataFrame, target: str, checkpoint: str, holidays=HOLIDAYS) -> StreamingQuery:
     """Recompute the features of the machines named in each batch, from the whole daily table.
 
