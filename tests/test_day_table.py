@@ -21,7 +21,7 @@ def days(spark, *entries):
 def table(spark):
     base = days(spark, ("A", "2026-01-01", 1), ("B", "2026-01-01", 2), ("A", "2026-01-02", 3), ("A", "2026-01-03", 4))
     made = DayTable(spark, work_path(spark, "day-table-test"), base.schema)
-    made.replace(base, made.days_of(base))
+    made.replace(base, made.keys_of(base))
     return made
 
 
@@ -50,7 +50,7 @@ def test_a_failed_write_changes_nothing(spark, table):
     table.clean()
     assert counts(table) == content
     whole = table.read()
-    table.replace(whole, table.days_of(whole))
+    table.replace(whole, table.keys_of(whole))
     assert table.clean() == 1 and counts(table) == content  # the first version's files
 
 
@@ -70,7 +70,7 @@ def test_null_days_and_empty_tables(spark):
     odd = rows(spark, [{"atm_id": "A", "record_date": None, "error_count": 1}, {"atm_id": None, "record_date": day("2026-01-01"), "error_count": 2}])
     made = DayTable(spark, work_path(spark, "odd-days"), odd.schema)
     assert made.read().count() == 0 and made.clean() == 0
-    made.replace(odd, made.days_of(odd))
+    made.replace(odd, made.keys_of(odd))
     assert sorted(map(str, made.read().collect())) == sorted(map(str, odd.collect()))
 
 

@@ -39,6 +39,7 @@ PEAK_HOUR_SHARE = 0.24
 HEALTH_WEIGHTS = {"uptime": 0.40, "errors": 0.30, "maintenance": 0.20, "cash": 0.10}
 RISK_WEIGHTS = {"acceleration": 0.30, "downtime": 0.25, "trend": 0.20, "run": 0.15, "diversity": 0.10}
 
+WORK_COLUMNS = ["_pos", "_prev_start", "_burn", "_service", "_burn_7d", "_tx_spread"]
 ROLLING_MEAN_COLUMNS = [
     "uptime_percentage", "error_count", "transaction_count", "ending_cash_balance",
     "daily_withdrawal_amount", "avg_transaction_amount",
@@ -50,12 +51,12 @@ def _history() -> WindowSpec:
     return Window.partitionBy("atm_id").orderBy("record_date", "ending_cash_balance")
 
 
-def _last(rows: int) -> WindowSpec:
-    return _history().rowsBetween(1 - rows, 0)
+def _last(rows: int, history: WindowSpec | None = None) -> WindowSpec:
+    return (history or _history()).rowsBetween(1 - rows, 0)
 
 
-def _so_far() -> WindowSpec:
-    return _history().rowsBetween(Window.unboundedPreceding, 0)
+def _so_far(history: WindowSpec | None = None) -> WindowSpec:
+    return (history or _history()).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _whole_history() -> WindowSpec:
@@ -115,7 +116,7 @@ def _whole_days_since_service(days: DataFrame) -> Column:
     return whole if kind == "date" else whole - _flag(F.col("_service") > service_day.cast(kind))
 
 
-def _since_service(days: DataFrame) -> DataFrame:
+def since_service(days: DataFrame) -> DataFrame:
     if "_service" not in days.columns:
         return days.withColumn("days_since_maintenance", F.lit(NEVER_SERVICED).cast("long"))
     since = _whole_days_since_service(days)
@@ -131,46 +132,62 @@ def _deposit_notes(days: DataFrame) -> DataFrame:
     return days.withColumn("estimated_deposit_notes", F.least(by_value, by_count.cast("double")))
 
 
-def rolling_columns(columns: Sequence[str]) -> dict[str, Column]:
+def rolling_columns(columns: Sequence[str], history: WindowSpec | None = None) -> dict[str, Column]:
     """Means over the last seven rows. ``error_count_7d`` is therefore a mean; the sum has its own name."""
-    return {f"{c}_7d": F.avg(c).over(_last(7)) for c in ROLLING_MEAN_COLUMNS if c in columns}
+    return {f"{c}_7d": F.avg(c).over(_last(7, history)) for c in ROLLING_MEAN_COLUMNS if c in columns}
+
+
+def frame_columns(columns: Sequence[str], history: WindowSpec | None = None) -> dict[str, Column]:
+    """The columns over the last seven or thirty rows."""
+    last_7, last_30 = _last(7, history), _last(30, history)
+    errors = F.col("error_count")
+    gap_in_trend = F.count("uptime_percentage").over(last_7) < F.count("*").over(last_7)
+    serviced = F.sum(_flag(F.col("service_date").isNotNull())).over(last_30) if "service_date" in columns else F.lit(0).cast("long")
+    return {
+        **rolling_columns(columns, history),
+        "error_count_30d": F.sum(errors).over(last_30),
+        "error_count_7d_sum": F.sum(errors).over(last_7),
+        "error_type_diversity": F.coalesce(F.stddev_samp(errors).over(last_7), F.lit(0.0)),
+        "_tx_spread": F.coalesce(F.stddev_samp("transaction_count").over(last_7), F.lit(0.0)),
+        "_burn_7d": F.avg("_burn").over(last_7),
+        "maintenance_count_30d": serviced,
+        "health_trend_7d": F.when(gap_in_trend, 0.0).otherwise(
+            F.coalesce(F.regr_slope("uptime_percentage", "_pos").over(last_7), F.lit(0.0))
+        ),
+    }
+
+
+def refill_position() -> Column:
+    """The row's position where its balance starts higher than the row before it did."""
+    return F.when(F.col("starting_cash_balance") > F.col("_prev_start"), F.col("_pos"))
+
+
+def clean_position() -> Column:
+    return F.when(F.coalesce("error_count", F.lit(0)) <= 0, F.col("_pos"))
+
+
+def notes_after_service() -> Column:
+    return F.when(F.col("days_since_maintenance") >= 0, F.col("estimated_deposit_notes")).otherwise(0.0)
 
 
 def _history_columns(days: DataFrame) -> DataFrame:
     """Second window pass: all frames at once, on the partitioning and order of the first."""
-    last_7, last_30, so_far, whole = _last(7), _last(30), _so_far(), _whole_history()
-    errors, tx, uptime = F.col("error_count"), F.col("transaction_count"), F.col("uptime_percentage")
-    position = F.col("_pos")
-    refill_row = F.last(F.when(F.col("starting_cash_balance") > F.col("_prev_start"), position), True).over(so_far)
-    clean_row = F.last(F.when(F.coalesce(errors, F.lit(0)) <= 0, position), True).over(so_far)
+    so_far, whole = _so_far(), _whole_history()
+    tx, position = F.col("transaction_count"), F.col("_pos")
+    refill_row = F.last(refill_position(), True).over(so_far)
+    clean_row = F.last(clean_position(), True).over(so_far)
     first_row = F.lit(1)
-    gap_in_trend = F.count("uptime_percentage").over(last_7) < F.count("*").over(last_7)
     weekend = F.col("is_weekend") == 1
     weekend_mean = F.when(F.max("is_weekend").over(whole) == 1, F.avg(F.when(weekend, tx)).over(whole)).otherwise(0.0)
     weekday_mean = F.when(F.min("is_weekend").over(whole) == 0, F.avg(F.when(~weekend, tx)).over(whole)).otherwise(1.0)
-    after_service = F.when(F.col("days_since_maintenance") >= 0, F.col("estimated_deposit_notes")).otherwise(0.0)
-    serviced = (
-        F.sum(_flag(F.col("service_date").isNotNull())).over(last_30)
-        if "service_date" in days.columns
-        else F.lit(0).cast("long")
-    )
     return days.withColumns(
         {
-            **rolling_columns(days.columns),
-            "error_count_30d": F.sum(errors).over(last_30),
-            "error_count_7d_sum": F.sum(errors).over(last_7),
-            "error_type_diversity": F.coalesce(F.stddev_samp(errors).over(last_7), F.lit(0.0)),
-            "_tx_spread": F.coalesce(F.stddev_samp(tx).over(last_7), F.lit(0.0)),
-            "_burn_7d": F.avg("_burn").over(last_7),
+            **frame_columns(days.columns),
             # Rows since the start of the current run; the run starts at its refill or clean row.
             "days_since_replenishment": position - F.coalesce(refill_row, first_row),
             "time_since_last_error": position - F.coalesce(clean_row, first_row),
-            "maintenance_count_30d": serviced,
-            "health_trend_7d": F.when(gap_in_trend, 0.0).otherwise(
-                F.coalesce(F.regr_slope(uptime, position).over(last_7), F.lit(0.0))
-            ),
             "weekend_vs_weekday_ratio": F.coalesce(weekend_mean / (weekday_mean + 1), F.lit(1.0)),
-            "cumulative_deposit_notes": F.sum(after_service).over(so_far),
+            "cumulative_deposit_notes": F.sum(notes_after_service()).over(so_far),
         }
     )
 
@@ -215,7 +232,7 @@ def hourly_spread(column: str) -> Column:
     return F.when(n > 0, F.sqrt(F.greatest(variance, F.lit(0.0)))).otherwise(0.0)
 
 
-def _scores(days: DataFrame) -> DataFrame:
+def scores(days: DataFrame) -> DataFrame:
     """Columns built from the history columns: stress, health and failure risk."""
     surge = clip(F.col("weekend_vs_weekday_ratio") - 1.0, 0.0)
     before_weekend = F.col("day_of_week").isin(3, 4).cast("double")
@@ -266,16 +283,18 @@ def _scores(days: DataFrame) -> DataFrame:
     )
 
 
+def day_columns(daily: DataFrame, holidays: Sequence[str] = HOLIDAYS) -> DataFrame:
+    """The columns that follow from the day's own row."""
+    return calendar(daily, holidays).transform(cyclical).transform(_rates).transform(_deposit_notes)
+
+
 def features(daily: DataFrame, holidays: Sequence[str] = HOLIDAYS) -> DataFrame:
     """The machine-day table with every feature column."""
     wide = (
-        calendar(daily, holidays)
-        .transform(cyclical)
-        .transform(_rates)
-        .transform(_deposit_notes)
+        day_columns(daily, holidays)
         .transform(_previous_rows)
-        .transform(_since_service)
+        .transform(since_service)
         .transform(_history_columns)
-        .transform(_scores)
+        .transform(scores)
     )
-    return wide.drop("_pos", "_prev_start", "_burn", "_service", "_burn_7d", "_tx_spread")
+    return wide.drop(*WORK_COLUMNS)

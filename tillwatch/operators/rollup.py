@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwatch.functions import clip
+from tillwatch.operators.segments import previous_value
 
 DAY_KEYS = ["atm_id", "record_date"]
 MINUTES_PER_DAY = 1440
@@ -181,10 +182,14 @@ def cash_days(cash: DataFrame, keep_all_readings: bool = False) -> DataFrame:
 
 
 def starting_balance(days: DataFrame) -> DataFrame:
-    """A day starts with the previous row's ending balance; the first row with its own."""
-    order = ["record_date", "reading" if "reading" in days.columns else "ending_cash_balance"]
-    w = Window.partitionBy("atm_id").orderBy(*order)
-    previous = F.lag("ending_cash_balance").over(w)
+    """A day starts with the previous row's ending balance; the first row with its own.
+
+    With a row per reading a machine's history has no bound, so it is looked through in ranges.
+    """
+    if "reading" in days.columns:
+        rows = previous_value(days, "ending_cash_balance", ["record_date", "reading"])
+        return rows.withColumn("starting_cash_balance", F.coalesce("_previous", "ending_cash_balance")).drop("_previous")
+    previous = F.lag("ending_cash_balance").over(Window.partitionBy("atm_id").orderBy("record_date", "ending_cash_balance"))
     return days.withColumn("starting_cash_balance", F.coalesce(previous, F.col("ending_cash_balance")))
 
 
@@ -297,13 +302,15 @@ def daily_metrics(
     days: int | None = None,
     anchor=None,
     keep_all_readings: bool = False,
+    keep_reading_order: bool = False,
 ) -> DataFrame:
     """The machine-day table. Balance readings are the spine: a day without one has no row.
 
     The three tables are brought to one shape and aggregated together, with map-side combine: one
     shuffle by (machine, day) instead of three and two joins. The previous balance and everything
     later needs the rows by machine only, so that table is shuffled by machine once. With
-    ``keep_all_readings`` a day has a row per reading, and the daily figures are joined to them.
+    ``keep_all_readings`` a day has a row per reading, and the daily figures are joined to them;
+    ``keep_reading_order`` leaves the column ``reading`` in, which tells a day's rows apart.
 
     With ``days`` the other tables are cut to the range before they are aggregated. Balances
     are not: the first day of the range starts with the balance of the day before it.
@@ -322,7 +329,9 @@ def daily_metrics(
         )
     else:
         daily = _days_from_facts(_facts(cash, tx, logs))
-    daily = daily.transform(starting_balance).drop("reading").transform(add_uptime)
+    daily = daily.transform(starting_balance).transform(add_uptime)
+    if not keep_reading_order:
+        daily = daily.drop("reading")
     if maintenance is not None:
         daily = with_latest_service(daily, maintenance)
     if days is not None:

@@ -238,8 +238,30 @@ COMMON: dict[str, str] = {
           (1440 - least(greatest(downtime_duration, 0), 1440)) / 1440e0 * 100 AS uptime_percentage,
           CAST(NULL AS DATE) AS service_date
         FROM sup_days""",
+    # Every event as a balance reading: a day has a row per reading.
+    "readings": """
+        SELECT event_id AS reading, atm_id, record_date, floor(value * 1000) AS ending_cash_balance,
+          coalesce(lag(floor(value * 1000)) OVER (PARTITION BY atm_id ORDER BY record_date, event_id), floor(value * 1000))
+            AS starting_cash_balance
+        FROM ev""",
+    "reading_days": """
+        SELECT r.*, coalesce(transaction_count, 0) AS transaction_count,
+          coalesce(daily_withdrawal_amount, 0) AS daily_withdrawal_amount,
+          coalesce(avg_transaction_amount, 0) AS avg_transaction_amount,
+          coalesce(daily_deposit_count, 0) AS daily_deposit_count,
+          coalesce(daily_deposit_amount, 0) AS daily_deposit_amount,
+          coalesce(error_count, 0) AS error_count, coalesce(downtime_duration, 0) AS downtime_duration,
+          1440 - least(greatest(coalesce(downtime_duration, 0), 0), 1440) AS uptime_minutes,
+          (1440 - least(greatest(coalesce(downtime_duration, 0), 0), 1440)) / 1440e0 * 100 AS uptime_percentage,
+          service_date
+        FROM readings r
+        LEFT JOIN tx_days t ON r.atm_id = t.atm_id AND r.record_date = t.record_date
+        LEFT JOIN error_days e ON r.atm_id = e.atm_id AND r.record_date = e.record_date
+        LEFT JOIN downtime_days d ON r.atm_id = d.atm_id AND r.record_date = d.record_date
+        LEFT JOIN services_seen s ON r.atm_id = s.atm_id""",
     **_feature_steps("feat", "daily"),
     **_feature_steps("sfeat", "sup"),
+    **{k: sql.replace("ORDER BY record_date", "ORDER BY record_date, reading") for k, sql in _feature_steps("rfeat", "reading_days").items()},
     "newest": f"""
         SELECT *, {_DAYS_LEFT} AS days_left, least(greatest(failure_risk_score, 0), 1) AS risk
         FROM (SELECT *, row_number() OVER (PARTITION BY atm_id ORDER BY record_date DESC) AS rn FROM feat_all)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tillwatch.operators.carry import FeatureHistory, features_in_segments
 from tillwatch.operators.features import features, hourly_spread
 from tillwatch.operators.scoring import hourly_counts
 from tillwatch.plans.catalog import query
-from tillwatch.plans.check_sql import FIXTURE_HOLIDAYS
-from tillwatch.plans.raw_queries import daily
+from tillwatch.plans.check_sql import AS_OF, FIXTURE_HOLIDAYS
+from tillwatch.plans.raw_queries import daily, readings_daily
+from tillwatch.session import store, work_path
 from tillwatch.sources import tables as t
 
 
@@ -71,6 +73,26 @@ query("features", _ALL, "SELECT * FROM feat_all")(fleet_features)
 query("features_supplier_days", _ALL, "SELECT * FROM sfeat_all")(supplier_features)
 
 
+@query("features_all_readings", _ALL.replace(_KEY, f"{_KEY} reading:i"), "SELECT * FROM rfeat_all")
+def features_all_readings(spark, d):
+    """A row per reading, so a machine's history has no bound: computed over ranges of (machine, day, reading)."""
+    return features_in_segments(readings_daily(spark, d), FIXTURE_HOLIDAYS, order=["record_date", "reading"])
+
+
+@query("features_by_day", _ALL, "SELECT * FROM feat_all")
+def features_by_day(spark, d):
+    """The features of the last days come from stored states, three batches of days after the first."""
+    rows = store(daily(spark, d), "daily-rows")
+    history = FeatureHistory(spark, work_path(spark, "feature-history"), rows.schema, FIXTURE_HOLIDAYS)
+    last = F.lit(AS_OF).cast("date")
+    cuts = [None, *[F.date_sub(last, n) for n in (9, 5, 1)], None]
+    day = F.col("record_date")
+    for batch, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        part = rows if low is None else rows.filter(day >= low)
+        history.add(part if high is None else part.filter(day < high), batch)
+    return history.read()
+
+
 @query(
     "hourly_volatility",
     f"{_KEY} transaction_volatility:f",

@@ -32,6 +32,14 @@ def daily(spark, d, **days):
     )
 
 
+def readings_daily(spark, d):
+    log = t.event_log(spark, d)
+    return rollup.daily_metrics(
+        t.cash_readings(log), t.transactions(log), t.operational_logs(log), t.maintenance_records(log),
+        keep_all_readings=True, keep_reading_order=True,
+    )
+
+
 # --- sources and sinks -----------------------------------------------------------------
 
 
@@ -261,7 +269,7 @@ def upsert_written(spark, d):
     and overrules a part of the first, and is read back."""
     days = daily(spark, d)
     table = DayTable(spark, work_path(spark, "daily-table"), days.schema)
-    table.replace(days, table.days_of(days))
+    table.replace(days, table.keys_of(days))
     sent = _correction(table.read()).withColumn("sent", F.lit(2))
     wrong = sent.filter(F.col("error_count") == 0).withColumns({"sent": F.lit(1), "ending_cash_balance": F.lit(-1.0)})
     for upload in (sent.filter(F.crc32("atm_id") % 2 == 0).unionByName(wrong), sent):
@@ -323,6 +331,14 @@ def cash_balances(spark, d):
     return rollup.cash_balances(t.cash_status(t.event_log(spark, d)))
 
 
+@query(
+    "cash_balances_all_readings", "atm_id record_date:d reading:i starting_cash_balance:f ending_cash_balance:f", "SELECT * FROM readings"
+)
+def cash_balances_all_readings(spark, d):
+    """A row per reading; a machine's readings are looked through in ranges, not in one window."""
+    return rollup.starting_balance(rollup.cash_days(t.cash_readings(t.event_log(spark, d)), keep_all_readings=True))
+
+
 @query("daily_metrics", _DAILY, "SELECT * FROM daily")
 def daily_metrics(spark, d):
     return daily(spark, d)

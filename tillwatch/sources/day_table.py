@@ -1,4 +1,4 @@
-"""A table cut by day whose current files a manifest names, so a job changes whole days or nothing.
+"""A table cut by day (or another key) whose current files a manifest names, so a job changes whole days or nothing.
 
 Every write goes to a folder of its own; the manifest of the next version then points the touched days
 to it. A write that fails before that leaves the old version as it was, and readers of an older
@@ -13,7 +13,7 @@ import json
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -24,10 +24,12 @@ NO_DAY = "none"
 
 
 class DayTable:
-    """Rows with a date column, stored by day. ``schema`` are the columns as they are read back."""
+    """Rows stored by day. ``schema`` are the columns as they are read back; ``key`` may name another cut than the
+    day of ``record_date``, with a bounded number of values."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, day_column: str = "record_date"):
-        self.spark, self.path, self.schema, self.day_column = spark, path.rstrip("/"), schema, day_column
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: Column | None = None):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.key = F.to_date("record_date") if key is None else key
 
     # --- manifests -----------------------------------------------------------------------
 
@@ -75,13 +77,13 @@ class DayTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
-    def days_of(self, rows: DataFrame) -> list[str]:
+    def keys_of(self, rows: DataFrame) -> list[str]:
         """The days that rows touch, as text: one value per calendar day."""
-        found = rows.select(self._day_text()).distinct().collect()
+        found = rows.select(self._key_text()).distinct().collect()
         return sorted(r[0] for r in found)
 
-    def _day_text(self):
-        return F.coalesce(F.to_date(self.day_column).cast("string"), F.lit(NO_DAY)).alias(DAY)
+    def _key_text(self) -> Column:
+        return F.coalesce(self.key.cast("string"), F.lit(NO_DAY)).alias(DAY)
 
     def replace(self, rows: DataFrame, days: Iterable[str], applied: dict[str, int] | None = None) -> int:
         """Make ``rows`` the whole content of ``days``, other days stay; returns the new version. ``applied`` notes
@@ -89,7 +91,7 @@ class DayTable:
         before = self.manifest()
         folder = uuid.uuid4().hex
         target = f"{self.path}/data/{folder}"
-        shown = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema], self._day_text())
+        shown = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema], self._key_text())
         shown.repartition(DAY, *self._spread(shown)).write.partitionBy(DAY).parquet(target)
         where, system = file_system(self.spark, target)
         written = {s.getPath().getName().removeprefix(f"{DAY}=") for s in system.listStatus(where) if s.isDirectory()}

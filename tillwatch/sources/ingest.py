@@ -189,7 +189,7 @@ def write_upsert(table: DayTable, update: DataFrame, order: str) -> int:
     the write fails for good, not at all.
     """
     with Stored(update, "upsert") as rows:  # read for its days and for its rows
-        days = table.days_of(rows)
+        days = table.keys_of(rows)
         return table.replace(upsert_daily(table.read(days), rows, order), days) if days else table.manifest()["version"]
 
 

@@ -89,6 +89,14 @@ def cash_status(log: DataFrame) -> DataFrame:
     )
 
 
+def cash_readings(log: DataFrame) -> DataFrame:
+    """Every event as a balance reading, so that a busy machine has many on one day."""
+    return log.select(
+        F.col("event_id").alias("cash_id"), "atm_id", F.col("ts").alias("timestamp"),
+        F.floor(F.col("value") * 1000).cast("double").alias("remaining_cash"),
+    )
+
+
 def maintenance_records(log: DataFrame) -> DataFrame:
     return log.filter((F.col("event_type") == "error") & (F.col("k") % 10 == 0)).select(
         F.col("event_id").alias("maintenance_id"),

@@ -98,7 +98,7 @@ def roll_up_late(tx: DataFrame, sums: DayTable, checkpoint: str, source: str = "
         if sums.manifest()["applied"].get(source, -1) >= batch_id:
             return
         with Stored(partial_days(batch), "partial-days") as fresh:
-            days = sums.days_of(fresh)
+            days = sums.keys_of(fresh)
             sums.replace(merged_days(sums.read(days).unionByName(fresh)), days, {source: batch_id})
 
     writer = tx.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
