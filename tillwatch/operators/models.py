@@ -12,7 +12,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import MinMaxScaler, RobustScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwatch.operators.labels import expanding_folds, fold_count
@@ -329,6 +329,61 @@ def _fit_heads(models: FleetModels, data: DataFrame, n: int, sizes: Sizes, heads
         models.activity = fit_activity(data.select(*ACTIVITY_FEATURES), sizes)
 
 
+# --- how good a head is ---------------------------------------------------------------------
+
+
+def _squares(model: PipelineModel, rows: DataFrame, label: str, prediction: str) -> float:
+    """Share of the label's variance that the predictions explain."""
+    left = F.pow(F.col(prediction) - F.col(label), 2)
+    row = model.transform(rows).agg(F.avg(left).alias("left"), F.var_pop(label).alias("whole")).first()
+    return 1 - row["left"] / row["whole"] if row["whole"] else 0.0
+
+
+def _log_loss(model: PipelineModel, rows: DataFrame) -> float:
+    """Share of the log loss of the label rate that the probabilities save."""
+    p = F.greatest(F.least(vector_to_array("_failure_prob")[1], F.lit(1 - 1e-9)), F.lit(1e-9))
+    loss = F.when(F.col("y_failure") == 1, -F.log(p)).otherwise(-F.log(1 - p))
+    row = model.transform(rows).agg(F.avg(loss).alias("loss"), F.avg("y_failure").alias("rate")).first()
+    rate = row["rate"]
+    if rate is None or rate in (0, 1):
+        return 0.0
+    return float(1 - row["loss"] / -(rate * np.log(rate) + (1 - rate) * np.log(1 - rate)))
+
+
+def centre_distances(column: str, centres) -> list[Column]:
+    """Squared distance of a vector column to each centre."""
+    x = vector_to_array(column)
+    return [sum((F.pow(x[i] - float(v), 2) for i, v in enumerate(centre)), F.lit(0.0)) for centre in centres]
+
+
+def _clusters(model: PipelineModel, rows: DataFrame) -> tuple[float, int]:
+    """Share of the squared distances from the mean that the clusters take away, and the number of rows
+    that another centre is nearer to than their own."""
+    found = model.transform(rows)
+    near = centre_distances("_activity_x", model.stages[-1].clusterCenters())
+    own = F.get(F.array(*near), F.col("_cluster"))
+    x = vector_to_array("_activity_x")
+    spread = sum((F.var_pop(x[i]) for i in range(len(ACTIVITY_FEATURES))), F.lit(0.0))
+    astray = F.count_if(own > F.array_min(F.array(*near)) + 1e-12)
+    row = found.agg(F.avg(own).alias("within"), spread.alias("whole"), astray.alias("astray")).first()
+    return (1 - row["within"] / row["whole"] if row["whole"] else 0.0), row["astray"]
+
+
+def skill(models: FleetModels, labelled: DataFrame, head: str) -> float:
+    """What a head explains of its labelled rows: 0 for a constant, 1 at best. Clusters with stray rows count 0."""
+    rows, model = model_input(labelled), getattr(models, head)
+    if model is None:
+        return 0.0
+    if head == "health":
+        return _squares(model, rows, "y_health", "_health_pred")
+    if head == "cash":
+        return _squares(model, rows, "y_cash", "_cash_pred")
+    if head == "failure":
+        return _log_loss(model, rows)
+    share, astray = _clusters(model, rows)
+    return 0.0 if astray else share
+
+
 # --- scoring ------------------------------------------------------------------------------
 
 
