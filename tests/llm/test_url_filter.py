@@ -69,3 +69,47 @@ def test_query_over_the_whole_table(spark):
     for r in got:
         rule = rule_of(*parse(pages[r["page_id"]]), URL_RULES)
         assert r["rule"] == (rule and rule[0] + rule[1]) and (not rule or r["verdict"] == rule[2])
+
+
+def test_very_long_urls_take_seconds(spark):
+    import time
+
+    urls = URLS + ["http://a.net/" + "x/y" * 333_333, "http://" + "a." * 100_000 + "example.net/en/", "http://b.com/" + "é" * 1_000_000 + "#x"] * 2
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    began = time.perf_counter()
+    got = {r["page_id"]: r for r in filter_urls(pages, rule_table(spark, URL_RULES)).collect()}
+    assert time.perf_counter() - began < 60 and len(got) == len(urls)
+    for i, url in enumerate(urls):
+        rule = rule_of(*parse(url), URL_RULES)
+        assert got[i]["rule"] == (rule and rule[0] + rule[1])
+
+
+def test_buckets_do_not_depend_on_the_parts(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from tillwatch.llm import url_filter as op
+
+    texts = pa.array(["", "a", "abcabcabd", "x" * 50, "日本語.net", "abcabcabd"])
+    whole = op.gram_buckets(texts, 1)
+    for size in (1, 3, 7):
+        monkeypatch.setattr(op, "_CHARS", size)
+        assert np.array_equal(op.gram_buckets(texts, 1), whole)
+    rows = whole >> op.FEATURE_BITS
+    grams = lambda t: {("^" + t + "$")[i : i + n] for n in op.GRAMS for i in range(len(t) + 3 - n)}
+    assert [int((rows == i).sum()) for i in range(6)] == [len(grams(t)) for t in texts.to_pylist()]
+
+
+def test_held_out_urls_of_ruled_hosts(spark):
+    """Fitted on three quarters of the URLs that a rule fits, the classifier tells the others' verdicts."""
+    from pyspark.sql import functions as F
+
+    from tillwatch.llm.url_filter import classify, fit_classifier, fitting_rule, host_and_path
+
+    host, path = host_and_path("url")
+    urls = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select(host.alias("host"), path.alias("path")).distinct()
+    ruled = fitting_rule(urls, rule_table(spark, URL_RULES)).filter("rule IS NOT NULL").withColumnRenamed("rule_verdict", "verdict")
+    held = F.pmod(F.xxhash64("path", "host"), F.lit(4)) == 0
+    judged = classify(ruled.filter(held), fit_classifier(ruled.filter(~held)))
+    right = judged.filter((F.col("p_allow") >= 0.5) == (F.col("verdict") == "allow")).count()
+    assert right >= 0.9 * judged.count() > 0

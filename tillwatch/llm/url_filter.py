@@ -9,22 +9,26 @@ Defined results
     rules of equal length              the one with the longer host, then the first one in the alphabet
     labels of one kind or none         every URL without a rule gets that kind, or ``allow``
     repeated rows                      each row is judged
+    very long urls                     time and memory grow with their length, labels of the host included
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillwatch.llm.common import stored, text_slices
+
 GRAMS = (3, 4)
-FEATURES = 1 << 16
+FEATURE_BITS = 15
 TRAIN_ROWS = 4096  # most labelled URLs the classifier is fitted on
 RULE_SCHEMA = "rule_host string, rule_path string, rule_verdict string"
 
+_SLICE = 1 << 19
+_CHARS = 1 << 20  # code points that are looked at together
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -45,10 +49,11 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
 def fitting_rule(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct (host, path) rows with ``rule`` and ``rule_verdict`` of the longest fitting rule, else null.
 
-    A URL meets the rules of its host and of each parent domain in an equi-join, never all rules.
+    A URL meets the rules of its host and of its parent domains in an equi-join, never all rules. Domains of more
+    labels than any rule has are left out, so a host of any length is spread over few rows.
     """
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
+    most = rules.agg(F.max(F.size(F.split("rule_host", r"\.")))).first()[0] or 1  # labels of the longest rule
+    suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -n) for n in range(1, most + 1)]))
     spread = urls.select("host", "path", F.explode(suffixes).alias("rule_host"))
     met = spread.join(rules, "rule_host").filter(F.col("path").startswith(F.col("rule_path")))
     text = F.concat("rule_host", "rule_path")
@@ -59,40 +64,114 @@ def fitting_rule(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return urls.join(best, ["host", "path"], "left")
 
 
-def _grams(column: str, mark: str) -> Column:
-    """Character n-grams with a mark for the part of the URL they come from; edges are marked, too."""
-    text = F.concat(F.lit("^"), F.col(column), F.lit("$"))
-    kinds = []
+def _hashed(codes: np.ndarray, row: np.ndarray, seed: int) -> np.ndarray:
+    """Distinct (row, bucket) numbers of the n-grams that lie within one row."""
+    found = []
     for n in GRAMS:
-        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
-        kinds.append(F.transform(starts, lambda i, n=n: F.concat(F.lit(mark), F.substr(text, i, F.lit(n)))))
-    return F.concat(*kinds)
-
-
-def with_grams(urls: DataFrame) -> DataFrame:
-    return urls.withColumn("_grams", F.concat(_grams("host", "h"), _grams("path", "p")))
+        if len(codes) < n:
+            continue
+        whole = len(codes) - n + 1
+        h = np.full(whole, seed * 8 + n, np.uint64) * _FACTORS[3]
+        for i in range(n):
+            h = (h ^ codes[i : i + whole]) * _FACTORS[i % 3]
+            h ^= h >> np.uint64(29)
+        inside = row[:whole] == row[n - 1 :]
+        bucket = (h >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
+        found.append(np.unique((row[:whole][inside] << FEATURE_BITS) | bucket[inside]))
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def gram_buckets(texts: pa.Array, seed: int) -> np.ndarray:
+    """Sorted (row << FEATURE_BITS | bucket) of the character n-grams of each text, whose edges are marked. Linear in
+    the text, and long ones are looked at in overlapping parts, so memory is bounded by the buckets."""
+    marked = [f"^{t}$" for t in texts.to_pylist()]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    ends = np.cumsum(lengths)
+    found = []
+    for start in range(0, max(1, len(codes)), _CHARS):
+        part = slice(start, start + _CHARS + max(GRAMS) - 1)
+        place = np.arange(start, min(len(codes), part.stop))
+        row = np.searchsorted(ends, place, side="right")
+        found.append(_hashed(codes[part].astype(np.uint64), row, seed))
+    return np.unique(np.concatenate(found))
+
+
+def url_buckets(hosts: pa.Array, paths: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of each distinct feature of each URL; host and path have features of their own."""
+    both = np.unique(np.concatenate([gram_buckets(hosts, 1), gram_buckets(paths, 2)]))
+    return both >> FEATURE_BITS, both & ((1 << FEATURE_BITS) - 1)
+
+
+def _parts(hosts: pa.Array, paths: pa.Array):
+    """Runs of rows with little text each: (first row, hosts, paths)."""
+    for at, some in text_slices(paths, _SLICE):
+        for more, own in text_slices(hosts.slice(at, len(some)), _SLICE):
+            yield at + more, own, some.slice(more, len(own))
+
+
+class UrlClassifier:
+    """Logistic regression over hashed n-grams; ``weights`` end with the constant."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+
+    @classmethod
+    def fit(cls, row: np.ndarray, bucket: np.ndarray, allow: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> "UrlClassifier":
+        """Accelerated gradient steps on the mean log loss; the step size bounds the curvature, so they converge."""
+        n, width = len(allow), 1 << FEATURE_BITS
+        rate = 4 * n / (np.bincount(row, minlength=n).max(initial=0) + 1) / n
+        w, ahead = np.zeros(width + 1), np.zeros(width + 1)
+        for step in range(steps):
+            left = 1 / (1 + np.exp(-np.clip(np.bincount(row, ahead[bucket], n) + ahead[-1], -30, 30))) - allow
+            gradient = np.append(np.bincount(bucket, left[row], width), left.sum()) / n + ridge * ahead
+            new = ahead - rate * gradient
+            ahead = new + step / (step + 3) * (new - w)
+            w = new
+        return cls(w)
+
+    def p_allow(self, hosts: pa.Array, paths: pa.Array) -> np.ndarray:
+        row, bucket = url_buckets(hosts, paths)
+        return 1 / (1 + np.exp(-np.clip(np.bincount(row, self.weights[bucket], len(hosts)) + self.weights[-1], -500, 500)))
+
+
+def fit_classifier(labelled: DataFrame, most_rows: int = TRAIN_ROWS) -> UrlClassifier | str:
+    """Fit on (host, path, verdict) rows; at most ``most_rows`` of them, drawn by the URL's hash.
+
+    The driver gets the buckets of the drawn URLs, at most ``most_rows`` times 2^FEATURE_BITS numbers.
+    """
+    drawn = labelled.select("host", "path", (F.col("verdict") == "allow").cast("double").alias("allow"))
+    drawn = drawn.orderBy(F.xxhash64("host", "path"), "host", "path").limit(most_rows)
 
+    def buckets(batches):
+        for batch in batches:
+            for at, hosts, paths in _parts(batch.column(0), batch.column(1)):
+                row, bucket = url_buckets(hosts, paths)
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.searchsorted(row, np.arange(len(hosts) + 1)), pa.int32()), pa.array(bucket, pa.int32())
+                )
+                yield pa.RecordBatch.from_arrays([lists, batch.column(2).slice(at, len(hosts))], names=["buckets", "allow"])
 
-def fit_classifier(labelled: DataFrame, most_rows: int = TRAIN_ROWS) -> PipelineModel | str:
-    """Fit on (host, path, verdict) rows; at most ``most_rows`` of them, drawn by the URL's hash."""
-    drawn = labelled.select("host", "path", (F.col("verdict") == "allow").cast("double").alias("_allow"))
-    drawn = drawn.orderBy(F.xxhash64("host", "path"), "host", "path").limit(most_rows)
-    kinds = [r["_allow"] for r in drawn.groupBy("_allow").count().collect()]  # two rows at most
-    if len(kinds) < 2:
-        return "block" if kinds == [0.0] else "allow"
-    stages = [
-        HashingTF(inputCol="_grams", outputCol="_features", numFeatures=FEATURES, binary=True),
-        LogisticRegression(featuresCol="_features", labelCol="_allow", probabilityCol="_p", regParam=0.001, maxIter=50),
-    ]
-    return Pipeline(stages=stages).fit(with_grams(drawn))
+    rows = drawn.mapInArrow(buckets, "buckets array<int>, allow double").collect()
+    allow = np.array([r["allow"] for r in rows])
+    if len(set(allow.tolist())) < 2:
+        return "block" if len(rows) and not allow[0] else "allow"
+    row = np.repeat(np.arange(len(rows)), [len(r["buckets"]) for r in rows])
+    return UrlClassifier.fit(row, np.array([b for r in rows for b in r["buckets"]], np.int64), allow)
 
 
-def classify(urls: DataFrame, model: PipelineModel | str) -> DataFrame:
+def classify(urls: DataFrame, model: UrlClassifier | str) -> DataFrame:
     """Add ``p_allow`` to (host, path) rows."""
     if isinstance(model, str):
         return urls.withColumn("p_allow", F.lit(1.0 if model == "allow" else 0.0))
-    keep = urls.columns
-    return model.transform(with_grams(urls)).select(*keep, vector_to_array("_p")[1].alias("p_allow"))
+    shared = urls.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def chance(hosts: pa.Array, paths: pa.Array) -> pa.Array:
+        found = [shared.value.p_allow(own, some) for _, own, some in _parts(hosts, paths)]
+        return pa.array(np.concatenate(found) if found else np.zeros(0))
+
+    return urls.withColumn("p_allow", chance("host", "path"))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, labelled: DataFrame | None = None, id_col: str = "page_id",
@@ -103,7 +182,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, labelled: DataFrame | None =
     """
     host, path = host_and_path(F.col(url_col).cast("string"))
     parts = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    ruled = fitting_rule(parts.select("host", "path").distinct(), rules)
+    ruled = stored(fitting_rule(parts.select("host", "path").distinct(), rules), "ruled-urls")
     if labelled is None:
         examples = ruled.filter(F.col("rule").isNotNull()).withColumnRenamed("rule_verdict", "verdict")
     else:
