@@ -14,7 +14,7 @@ DEFAULT_RADIUS_KM = 2.0
 _SLACK = 1e-9
 
 
-def _box(lat: float, radius_km: float) -> tuple[float, float]:
+def box(lat: float, radius_km: float) -> tuple[float, float]:
     """Half height and half width in degrees of a box that holds the whole circle."""
     angle = radius_km / EARTH_RADIUS_KM
     dlat = math.degrees(angle)
@@ -25,7 +25,7 @@ def _box(lat: float, radius_km: float) -> tuple[float, float]:
 
 def near_point(machines: DataFrame, lat: float, lng: float, radius_km: float = DEFAULT_RADIUS_KM) -> DataFrame:
     """Machines within the radius, with their distance. The box test reaches the file scan."""
-    dlat, dlng = _box(lat, radius_km)
+    dlat, dlng = box(lat, radius_km)
     inside = F.col("lat").between(lat - dlat, lat + dlat)
     if -180 <= lng - dlng and lng + dlng <= 180:
         inside = inside & F.col("lng").between(lng - dlng, lng + dlng)

@@ -9,8 +9,11 @@ from tillwatch.plans.catalog import query
 from tillwatch.plans.check_sql import AS_OF, FIXTURE_HOLIDAYS, SUPPLIER_AS_OF, distance, half_up
 from tillwatch.plans.feature_queries import fleet_features, supplier_features
 from tillwatch.plans.fleet_plan import FleetJob
+from tillwatch.session import work_path
+from tillwatch.sources import layout
 from tillwatch.sources import tables as t
 from tillwatch.sources.ingest import to_json_rows
+from tillwatch.sources.text_index import TextIndex
 
 
 def job(spark, d) -> FleetJob:
@@ -309,6 +312,21 @@ def nearby(spark, d):
     return geo.near_point(t.atm_metadata(spark, d), 17.95, -76.85)
 
 
+@query(
+    "nearby_by_place",
+    "radius_km:i atm_id distance_km:f",
+    f"""SELECT radius_km, atm_id, distance_km
+        FROM (SELECT atm_id, {distance("17.95e0", "-76.85e0", "lat", "lng")} AS distance_km FROM master), (SELECT unnest([1, 2, 5]) AS radius_km)
+        WHERE distance_km <= radius_km""",
+)
+def nearby_by_place(spark, d):
+    """Three searches over a master that is stored along a Z-order curve; a smaller circle opens fewer files."""
+    path = work_path(spark, "by-place")
+    layout.write_by_place(t.atm_metadata(spark, d), path, files=16)
+    found = [layout.near_point_by_place(spark, path, 17.95, -76.85, r).withColumn("radius_km", F.lit(r)) for r in (1, 2, 5)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query(
     "nearby_join",
     "point_id atm_id distance_km:f",
@@ -346,6 +364,23 @@ def text_search(spark, d):
     return fleet.text_search(_found(spark, d), "Nation_1")
 
 
+@query(
+    "text_search_indexed",
+    "wanted atm_id location atm_model",
+    """SELECT w AS wanted, atm_id, location, atm_model FROM master, (SELECT unnest(['Nation_1', 'TION_2', 'deposits', 'm3', 'not there']) AS w)
+       WHERE contains(lower(location), lower(w)) OR contains(lower(services), lower(w)) OR contains(lower(atm_model), lower(w))""",
+)
+def text_search_indexed(spark, d):
+    """Five searches over posting lists of trigrams; one is too short for them, and one finds nothing."""
+    index = TextIndex(spark, work_path(spark, "text-index"), ["location", "services", "atm_model"], buckets=8)
+    index.build(t.atm_metadata(spark, d))
+    out = None
+    for wanted in ("Nation_1", "TION_2", "deposits", "m3", "not there"):
+        one = index.search(wanted).withColumn("wanted", F.lit(wanted))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(
     "services_array",
     "atm_id service_list:a has_service:i first_services:a more_services:i",

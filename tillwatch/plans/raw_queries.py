@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tillwatch.operators import rollup
@@ -13,6 +14,8 @@ from tillwatch.session import work_path
 from tillwatch.sources import ingest, readers
 from tillwatch.sources import tables as t
 from tillwatch.sources.day_table import DayTable
+from tillwatch.sources.filtered import FilteredTable
+from tillwatch.sources.layout import append_sorted_csv, newest_day, read_in_order
 
 _TX_DAY = (
     "atm_id record_date:d transaction_count:i daily_withdrawal_amount:f avg_transaction_amount:f "
@@ -228,6 +231,71 @@ def upload_flow(spark, d):
     return ingest.read_table(spark, f"{tables}/transactions")
 
 
+def _in_seconds(tx):
+    return tx.withColumn("transaction_time", F.date_trunc("second", "transaction_time").cast("timestamp_ntz"))
+
+
+@query(
+    "upload_filtered",
+    "upload:i rows_added:i days_touched:i days_read:i",
+    """SELECT 1 AS upload, count(*) FILTER (WHERE early) AS rows_added, count(DISTINCT record_date) FILTER (WHERE early) AS days_touched, 0 AS days_read
+       FROM (SELECT *, record_date < (SELECT max(record_date) FROM tx) - 10 AS early FROM tx)
+       UNION ALL
+       SELECT 2, count(*) FILTER (WHERE NOT early), count(DISTINCT record_date) FILTER (WHERE NOT early OR repeated),
+         count(DISTINCT record_date) FILTER (WHERE repeated)
+       FROM (SELECT *, early AND record_date >= (SELECT max(record_date) FROM tx) - 12 AS repeated
+             FROM (SELECT *, record_date < (SELECT max(record_date) FROM tx) - 10 AS early FROM tx))
+       UNION ALL
+       SELECT 3, 0, count(DISTINCT record_date), count(DISTINCT record_date) FROM tx""",
+)
+def upload_filtered(spark, d):
+    """Three uploads: all but the newest days, then the newest with two days of repeats, then everything again. Of each:
+    rows added, days that it has, and days of the table that had to be read."""
+    tx = _in_seconds(t.transactions(t.event_log(spark, d)))
+    day, newest = F.to_date("transaction_time"), tx.agg(F.max(F.to_date("transaction_time"))).scalar()
+    table = FilteredTable(spark, work_path(spark, "filtered"), "transaction_time")
+    uploads = [tx.filter(day < F.date_sub(newest, 10)), tx.filter(day >= F.date_sub(newest, 12)), tx]
+    done = [(n, table.append(upload)) for n, upload in enumerate(uploads, 1)]
+    rows = [(n, a.rows_added, len(a.days_touched), len(a.days_read)) for n, a in done]
+    return spark.createDataFrame(rows, "upload long, rows_added long, days_touched long, days_read long")
+
+
+@query(
+    "csv_in_order",
+    "row_index:i atm_id transaction_time:t transaction_id:i",
+    """SELECT row_number() OVER (ORDER BY late, atm_id, date_trunc('second', transaction_time)) - 1 AS row_index, * FROM (
+         SELECT atm_id, transaction_time, transaction_id, transaction_id % 3 = 0 AS late,
+           count(*) OVER (PARTITION BY transaction_id % 3 = 0, atm_id, date_trunc('second', transaction_time)) AS n FROM tx) WHERE n = 1""",
+)
+def csv_in_order(spark, d):
+    """Two appends of CSV, read back in the order of the files' names: each is sorted by machine and time as a whole,
+    the second stands behind the first. Times that a machine has twice within a second are left out: their order is free."""
+    tx = t.transactions(t.event_log(spark, d)).select("atm_id", "transaction_time", "transaction_id")
+    tx = tx.withColumns({"late": F.col("transaction_id") % 3 == 0, "second": F.date_trunc("second", "transaction_time")})
+    single = tx.groupBy("late", "atm_id", "second").agg(F.count("*").alias("n")).filter("n = 1")
+    tx = tx.join(single, ["late", "atm_id", "second"], "left_semi")
+    path = work_path(spark, "ordered-csv")
+    for late in (False, True):
+        append_sorted_csv(tx.filter(F.col("late") == late).select("atm_id", "transaction_time", "transaction_id"), path, "transaction_time", files=5)
+    rows = read_in_order(spark, path, "atm_id string, transaction_time timestamp_ntz, transaction_id bigint")
+    sizes = rows.groupBy("file").agg(F.count("*").alias("n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    starts = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    nth = F.row_number().over(Window.partitionBy("file").orderBy("line"))
+    return rows.withColumn("nth", nth).join(starts, "file").withColumn("row_index", F.col("start") + F.col("nth") - 1)
+
+
+@query(
+    "last_days_by_footer", "atm_id timestamp:d remaining_cash:f",
+    "SELECT atm_id, record_date AS timestamp, remaining_cash FROM cash WHERE record_date >= (SELECT max(record_date) FROM cash) - 7",
+)
+def last_days_by_footer(spark, d):
+    """The newest day comes from the footers of the files, and cuts the scan as a pushed filter."""
+    path = work_path(spark, "readings")
+    t.cash_status(t.event_log(spark, d)).write.parquet(path)
+    return spark.read.parquet(path).filter(F.col("timestamp") >= rollup.window_start(None, 7, newest_day(spark, path, "timestamp")))
+
+
 def _correction(days):
     """New figures for the days with errors, and one more day per machine after its last."""
     fixed = days.filter(F.col("error_count") > 0).select(
