@@ -3,7 +3,8 @@ import hashlib
 import numpy as np
 from llm_helpers import frame, odd_texts, prose
 
-from tillwatch.llm.block_tables import count_close, document_fingerprints
+from tillwatch.llm import block_tables as op
+from tillwatch.llm.block_tables import close_pairs, count_close, document_fingerprints
 
 NAMES = ["n_chars", "edited_sha256", "near_edited", "near_next"]
 
@@ -34,7 +35,7 @@ def test_likeness_tells_edits_from_strangers(spark):
     assert np.mean([r["near_edited"] > r["near_next"] for r in rows]) > 0.95
 
 
-def test_search_counts_every_pair_once(spark):
+def test_search_counts_every_pair_once(spark, monkeypatch):
     """Balls of near fingerprints, keys shared by very many of them, and strangers."""
     rng = np.random.default_rng(4)
     prints = [int(x) for x in rng.integers(0, 2**63, 200)]
@@ -49,8 +50,12 @@ def test_search_counts_every_pair_once(spark):
     for radius in (0, 2, 3):
         want = {int(p): int((np.bitwise_count(own ^ p) <= radius).sum()) - 1 for p in own}
         for hot in (1024, 8):
+            monkeypatch.setattr(op, "_PAIRS", hot)
             got = {int(np.int64(r["fp"]).view(np.uint64)): r["n_near"] for r in count_close(frame, radius, hot).collect()}
             assert got == {p: n for p, n in want.items() if n}
+            pairs = [(r["fp"], r["other"], r["distance"]) for r in close_pairs(frame, radius, hot).collect()]
+            assert len(set(pairs)) == len(pairs) == sum(want.values()) // 2
+            assert all(a < b and ((a ^ b) & (2**64 - 1)).bit_count() == d <= radius for a, b, d in pairs)
 
 
 def test_repeated_ids_null_ids_and_empty_tables(spark):

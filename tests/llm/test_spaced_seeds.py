@@ -2,7 +2,7 @@ from itertools import combinations
 
 from llm_helpers import frame, odd_texts, prose
 
-from tillwatch.llm.spaced_seeds import MASKS, RUN, _NOT_WORD, contaminated, keep_clean
+from tillwatch.llm.spaced_seeds import MASKS, RUN, SHORT_MASK, _NOT_WORD, contaminated, item_texts, keep_clean, seed_blocks
 
 
 def tokens(text):
@@ -13,7 +13,7 @@ def overlaps(doc, item):
     """Every alignment, token by token: the most agreeing tokens within runs that pass."""
     a, b = tokens(doc), tokens(item)
     run = min(RUN, len(b))
-    need = 11 if run == RUN else run
+    need = 11 if run == RUN else run - 1 if run >= 8 else run
     best = None
     for shift in range(-len(b) + 1, len(a)):
         same = [0 <= k + shift < len(a) and a[k + shift] == b[k] for k in range(len(b))]
@@ -33,6 +33,35 @@ def test_masks_find_any_two_substitutions():
         assert any(all(o + m not in lost for m in mask) for mask in MASKS for o in range(RUN - mask[-1]))
 
 
+def test_masks_find_one_substitution_in_short_items():
+    for n in range(8, RUN):
+        masks = [*MASKS, SHORT_MASK] if n < 10 else MASKS
+        for lost in range(n):
+            assert any(lost not in [o + m for m in mask] for mask in masks for o in range(n - mask[-1]))
+
+
+def test_short_items_with_one_substitution(spark, rng):
+    items = [prose(rng, n) for n in range(5, 13) for _ in range(3)]
+    texts = []
+    for item in items:
+        for lost in range(len(item.split())):
+            words = item.split()
+            words[lost] = "Other,"
+            texts.append(f"{prose(rng, 6)} {' '.join(words)} {prose(rng, 4)}")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    want = {(d, i): n for d, t in enumerate(texts) for i, x in enumerate(items) if (n := overlaps(t, x))}
+    got = {(r["doc_id"], r["item_id"]): r["matched_tokens"] for r in contaminated(frame(spark, texts), benchmark).collect()}
+    assert got == want and {len(items[i].split()) for _, i in got} >= set(range(8, 13))
+
+
+def test_repeated_items_are_searched_for_once(spark):
+    benchmark = spark.createDataFrame([(i, "one two three four five six") for i in range(300)] + [(900, "other words")], "item_id int, text string")
+    blocks = list(seed_blocks(item_texts(benchmark), 10))
+    assert sum(len(keys) for keys, _ in blocks) == 2
+    found = contaminated(frame(spark, ["zero one two three four five six"]), benchmark).collect()
+    assert sorted(r["item_id"] for r in found) == list(range(300))
+
+
 def test_pairs_equal_brute_force(spark, rng):
     items = [prose(rng, n) for n in (40, 25, 13, 12, 8, 5, 1)] + ["", "The Cat sat!"]
     items[-2] = None

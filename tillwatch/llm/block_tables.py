@@ -3,7 +3,7 @@
 The terms of a text are its pairs of adjacent words (a text of one word has that word), weighted by
 1 + ln(how often). Each term's hash votes with its weight for or against every bit.
 
-Search: the 64 bits fall into ``radius + 2`` blocks. Two fingerprints that differ in at most ``radius``
+Search (``close_pairs``, ``count_close``): the 64 bits fall into ``radius + 2`` blocks. Two fingerprints that differ in at most ``radius``
 bits agree in at least two blocks, so there is one table per pair of blocks, keyed by their bits, and
 close fingerprints share a key in some table. A pair that shares several is counted in the first of
 these tables only. A key that very many fingerprints share is split into pairs of parts.
@@ -31,6 +31,8 @@ from tillwatch.llm.common import stored, text_slices, words_of
 RADIUS = 3
 HOT_KEY = 1024  # fingerprints of one key that are compared in one go
 _SLICE = 1 << 19
+_PAIRS = 1 << 18  # pairs that are held before they are shown
+_PART_BYTES = 64 << 20  # of text in a range of the order
 _LOWEST = -(2**63)
 _ROOM = np.uint64(20)  # bits for the text's number within a slice; the same for all, as terms lose as many
 
@@ -122,10 +124,12 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     is also sent to the range above it.
     """
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    least = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     id_type = docs.schema[id_col].dataType.simpleString()
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("key")
     rows = docs.select(key, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(least, -(-size // _PART_BYTES))  # ranges grow in number, not in size
     bounds, needed = _succession(rows, parts)
 
     def place(batches):
@@ -211,7 +215,31 @@ class BlockTables:
 
 def count_close(prints: DataFrame, radius: int = RADIUS, hot_key: int = HOT_KEY) -> DataFrame:
     """(fp, n_near): how many other distinct fingerprints lie within the radius; those without one are
-    left out. ``prints`` has distinct ``fp`` values. No pair is ever written out."""
+    left out. ``prints`` has distinct ``fp`` values. No pair is written out."""
+
+    def counted(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        own = np.bincount(a, minlength=len(rows[5])) + np.bincount(b, minlength=len(rows[5]))
+        some = np.flatnonzero(own)
+        return pa.RecordBatch.from_arrays([pa.array(rows[5][some]), pa.array(own[some])], names=["fp", "n"])
+
+    return _met(prints, radius, hot_key, counted, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n_near"))
+
+
+def close_pairs(prints: DataFrame, radius: int = RADIUS, hot_key: int = HOT_KEY) -> DataFrame:
+    """(fp, other, distance), fp < other: each pair of distinct fingerprints within the radius once. As many rows as
+    there are such pairs; ``count_close`` and ``vantage.near_links`` do without them."""
+
+    def paired(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        low, high = np.minimum(rows[5][a], rows[5][b]), np.maximum(rows[5][a], rows[5][b])
+        apart = np.bitwise_count(low.view(np.uint64) ^ high.view(np.uint64)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(apart)], names=["fp", "other", "distance"])
+
+    return _met(prints, radius, hot_key, paired, "fp long, other long, distance int")
+
+
+def _met(prints: DataFrame, radius: int, hot_key: int, shown, schema: str) -> DataFrame:
+    """What ``shown`` makes of the pairs within the radius, each met once: it gets the columns of some rows
+    and the numbers of both rows of each pair."""
     tables = BlockTables(radius)
 
     def spread(batches):
@@ -244,27 +272,23 @@ def count_close(prints: DataFrame, radius: int = RADIUS, hot_key: int = HOT_KEY)
             fresh = np.ones(len(rows[0]), bool)
             fresh[1:] = np.any([c[1:] != c[:-1] for c in rows[:4]], axis=0)
             last = int(np.flatnonzero(fresh)[-1])  # this run may go on in the next batch
-            yield from _counted(tables, [c[:last] for c in rows], fresh[:last])
+            yield from _compared(tables, [c[:last] for c in rows], fresh[:last], shown)
             kept = [c[last:] for c in rows]
         if kept is not None:
             fresh = np.zeros(len(kept[0]), bool)
             fresh[:1] = True
-            yield from _counted(tables, kept, fresh)
+            yield from _compared(tables, kept, fresh, shown)
 
-    counts = met.mapInArrow(compare, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n_near"))
-    return counts
+    return met.mapInArrow(compare, schema)
 
 
-def _counted(tables: BlockTables, rows: list[np.ndarray], fresh: np.ndarray):
-    """Partial counts for complete runs of rows with one key: each row against the rows after it."""
+def _compared(tables: BlockTables, rows: list[np.ndarray], fresh: np.ndarray, shown):
+    """Complete runs of rows with one key: each row against the rows after it."""
     table, _, i, j, mine, prints = rows
-    if not len(prints):
-        return
     run = np.cumsum(fresh)
     own = prints.view(np.uint64)
-    found = np.zeros(len(own), np.int64)
     at = np.arange(len(own))
-    step = 1
+    step, first, second, waiting = 1, [], [], 0
     while True:
         at = at[at + step < len(own)]
         at = at[run[at] == run[at + step]]
@@ -276,12 +300,16 @@ def _counted(tables: BlockTables, rows: list[np.ndarray], fresh: np.ndarray):
         close &= (i[at] == j[at]) | (mine[at] != mine[at + step])
         hit = at[close]
         hit = hit[tables.first_table(difference[close]) == table[hit]]
-        found[hit] += 1
-        found[hit + step] += 1
+        if len(hit):
+            first.append(hit)
+            second.append(hit + step)
+            waiting += len(hit)
+        if waiting > _PAIRS:
+            yield shown(rows, np.concatenate(first), np.concatenate(second))
+            first, second, waiting = [], [], 0
         step += 1
-    some = np.flatnonzero(found)
-    if len(some):
-        yield pa.RecordBatch.from_arrays([pa.array(prints[some]), pa.array(found[some])], names=["fp", "n"])
+    if waiting:
+        yield shown(rows, np.concatenate(first), np.concatenate(second))
 
 
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

@@ -4,16 +4,18 @@ A fixed mask picks some of the tokens of a short span and ignores the others, so
 the picked ones still agrees when an ignored token was substituted. The hashes of all spans of
 the benchmark items are joined with those of the documents; every hit names an alignment, which
 is then compared token by token. Two texts overlap where, along one alignment, at least 80 % of
-some ``RUN`` consecutive item tokens agree. A shorter item must agree in full.
+some ``RUN`` consecutive item tokens agree. A shorter item may have one substituted token if it has
+``TOLERANT`` tokens or more; still shorter ones must agree in full.
 
-The masks find every such run: for any two substituted tokens among 13 some mask still fits.
-Items shorter than a mask are hashed whole.
+The masks find every such run: for any two substituted tokens among 13, and any one of an item of 10 to 12, some
+mask still fits. A lighter mask of every other token serves the items of 8 and 9: one substitution spares its
+even or its odd place. Items below that are hashed whole.
 
 Tokens are words, lower-cased and cut down to letters and digits; words without any are left out.
 
 Defined results
     null or wordless texts    overlap with nothing
-    repeated items            each is reported
+    repeated items            each is reported; equal texts are searched for once
     repeated documents        each row is reported
     an item met twice         its alignment with most agreeing tokens, then the first one
 """
@@ -33,6 +35,8 @@ from tillwatch.llm.common import free_name, text_slices, words_of
 
 # Token positions that count, in spans of at most RUN tokens.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
+SHORT_MASK = (0, 2, 4, 6)  # for items of TOLERANT to SHORT tokens
+TOLERANT, SHORT = 8, 9
 RUN = 13
 SHARE = 0.8
 BLOCK_TOKENS = 1 << 18  # benchmark tokens that are broadcast at a time
@@ -84,15 +88,15 @@ class SeedIndex:
     def of(cls, texts: list[str]) -> SeedIndex:
         tokens, at, _ = tokens_of(pa.array(texts, pa.string()))
         n = np.diff(at)
-        span = max(m[-1] for m in MASKS) + 1
-        masks = [*MASKS, *(tuple(range(k)) for k in np.unique(n[(n > 0) & (n < span)]).tolist())]
+        # Each mask with the sizes of the items that it serves.
+        masks = [(m, 0, np.inf) for m in MASKS] + [(SHORT_MASK, TOLERANT, SHORT)]
+        masks += [(tuple(range(k)), k, k) for k in np.unique(n[(n > 0) & (n < TOLERANT)]).tolist()]
         seeds = []
-        for k, mask in enumerate(masks):
+        for mask, least, most in masks:
             where, hashes = _seed_hashes(tokens, at, mask)
-            if k >= len(MASKS):  # whole short items only
-                item = np.searchsorted(at, where, side="right") - 1
-                own = n[item] == len(mask)
-                where, hashes = where[own], hashes[own]
+            item = np.searchsorted(at, where, side="right") - 1
+            own = (n[item] >= least) & (n[item] <= most)
+            where, hashes = where[own], hashes[own]
             order = np.argsort(hashes, kind="stable")
             hashes, where = hashes[order], where[order]
             table = np.zeros(1 << _FILTER_BITS, bool)
@@ -137,7 +141,8 @@ class SeedIndex:
         if len(same) < run:
             return None
         total = np.concatenate([[0], np.cumsum(same)])
-        passed = np.flatnonzero(total[run:] - total[:-run] >= (int(np.ceil(SHARE * run - 1e-9)) if run == RUN else run))
+        least = int(np.ceil(SHARE * run - 1e-9)) if run == RUN else run - (run >= TOLERANT)
+        passed = np.flatnonzero(total[run:] - total[:-run] >= least)
         if not len(passed):
             return None
         inside = np.zeros(len(same) + 1, np.int64)
@@ -147,18 +152,24 @@ class SeedIndex:
         return len(agree), a + shift + int(agree[0]), a + shift + int(agree[-1])
 
 
-def seed_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS):
-    """The benchmark in blocks of about ``block_tokens`` tokens: (item ids, index) one after the other.
+def item_texts(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item, text, text_key) of the items that have a text; equal texts have equal keys."""
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text"))
+    return items.filter(F.col("text").isNotNull()).withColumn("text_key", F.sha2("text", 256))
+
 
-    Only one block at a time is on the driver and broadcast, whatever the benchmark's size.
+def seed_blocks(items: DataFrame, block_tokens: int = BLOCK_TOKENS):
+    """The distinct texts in blocks of about ``block_tokens`` tokens: (text keys, index) one after the other.
+
+    Only one block at a time is on the driver and broadcast, whatever the benchmark's size and
+    however often an item repeats.
     """
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text"))
-    items = items.filter(F.col("text").isNotNull())
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    texts = items.select("text_key", "text").dropDuplicates(["text_key"])
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (4 * block_tokens)))
     for k in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()
-        yield [r["item"] for r in rows], SeedIndex.of([r["text"] for r in rows])
+        rows = texts.filter(F.pmod(F.xxhash64("text_key"), F.lit(blocks)) == k).collect()
+        yield [r["text_key"] for r in rows], SeedIndex.of([r["text"] for r in rows])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -166,10 +177,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """doc_id, item_id, matched_tokens, first_word, last_word: one row per document row and overlapping item."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    id_type, item_type = rows.schema["doc_id"].dataType, benchmark.schema[item_col].dataType
+    id_type = rows.schema["doc_id"].dataType
     schema = f"doc_id {id_type.simpleString()}, item int, matched_tokens long, first_word long, last_word long"
     parts = []
-    for items, index in seed_blocks(benchmark, item_col, item_text, block_tokens):
+    items = item_texts(benchmark, item_col, item_text)
+    names = items.select("text_key", F.col("item").alias("item_id"))
+    for keys, index in seed_blocks(items, block_tokens):
         shared = spark.sparkContext.broadcast(index)
 
         def scan(batches, shared=shared):
@@ -184,8 +197,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                             names=["doc_id", "item", "matched_tokens", "first_word", "last_word"],
                         )
 
-        names = spark.createDataFrame(list(enumerate(items)), f"item int, item_id {item_type.simpleString()}")
-        found = rows.mapInArrow(scan, schema).join(names, "item")
+        numbered = spark.createDataFrame(list(enumerate(keys)), "item int, text_key string")
+        found = rows.mapInArrow(scan, schema).join(numbered, "item").join(names, "text_key")
         parts.append(found.select("doc_id", "item_id", "matched_tokens", "first_word", "last_word"))
     found = parts[0]
     for part in parts[1:]:
@@ -197,7 +210,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                item_col: str = "item_id", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The rows that overlap with no benchmark item, with all their columns."""
     kept = docs
-    for _, index in seed_blocks(benchmark, item_col, item_text, block_tokens):
+    for _, index in seed_blocks(item_texts(benchmark, item_col, item_text), block_tokens):
         shared = docs.sparkSession.sparkContext.broadcast(index)
         kept = _without(kept, shared, text_col)
     return kept
