@@ -93,41 +93,49 @@ def with_faults(ordered: DataFrame) -> DataFrame:
 # --- the agenda ------------------------------------------------------------------------------
 
 
-def moves(state: int, row: tuple[str, int] | None):
-    """(cost, letter, state) of every edit of a row, or of an insertion in front of the next row."""
-    if row is None:
-        for initial in ROLES:
-            if (state, initial) in NEXT:
-                yield INSERT, "I", NEXT[state, initial]
-        return
-    initial, fault = row
-    yield DELETE, "D", state
-    if fault in (BLANK, DUPLICATE):
-        return
-    more = LEFT_TRUNCATED if fault == TRUNCATED else 0
-    if (state, initial) in NEXT:
-        yield KEEP + more, "K", NEXT[state, initial]
-    for other in ROLES:
-        if (state, other) in NEXT:
-            yield REROLE + more, "R", NEXT[state, other]
+def moves(state: int, initial: str, fault: int) -> list[tuple[int, str, int]]:
+    """(cost, letter, state) of every edit of a row."""
+    found = [(DELETE, "D", state)]
+    if fault not in (BLANK, DUPLICATE):
+        more = LEFT_TRUNCATED if fault == TRUNCATED else 0
+        if (state, initial) in NEXT:
+            found.append((KEEP + more, "K", NEXT[state, initial]))
+        found += [(REROLE + more, "R", NEXT[state, other]) for other in ROLES if (state, other) in NEXT]
+    return found
+
+
+_INSERTIONS = [[(INSERT, "I", NEXT[q, r]) for r in ROLES if (q, r) in NEXT] for q in STATES]
+# Rows differ for the deductions by their initial, if the pattern knows it, and their fault.
+_EDITS = {(r, f): [moves(q, r, f) for q in STATES] for r in ("s", "u", "a", "") for f in (GOOD, BLANK, DUPLICATE, TRUNCATED)}
 
 
 def derive(rows: list[tuple[str, int]]) -> Table:
     """The lightest (cost, audit) from each state to each other one over all rows of a chunk."""
-    agenda = [(0, "", p, 0, p) for p in STATES]
-    final: dict[tuple[int, int, int], Weight] = {}
-    while agenda:
-        cost, audit, p, i, q = heapq.heappop(agenda)
-        if (p, i, q) in final:
-            continue
-        final[p, i, q] = (cost, audit)
-        deductions = [(i, m) for m in moves(q, None)]
-        if i < len(rows):
-            deductions += [(i + 1, m) for m in moves(q, rows[i])]
-        for j, (more, letter, to) in deductions:
-            if (p, j, to) not in final:
-                heapq.heappush(agenda, (cost + more, audit + letter, p, j, to))
-    return {(p, q): w for (p, i, q), w in final.items() if i == len(rows)}
+    edits = [_EDITS[r if r in ("s", "u", "a") else "", f] for r, f in rows]
+    system = any(r == "s" and f not in (BLANK, DUPLICATE) for r, f in rows)
+    best: Table = {}
+    for p in STATES:
+        # States 2 and 3 can be reached from all, 1 from itself and over a system row from 0, 0 from itself.
+        open_goals = 2 + (p < 2) + (p == 0 and system)
+        final: list[list[Weight | None]] = [[None] * 4 for _ in range(len(rows) + 1)]
+        agenda = [(0, "", 0, p)]
+        while agenda:
+            cost, audit, i, q = heapq.heappop(agenda)
+            if final[i][q] is not None:
+                continue
+            final[i][q] = (cost, audit)
+            open_goals -= i == len(rows)
+            if not open_goals:
+                break
+            for more, letter, to in _INSERTIONS[q]:
+                if final[i][to] is None:
+                    heapq.heappush(agenda, (cost + more, audit + letter, i, to))
+            if i < len(rows):
+                for more, letter, to in edits[i][q]:
+                    if final[i + 1][to] is None:
+                        heapq.heappush(agenda, (cost + more, audit + letter, i + 1, to))
+        best |= {(p, q): w for q, w in enumerate(final[-1]) if w is not None}
+    return best
 
 
 # A trail is (trail before, audit of the chunk): the audit of a prefix without copying it.
