@@ -17,12 +17,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwatch.llm.common import stored
 from tillwatch.llm.language import keep_known
 from tillwatch.llm.sentencepiece import Vocabulary, with_ids
 from tillwatch.llm.shipping import ship
 from tillwatch.llm.spaced_seeds import keep_clean
 from tillwatch.llm.vantage import RADIUS, WORDS, keep_first
+from tillwatch.session import remove_path, work_path, workspace
 
 LEAST_CLOSENESS = 0.25  # below it a text is like no learned language
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"  # spark.tillwatch.pieces names another model
@@ -65,7 +65,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. What a stage stores for itself goes when its result is written, and that when the
+    next stage's is; the last stage's own tables go with the caller's ``workspace``."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        target = work_path(spark, f"pipeline-{name}")
+        with workspace(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(target)
+        docs = spark.read.schema(kept.schema).parquet(target)
+        if before is not None:
+            remove_path(spark, before)
+        before = target
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from tillwatch.plans.check_sql import COMMON
 
 # Shown doubles are rounded a little off the half, so that amounts which fall exactly on a half do
-# not depend on the order in which an engine summed them up.
+# not depend on the order in which an engine summed them up. That concerns the seventh decimal: columns
+# that a query has itself rounded to one to three digits lie on the shown grid and stay as they are.
 HALF = 0.5003
 
 Runner = Callable[[SparkSession, str], DataFrame]

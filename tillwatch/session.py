@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,9 +59,31 @@ def file_system(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+_WORKSPACE: ContextVar[str | None] = ContextVar("workspace", default=None)
+
+
 def work_path(spark: SparkSession, purpose: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/tillwatch/{purpose}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder, inside the current workspace if there is one."""
+    folder = _WORKSPACE.get() or f"{shared_dir(spark).rstrip('/')}/tillwatch"
+    return f"{folder}/{purpose}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """The owner of all that is stored within the block: it goes at the block's end.
+
+    Lazy results read what was stored for them, so they must be written or collected inside::
+
+        with workspace(spark):
+            near_duplicates(docs).write.parquet(target)
+    """
+    folder = f"{work_path(spark, 'work')}"
+    token = _WORKSPACE.set(folder)
+    try:
+        yield folder
+    finally:
+        _WORKSPACE.reset(token)
+        remove_path(spark, folder)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
