@@ -1,3 +1,4 @@
+import re
 
 import pytest
 from llm_helpers import frame, odd_texts, prose
@@ -17,6 +18,48 @@ def documents(rng, n):
     return out
 
 
+def plain_tokens(text):
+    """(token, word number), by a plain pattern."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    return [(t, k) for k, w in enumerate(words) if (t := re.sub(r"[\W_]+", "", w.lower()))]
+
+
+def plain_shingles(tokens, k):
+    return [tuple(t for t, _ in tokens[i : i + k]) for i in range(len(tokens) - k + 1)]
+
+
+def test_occurrences_hold_their_templates_by_plain_sets(spark, rng):
+    """Written apart from the operator: every reported place holds 80 % of the template's shingles, and wherever a
+    stretch of a template's length does, that template or a related one is reported there."""
+    texts = odd_texts(rng) + documents(rng, 120)
+    found = [tuple(r) for r in scan_licenses(frame(spark, texts)).collect()]
+    sets, lengths = {}, {}
+    for name, text in TEMPLATES:
+        tokens = plain_tokens(text)
+        k = min(5, len(tokens))
+        sets[name], lengths[name] = (k, set(plain_shingles(tokens, k))), len(tokens) - k + 1
+    for doc, name, low, high, share in found:
+        k, own = sets[name]
+        there = set(plain_shingles([t for t in plain_tokens(texts[doc]) if low <= t[1] <= high], k))
+        assert len(there & own) >= 0.8 * len(own) - 1e-9 and share <= len(there & own) / len(own) + 1e-9
+    met = 0
+    for doc, text in enumerate(texts):
+        tokens = plain_tokens(text)
+        for name, (k, own) in sets.items():
+            if lengths[name] > 400:
+                continue
+            shingles, n = plain_shingles(tokens, k), lengths[name]
+            for start in range(0, max(1, len(shingles) - n + 1)):
+                part = shingles[start : start + n]
+                if len(own & set(part)) < 0.8 * len(own):
+                    continue
+                met += 1
+                a, b = tokens[start][1], tokens[min(start + len(part) + k - 2, len(tokens) - 1)][1]
+                at_place = {other for d, other, low, high, _ in found if d == doc and low <= b and high >= a}
+                assert any(other == name or len(own & sets[other][1]) >= 0.8 * min(len(own), len(sets[other][1])) for other in at_place)
+    assert met > 50
+
+
 def test_equals_a_scan_of_all_windows(spark, rng, monkeypatch):
     texts = odd_texts(rng) + documents(rng, 150)
     got = sorted(tuple(r) for r in scan_licenses(frame(spark, texts).repartition(4)).collect())

@@ -87,3 +87,17 @@ def test_reading_goes_on_behind_a_bad_record_that_inflates():
     for bad, status in ((gzip.compress(b"no header" * 300_000), "damaged"), (gzip.compress(b"WARC/1.1\r\nContent-Length: x\r\n\r\n"), "damaged"),
                         (short, "truncated")):
         assert [r["status"] for r in read_records(io.BytesIO(a + bad + c))] == ["ok", status, "ok"]
+
+
+def test_text_ids_come_back_as_they_are(spark):
+    ids = ["a b", "x\r\nWARC-Type: fake", "50%", "+", "", "None", "ü/ö?", "%", None, None]
+    pages = spark.createDataFrame([(i, "http://a.b/", f"page {k % 4}") for k, i in enumerate(ids)], "page_id string, url string, html string")
+    got = archive_pages(pages).collect()
+    assert sorted(map(str, (r["page_id"] for r in got))) == sorted(map(str, ids)) and all(r["status"] == "ok" for r in got)
+    first = {}
+    for k, i in enumerate(ids):
+        if i is not None:
+            first[k % 4] = min(first.get(k % 4, i), i)
+    for r in got:
+        of = [first[k % 4] for k, i in enumerate(ids) if i == r["page_id"]]
+        assert r["refers_to"] in [f if f != r["page_id"] else None for f in of]

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwatch.session import work_path
+from tillwatch.session import Stored, remove_path
 
 SLICE_BYTES = 4 << 20
 
@@ -18,20 +18,17 @@ SLICE_BYTES = 4 << 20
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write the frame as parquet below the shared folder and read it back with the same schema.
 
-    Cuts the lineage; unlike cached blocks the files outlive the executors that wrote them.
+    Cuts the lineage; unlike cached blocks the files outlive the executors that wrote them. They go with
+    the workspace that the job runs in, or by ``forget``.
     """
-    spark = df.sparkSession
-    path = work_path(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    own = Stored(df, purpose)
+    own.frame.stored_at = own.path
+    return own.frame
 
 
 def forget(df: DataFrame) -> None:
-    """Remove the files of a stored frame that no later step reads."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    """Remove the files of a frame that ``stored`` gave and no later step reads."""
+    remove_path(df.sparkSession, df.stored_at)
 
 
 def free_name(df: DataFrame, base: str) -> str:

@@ -1,4 +1,8 @@
-"""Whole license texts, word for word. Fixed values."""
+"""Whole license texts. Fixed values.
+
+AGPL-3.0 alone is put together: the text of GPL-3.0 with the passages in which it differs, which were not compared
+with an original. Its matches are to be read with that in mind; all others are word for word.
+"""
 
 FULL_TEXTS = [
     ("Apache-2.0", """Apache License

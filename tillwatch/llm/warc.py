@@ -11,7 +11,8 @@ more than one piece and one record's headers are held, however long a record is;
 
 Defined results
     null payload          the empty payload
-    null id               never the smallest of a group that has another id
+    null id               never the smallest of a group that has another id; comes back as null
+    text id               written percent-encoded, so an id may hold any characters
     equal id and payload  all such rows are responses where their id is the smallest, else revisits
     damaged record        its ``status`` says what is wrong; reading goes on with the next gzip member, or
                           with the next archive where the member cannot be inflated to its end
@@ -29,7 +30,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwatch.llm.common import SLICE_BYTES, stored
@@ -68,8 +69,15 @@ def record_bytes(kind: str, record_id: str, uri: str, payload: bytes, digest: st
     return head + pack.compress(block) + pack.compress(b"\r\n\r\n") + pack.flush()
 
 
-def _urn(number) -> str:
-    return f"urn:page:{number}"
+def _urn(number: str | None) -> str:
+    """The record id of a page: a null id has a name that no encoded id can have."""
+    return "urn:page:" + ("%" if number is None else quote(number, safe=""))
+
+
+def _id_of(urn: str, kind: str) -> Column:
+    """The page id in a record id column."""
+    own = F.substring(urn, 10, 1 << 30)
+    return F.when(own != "%", F.try_url_decode(F.replace(own, F.lit("+"), F.lit("%2B"))).try_cast(kind))
 
 
 def mark_copies(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int) -> DataFrame:
@@ -274,8 +282,7 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url
     manifest = write_archives(
         pages, target or work_path(pages.sparkSession, "warc"), id_col, uri_col, payload_col, min_bytes
     )
-    number = lambda c: F.expr(f"try_cast(substr({c}, 10) AS {kind.simpleString()})")
     return read_archives(manifest).select(
-        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
-        number("refers_to").alias("refers_to"), "status",
+        _id_of("record_id", kind.simpleString()).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        _id_of("refers_to", kind.simpleString()).alias("refers_to"), "status",
     )
