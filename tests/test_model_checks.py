@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tillwatch.operators import models as m
 from tillwatch.plans import model_queries
 from tillwatch.plans.all_queries import CATALOG
+from tillwatch.plans.feature_queries import fleet_features
+from tillwatch.session import store
 
 SF = "/root/testdata/sf0.001"
 SMALL = m.Sizes(trees=5, tree_depth=5, boosting_rounds=3, cluster_starts=2)
@@ -43,12 +45,19 @@ STUBS = {
 }
 
 
+@pytest.fixture(scope="module")
+def feats(spark):
+    """The features, computed once for all cases."""
+    return store(fleet_features(spark, SF), "test-features")
+
+
 @pytest.mark.parametrize(
     "name, head",
     [("r2_per_fold", "health"), ("train_health", "health"), ("training_summary", "health"), ("train_failure", "failure"),
      ("train_activity", "activity"), ("train_cash", "cash"), ("predict_fleet", "failure")],
 )
-def test_constant_head_is_seen(spark, monkeypatch, name, head):
+def test_constant_head_is_seen(spark, feats, monkeypatch, name, head):
+    monkeypatch.setattr(model_queries, "fleet_features", lambda *_: feats)
     function, stub = STUBS[head]
     made = stub()
     monkeypatch.setattr(m, function, (lambda *a, **k: made))
