@@ -202,31 +202,45 @@ def chunk_tables(faults: DataFrame, kind: str) -> DataFrame:
     schema = _CHUNK.format(id=kind)
     shape = _arrow(schema, faults.sparkSession)
 
-    def solve(key, table):
-        table = table.sort_by("at")
-        initials, found = table["initial"].to_pylist(), table["fault"].to_pylist()
-        turns = [t for t in table["turn"].to_pylist() if t is not None]
+    def solved(rows: list[dict]) -> dict:
+        initials, found = [r["initial"] for r in rows], [r["fault"] for r in rows]
+        turns = [r["turn"] for r in rows if r["turn"] is not None]
         best = derive(list(zip(initials, found)))
         pairs = [(p, q) for p in STATES for q in STATES]
-        row = {
-            "conv_id": key[0].as_py(), "chunk": key[1].as_py(), "blank": found.count(BLANK), "duplicate": found.count(DUPLICATE),
+        return {
+            "conv_id": rows[0]["conv_id"], "chunk": rows[0]["chunk"], "blank": found.count(BLANK), "duplicate": found.count(DUPLICATE),
             "truncated": found.count(TRUNCATED), "illegal": _illegal(zip(initials, initials[1:])), "first": initials[0], "last": initials[-1],
             "low": min(turns, default=None), "high": max(turns, default=None), "turns": len(set(turns)),
             "costs": [best[pq][0] if pq in best else None for pq in pairs], "audits": [best[pq][1] if pq in best else None for pq in pairs],
         }
-        return pa.Table.from_pylist([row], schema=shape)
 
-    chunks = faults.withColumn("chunk", F.shiftright("at", CHUNK_BITS))
-    return chunks.groupBy("conv_id", "chunk").applyInArrow(solve, schema)
+    def solve(batches):
+        out, rows = [], []
+        for new, row in _grouped(batches, "conv_id", "chunk"):
+            if new and rows:
+                out.append(solved(rows))
+                rows = []
+            rows.append(row)
+            if len(out) >= 500:
+                yield pa.RecordBatch.from_pylist(out, schema=shape)
+                out = []
+        if rows:
+            out.append(solved(rows))
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=shape)
+
+    chunks = faults.withColumn("chunk", F.shiftright("at", CHUNK_BITS)).repartition("conv_id", "chunk")
+    return chunks.sortWithinPartitions("conv_id", "chunk", "at").mapInArrow(solve, schema)
 
 
-def _grouped(batches, key: str):
-    """Rows of a sorted stream as dicts, each with a flag: whether its conversation differs from the one before."""
-    before, started = None, False
+def _grouped(batches, *keys: str):
+    """Rows of a sorted stream as dicts, each with a flag: whether its keys differ from those of the row before."""
+    before = None
     for batch in batches:
         for row in batch.to_pylist():
-            yield not started or row[key] != before, row
-            before, started = row[key], True
+            own = tuple(row[k] for k in keys)
+            yield own != before, row
+            before = own
 
 
 def conversation_heads(chunks: DataFrame, kind: str) -> DataFrame:
