@@ -124,6 +124,21 @@ def test_windows_come_from_all_over_the_texts(spark, rng):
     assert sum(len(r["symbols"]) for r in whole) == 1 + sum(len(speller.own.encode(m.split()[0])) * FIT_WORDS for m in marks)
 
 
+@pytest.mark.parametrize("rounds, documents, least, most", [(4, 30, 400, 400), (3, 30, 400, 400), (4, 200, 700, 900), (2, 400, 800, 800)])
+def test_the_rounds_go_through_every_window(spark, monkeypatch, rounds, documents, least, most):
+    """In a large corpus each window once in all, in a small one in every round."""
+    from tillwatch.llm import lm_scoring
+    from tillwatch.llm.lm_scoring import Speller, fit_network
+
+    added, gone = lm_scoring._added, []
+    monkeypatch.setattr(lm_scoring, "_added", lambda parts: (gone.append(sum(n for n, _ in parts)), added(parts))[1])
+    with open(MODEL, "rb") as f:
+        speller = Speller(f.read())
+    docs = frame(spark, [f"a{n} " * (n % 7 + 1) for n in range(400)]).select("doc_id", "text")
+    fit_network(docs, speller, np.arange(speller.end + 1) % 11, 400, documents=documents, rounds=rounds, part=50)
+    assert len(gone) == rounds and min(gone) > 0 and least <= sum(gone) <= most
+
+
 def test_fit_in_groups_learns(spark, rng):
     from tillwatch.llm.lm_scoring import Speller, fit_network
 

@@ -11,10 +11,10 @@ estimate. The count estimate of all other words together is one small number, so
 their products: such a word has the product times the mean of 1 and that number. Over all
 next words and the end these probabilities sum to at most 1. The score is the sum of their logarithms.
 
-Word and piece counts cover every training document. The network is fitted on windows from all over the
-training texts, drawn by a hash of doc_id and window number: one in 64, a number that grows with the
-corpus, or more where the corpus is small. Tasks fit parts of them side by side, and the weights are
-averaged after each round.
+Word and piece counts cover every training document, and the network is fitted on all their windows. A hash of
+doc_id and window number deals them to the rounds: each window is gone through in one round at least, in every
+one where the corpus is small. Tasks fit parts of a round side by side, and the weights are averaged
+after it.
 
 Defined results
     null or empty text     the end alone is scored
@@ -41,14 +41,14 @@ from tillwatch.llm.common import forget, id_crc, stored, text_slices, words_of
 CLASSES = 256
 SHARED_CLASSES = 32
 FIT_WORDS = 128  # words of a window that the network is fitted on
-FIT_SHARE = 1 / 64  # of all windows
-FIT_DOCUMENTS = 4096  # windows at least, where there are so many
+FIT_DOCUMENTS = 4096  # windows of a round at least, where there are so many
 FIT_PART = 1024  # windows that one task goes through in a round
 FREQUENT_WORDS = 200_000  # words whose counts and spellings are broadcast; the others are joined
 SMALL = 0.1
 _LOG2 = np.log2(10)
 _SLICE = 1 << 21
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_PLACES = 1 << 31  # of draws on the circle that the rounds share
 
 _SPELLERS: dict[int, SentencePieceProcessor] = {}
 
@@ -156,14 +156,16 @@ def count_pieces(words: DataFrame, speller: Speller) -> np.ndarray:
     return counts
 
 
-def drawn_windows(train: DataFrame, speller: Speller, of: np.ndarray, share: float) -> DataFrame:
+def drawn_windows(train: DataFrame, speller: Speller, of: np.ndarray, share: float, known: pa.Array | None = None) -> DataFrame:
     """(draw, symbols) of the windows of ``FIT_WORDS`` words that the hash of doc_id and window number draws,
-    from (doc_id, text) rows. The end belongs to a text's last window."""
-    shared = train.sparkSession.sparkContext.broadcast((speller, of))
+    from (doc_id, text) rows. The end belongs to a text's last window. The words in ``known`` are spelled once."""
+    known = pa.array([], pa.string()) if known is None else known
+    shared = train.sparkSession.sparkContext.broadcast((speller, of, known, *speller.spell(known)))
     below = np.uint64(min(2**64 - 1, int(share * 2**64)))
 
     def draw(batches):
-        speller, of = shared.value
+        speller, of, known, known_flat, known_n = shared.value
+        known_n = np.append(known_n, 0)  # the last one stands for words that are not known
         for batch in batches:
             ids = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
             for start, part in text_slices(batch.column(1), _SLICE):
@@ -183,7 +185,9 @@ def drawn_windows(train: DataFrame, speller: Speller, of: np.ndarray, share: flo
                 n = np.minimum(at[1:][text] - first, FIT_WORDS)
                 bounds = np.concatenate([[0], np.cumsum(n)])
                 place = np.repeat(first - bounds[:-1], n) + np.arange(bounds[-1])
-                flat, own, _ = speller.texts(words.take(pa.array(place)).dictionary_encode(), bounds)
+                coded = words.take(pa.array(place)).dictionary_encode()
+                number_of = pc.fill_null(pc.index_in(coded.dictionary, value_set=known), -1).to_numpy()
+                flat, own, _ = speller.texts(coded, bounds, speller.spell_some(coded.dictionary, number_of, known_flat, known_n))
                 kept = np.ones(len(flat), bool)
                 kept[own[1:][~last] - 1] = False
                 at_kept = np.concatenate([[0], np.cumsum(kept)])[own]
@@ -195,15 +199,16 @@ def drawn_windows(train: DataFrame, speller: Speller, of: np.ndarray, share: flo
 
 
 def fit_network(train: DataFrame, speller: Speller, of: np.ndarray, windows: int, documents: int = FIT_DOCUMENTS,
-                rounds: int = 4, part: int = FIT_PART, **sizes) -> Attention:
-    """Fit the class model on drawn windows of all training texts, about ``windows`` or fewer: a fixed share of them, or as much as gives about
-    ``documents`` windows where that is more. In each round groups of about ``part`` windows start from the
-    same weights, each is gone through once, and the weights' mean, by windows, begins the next round."""
+                rounds: int = 4, part: int = FIT_PART, known: pa.Array | None = None, **sizes) -> Attention:
+    """Fit the class model on all windows of the training texts, about ``windows`` or fewer. A round goes through an equal share
+    of them, or through about ``documents`` where that is more; together the rounds go through all. In each round groups of about
+    ``part`` windows start from the same weights, and the weights' mean, by windows, begins the next round."""
     model = Attention(int(of.max()) + 1, **sizes)
-    share = min(1.0, max(FIT_SHARE, documents / max(1, windows)))
-    groups = max(1, round(windows * share / part))
+    step = _PLACES // rounds
+    width = max(_PLACES - (rounds - 1) * step, min(_PLACES, int(np.ceil(documents / max(1, windows) * _PLACES))))
+    groups = max(1, round(windows * width / _PLACES / part))
     # Rows that repeat a doc_id share their draws, so the partition they come from has a say in the slot as well.
-    drawn = drawn_windows(train, speller, of, share)
+    drawn = drawn_windows(train, speller, of, 1.0, known)
     drawn = drawn.withColumn("slot", F.pmod(F.xxhash64("draw", F.spark_partition_id()), F.lit(groups)).cast("int"))
     drawn = stored(drawn, "lm-windows")
     context, few = train.sparkSession.sparkContext, int(np.ceil(np.sqrt(groups)))
@@ -232,7 +237,8 @@ def fit_network(train: DataFrame, speller: Speller, of: np.ndarray, windows: int
             n, weights = _added([(table["windows"][i].as_py(), table["weights"][i].as_py()) for i in order])
             return pa.table([pa.array([min(slots)], pa.int32()), [n], [pickle.dumps(weights)]], names=["slot", "windows", "weights"])
 
-        fitted = drawn.groupBy("slot").applyInArrow(fit, schema)
+        due = F.pmod(F.shiftrightunsigned("draw", 33) - nth * step, F.lit(_PLACES)) < width
+        fitted = drawn.filter(due).groupBy("slot").applyInArrow(fit, schema)
         sums = fitted.groupBy(F.pmod("slot", F.lit(few))).applyInArrow(add, schema).collect()  # about sqrt(groups) rows
         if not sums:
             break
@@ -274,9 +280,10 @@ def score_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", te
     counts[speller.end] = n_train
     of, share = piece_classes(counts, end=speller.end)
     drawn_from = rows.filter(~F.col("held_out")).select("doc_id", "text")
-    network = fit_network(drawn_from, speller, of, n_train + (sums["n"] or 0) // FIT_WORDS, documents, rounds=epochs, **sizes)
     top = words.orderBy(F.desc("c"), "word").limit(frequent).toArrow()
     known = top["word"].combine_chunks()
+    windows = n_train + (sums["n"] or 0) // FIT_WORDS
+    network = fit_network(drawn_from, speller, of, windows, documents, rounds=epochs, known=known, **sizes)
     shared = spark.sparkContext.broadcast((speller, of, share, network, known, top["c"].to_numpy(), *speller.spell(known)))
 
     kind = rows.schema["doc_id"].dataType.simpleString()
