@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -138,6 +139,18 @@ def test_distance_join_equals_brute_force(spark, centre, radius):
     assert {r["atm_id"] for r in collect(one)} == {b for a, b in want if a == "p0"}
 
 
+def test_distance_join_deals_pairs_of_one_cell_to_tasks(spark):
+    """All in one cell: its points go to several partitions, every pair is there once, and copies of rows stay."""
+    rng = random.Random(2)
+    place = lambda: (17.901 + rng.uniform(0, 0.01), -76.889 + rng.uniform(0, 0.01))
+    m = spark.createDataFrame([(f"m{i}", *place()) for i in range(200)], "atm_id string, lat double, lng double")
+    p = spark.createDataFrame([(f"p{i % 90}", 17.905, -76.885) for i in range(100)], "point_id string, point_lat double, point_lng double")
+    found = geo.near_points(m, p, part_pairs=1000, cell_machines=50).withColumn("task", F.spark_partition_id()).collect()
+    pairs = Counter((r["point_id"], r["atm_id"]) for r in found)
+    assert len(found) == 100 * 200 and len(pairs) == 90 * 200 and set(pairs.values()) == {1, 2}
+    assert len({r["task"] for r in found}) > 2 and sum(r["task"] == found[0]["task"] for r in found) < len(found) / 2
+
+
 def test_kpis_of_an_empty_fleet(spark):
     rows = spark.createDataFrame([], "atm_id string, health_score double, cash_stress_indicator double, "
                                      "failure_probability double, operational_status string")
