@@ -140,3 +140,15 @@ def test_service_time_of_day_rounds_down(spark):
 
 def test_empty_frame(spark):
     assert features(one_row(spark).limit(0)).count() == 0
+
+
+def test_wide_projections_are_compiled_under_default_settings(spark):
+    """Generated methods of more than 8,000 bytes stay interpreted; a session's own limit is kept."""
+    limit, before = "spark.sql.codegen.hugeMethodLimit", spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    try:
+        for given, kept in (("65535", "8000"), ("20000", "20000")):
+            spark.conf.set(limit, given)
+            features(fleet_days(spark, 3, 1)).count()
+            assert spark.conf.get(limit) == kept
+    finally:
+        spark.conf.set(limit, before)
