@@ -220,3 +220,27 @@ def test_scores_are_those_of_the_forward_pass():
         for batch in (1, 7, 512):
             assert np.allclose(model.score(symbols, bounds, batch), want, atol=1e-4)
     assert len(model.score(np.zeros(0, np.int64), np.array([0, 0]))) == 0
+
+
+def test_gradients_are_summed_by_symbol():
+    rng, model = np.random.default_rng(5), Attention(9, width=6, keys=3, hidden=5, context=6, stride=4)
+    inputs, a, b = rng.integers(0, 8, (7, 6)), rng.standard_normal((7, 6, 3)), rng.standard_normal((7, 6, 2))
+    for n in (7, 0):
+        for got, given in zip(model._by_symbol(inputs[:n], a[:n], b[:n]), (a[:n], b[:n])):
+            want = np.zeros((10, given.shape[2]))
+            np.add.at(want, inputs[:n].ravel(), given.reshape(-1, given.shape[2]))
+            assert np.allclose(got, want)
+
+
+def test_fit_moves_the_weights_as_adam_does_for_each_of_them():
+    rng, sizes = np.random.default_rng(6), dict(width=6, keys=3, hidden=5, context=6, stride=4)
+    symbols, bounds = rng.integers(0, 9, 60), np.array([0, 25, 60])
+    model, plain = Attention(9, **sizes), Attention(9, **sizes)
+    inputs, valid, targets, scored = plain.windows(symbols, bounds)
+    order, rate = np.random.default_rng(7).permutation(len(inputs)), 4e-3
+    _, g = plain.gradients(inputs[order], valid[order], symbols[targets[order]], scored[order])
+    model.fit(symbols, bounds, 1, batch=len(inputs), rate=rate)
+    assert {k: v.shape for k, v in model.weights.items()} == {k: v.shape for k, v in plain.weights.items()}
+    for k, d in g.items():
+        step = rate * (1 - 1 / 2 + 0.02) * d / (np.abs(d) + 1e-8)
+        assert np.allclose(model.weights[k], plain.weights[k] - step, atol=1e-5), k

@@ -42,6 +42,11 @@ def product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return out
 
 
+def _each(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``x @ w`` for windows x places x width: products of many rows instead of one per window."""
+    return product(x.reshape(-1, x.shape[2]), w).reshape(*x.shape[:2], w.shape[1])
+
+
 class Attention:
     def __init__(self, symbols: int, seed: int = 42, **sizes):
         self.sizes = DEFAULTS | sizes
@@ -77,28 +82,30 @@ class Attention:
         inputs = np.where(seen < 0, self.start, symbols[at] if len(symbols) else 0)
         return inputs, valid, np.where(scored, bounds[:-1][text][:, None] + place, 0), scored
 
-    def _mask(self, valid: np.ndarray) -> np.ndarray:
-        """What is added to the attention scores: distance bias, and a low number for what lies ahead or
-        before the text."""
+    def _bias(self) -> np.ndarray:
+        """What is added to the attention scores by distance: a low number for what lies ahead."""
         t, s = self.sizes["context"], self.sizes["stride"]
-        back = (np.arange(t - s, t)[:, None] - np.arange(t)[None, :])
-        bias = np.where(back >= 0, self.weights["near"][np.maximum(back, 0)], _LOW)
-        return np.where(valid[:, None, :], bias[None], _LOW)
+        back = np.arange(t - s, t)[:, None] - np.arange(t)[None, :]
+        return np.where(back >= 0, self.weights["near"][np.maximum(back, 0)], _LOW)
 
     def forward(self, inputs: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
         w, s = self.weights, self.sizes["stride"]
-        x = w["embed"][inputs]
-        own = x[:, -s:]
-        q, k, v = own @ w["query"], x @ w["key"], x @ w["value"]
-        a = q @ k.transpose(0, 2, 1) * np.float32(self.sizes["keys"] ** -0.5) + self._mask(valid)
+        own = w["embed"].take(inputs[:, -s:], axis=0)
+        q = (w["embed"] @ w["query"]).take(inputs[:, -s:], axis=0)  # queries, keys and values depend on the symbol alone
+        k, v = (w["embed"] @ w[name] for name in ("key", "value"))
+        k, v = k.take(inputs, axis=0), v.take(inputs, axis=0)
+        a = q @ k.transpose(0, 2, 1)
+        a *= np.float32(self.sizes["keys"] ** -0.5)
+        a += self._bias()
+        a += np.where(valid, np.float32(0), _LOW)[:, None, :]
         a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
         a /= a.sum(axis=2, keepdims=True)
         mid = own + a @ v
-        pre = mid @ w["hidden"] + w["hidden0"]
+        pre = _each(mid, w["hidden"]) + w["hidden0"]
         act = np.maximum(pre, 0)
-        top = mid + act @ w["back"]
-        return {"x": x, "own": own, "q": q, "k": k, "v": v, "a": a, "mid": mid, "act": act, "top": top}
+        top = mid + _each(act, w["back"])
+        return {"own": own, "q": q, "k": k, "v": v, "a": a, "mid": mid, "act": act, "top": top}
 
     def score(self, symbols: np.ndarray, bounds: np.ndarray, batch: int = 512) -> np.ndarray:
         """The natural log probability of every symbol, as in ``forward``.
@@ -115,8 +122,7 @@ class Attention:
         query = np.hstack([embed @ w["query"] * scale, column(1, 1)])
         key = np.hstack([embed @ w["key"], column(0, _LOW)])
         value = np.hstack([embed @ w["value"], column(1, 1)])
-        back = np.arange(t - s, t)[:, None] - np.arange(t)[None, :]
-        bias = np.where(back >= 0, w["near"][np.maximum(back, 0)], _LOW).astype(np.float32)
+        bias = self._bias().astype(np.float32)
 
         n = np.diff(bounds)
         lead = -(-(t - s) // s) * s
@@ -168,13 +174,20 @@ class Attention:
         """Mean loss of a batch of windows and its gradients; ``symbols`` are the target symbols."""
         w, s = self.weights, self.sizes["stride"]
         f = self.forward(inputs, valid)
-        top = f["top"][scored]
-        own = symbols[scored]
-        rows, n = np.arange(len(own)), max(1, len(own))
-        group, member = np.divmod(own, self.members)
+        group, member = np.divmod(symbols[scored], self.members)
+        order = np.argsort(group.astype(np.min_scalar_type(self.groups)), kind="stable")  # rows of one group stand together
+        place, group, member = np.flatnonzero(scored)[order], group[order], member[order]
+        top = f["top"].reshape(-1, f["top"].shape[2]).take(place, axis=0)
+        rows, n = np.arange(len(place)), max(1, len(place))
+        ends = np.cumsum(np.bincount(group, minlength=self.groups)).tolist()
+        parts = [
+            (slice(a, b), slice(k * self.members, (k + 1) * self.members)) for k, (a, b) in enumerate(zip([0, *ends], ends)) if a < b
+        ]
         first = _softmax(top @ w["group"] + w["group0"])
-        columns = w["out"].T.reshape(self.groups, self.members, -1)[group]  # each row's own group
-        second = _softmax((columns @ top[:, :, None])[:, :, 0] + w["out0"].reshape(self.groups, -1)[group])
+        second = np.empty((len(place), self.members), top.dtype)
+        for some, own in parts:
+            second[some] = top[some] @ w["out"][:, own] + w["out0"][own]
+        second = _softmax(second)
         chance = first[rows, group].astype(np.float64) * second[rows, member]
         loss = float(-np.log(np.maximum(chance, 1e-30)).sum() / n)
         first[rows, group] -= 1
@@ -183,17 +196,18 @@ class Attention:
         second /= n
         g: dict[str, np.ndarray] = {"group": top.T @ first, "group0": first.sum(axis=0)}
         g["out"], g["out0"] = np.zeros_like(w["out"]), np.zeros_like(w["out0"])
-        for k in np.unique(group).tolist():
-            some, place = group == k, slice(k * self.members, (k + 1) * self.members)
-            g["out"][:, place] = top[some].T @ second[some]
-            g["out0"][place] = second[some].sum(axis=0)
+        d_scored = first @ w["group"].T
+        for some, own in parts:
+            g["out"][:, own] = top[some].T @ second[some]
+            g["out0"][own] = second[some].sum(axis=0)
+            d_scored[some] += second[some] @ w["out"][:, own].T
         d_top = np.zeros_like(f["top"])
-        d_top[scored] = first @ w["group"].T + (second[:, None, :] @ columns)[:, 0]
+        d_top.reshape(-1, d_top.shape[2])[place] = d_scored
         flat = lambda m: m.reshape(-1, m.shape[-1])
-        d_act = d_top @ w["back"].T * (f["act"] > 0)
+        d_act = _each(d_top, w["back"].T) * (f["act"] > 0)
         g["back"] = flat(f["act"]).T @ flat(d_top)
         g["hidden"], g["hidden0"] = flat(f["mid"]).T @ flat(d_act), flat(d_act).sum(axis=0)
-        d_mid = d_top + d_act @ w["hidden"].T
+        d_mid = d_top + _each(d_act, w["hidden"].T)
         d_a = d_mid @ f["v"].transpose(0, 2, 1)
         d_v = f["a"].transpose(0, 2, 1) @ d_mid
         d_logit = f["a"] * (d_a - (d_a * f["a"]).sum(axis=2, keepdims=True))
@@ -202,14 +216,24 @@ class Attention:
         g["near"] = np.bincount(back[back >= 0], d_logit.sum(axis=0)[back >= 0], t).astype(np.float32)
         d_logit *= np.float32(self.sizes["keys"] ** -0.5)
         d_q, d_k = d_logit @ f["k"], d_logit.transpose(0, 2, 1) @ f["q"]
-        g["query"], g["key"] = flat(f["own"]).T @ flat(d_q), flat(f["x"]).T @ flat(d_k)
-        g["value"] = flat(f["x"]).T @ flat(d_v)
-        d_x = d_k @ w["key"].T + d_v @ w["value"].T
-        d_x[:, -s:] += d_mid + d_q @ w["query"].T
-        g["embed"] = np.zeros_like(w["embed"])
-        np.add.at(g["embed"], inputs.ravel(), flat(d_x))
+        d_key, d_value = self._by_symbol(inputs, d_k, d_v)
+        g["embed"], d_query = self._by_symbol(inputs[:, -s:], d_mid, d_q)
+        for name, d in ("query", d_query), ("key", d_key), ("value", d_value):
+            g[name] = w["embed"].T @ d
+            g["embed"] += d @ w[name].T
         return loss, g
 
+    def _by_symbol(self, inputs: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sums of ``a`` and of ``b`` (windows x places x width) over all places of each symbol."""
+        both = np.concatenate([a, b], axis=2).reshape(-1, a.shape[2] + b.shape[2])
+        symbols = inputs.ravel().astype(np.min_scalar_type(self.start))
+        total = np.zeros((self.start + 1, both.shape[1]), both.dtype)
+        n = np.bincount(symbols, minlength=len(total))
+        if used := np.flatnonzero(n).tolist():
+            order = np.argsort(symbols, kind="stable")
+            total[used] = np.add.reduceat(both.take(order, axis=0), (np.cumsum(n) - n)[used], axis=0)
+        return total[:, : a.shape[2]], total[:, a.shape[2] :]
+
     def fit(self, symbols: np.ndarray, bounds: np.ndarray, epochs: int = 4, batch: int = 64, rate: float = 4e-3,
             seed: int = 7) -> list[float]:
         """Adam over all windows; returns the mean loss of each epoch."""
@@ -217,8 +241,10 @@ class Attention:
         if not len(inputs):
             return []
         rng = np.random.default_rng(seed)
-        first = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        second = {k: np.zeros_like(v) for k, v in self.weights.items()}
+        every = np.concatenate([v.ravel() for v in self.weights.values()])  # all weights in one row, which the model's are views of
+        ends = np.cumsum([v.size for v in self.weights.values()]).tolist()
+        self.weights = {k: every[b - v.size : b].reshape(v.shape) for (k, v), b in zip(self.weights.items(), ends)}
+        first, second = np.zeros_like(every), np.zeros_like(every)
         losses, step = [], 0
         total = epochs * -(-len(inputs) // batch)
         for _ in range(epochs):
@@ -229,10 +255,10 @@ class Attention:
                 mean.append(loss)
                 step += 1
                 now = rate * (1 - step / (total + 1)) + rate * 0.02
-                for k, d in g.items():
-                    first[k] += 0.1 * (d - first[k])
-                    second[k] += 0.01 * (d * d - second[k])
-                    m, v = first[k] / (1 - 0.9**step), second[k] / (1 - 0.99**step)
-                    self.weights[k] -= (now * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
+                d = np.concatenate([g[k].ravel() for k in self.weights])
+                first += 0.1 * (d - first)
+                second += 0.01 * (d * d - second)
+                m, v = first / (1 - 0.9**step), second / (1 - 0.99**step)
+                every -= (now * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
             losses.append(float(np.mean(mean)))
         return losses
