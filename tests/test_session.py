@@ -62,3 +62,14 @@ def test_storing_queries_run_on_a_cluster(named, name, monkeypatch):
     small = Sizes(trees=5, tree_depth=5, boosting_rounds=3, cluster_starts=2)
     monkeypatch.setattr(model_queries, "train", functools.partial(train, sizes=small))
     assert differences(named, duck(SF), CATALOG[name], SF) == []
+
+
+OTHERS = [
+    "features_all_readings", "scan_logs", "scan_maintenance", "scan_metadata", "scan_raw",
+    "scan_transactions", "stream_daily_late", "stream_features", "stream_ingest",
+]
+
+
+@pytest.mark.parametrize("name", OTHERS)
+def test_the_other_storing_queries_run_on_a_cluster(named, name):
+    assert differences(named, duck(SF), CATALOG[name], SF) == []
