@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from frames import collect, fleet_days, one_row
+from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import functions as F
 
 from tillwatch.operators import labels, models
@@ -55,6 +56,24 @@ def test_noise_has_its_size(spark):
     assert s[2] == pytest.approx(0.02, abs=0.005) and s[3] == pytest.approx(50, abs=0.1)
 
 
+def test_the_health_forest_is_fitted_in_parts_of_bounded_size(spark, labelled, monkeypatch):
+    """The task that stores a model holds all nodes of its trees; one of 200 full trees is too large for a cluster."""
+    rows = models.model_input(labelled)
+    for most, want in ((1 << 19, [20, 20, 5]), (120 * 8, [8] * 5 + [5]), (1, [1] * 45)):
+        monkeypatch.setattr(models, "FOREST_TREE_ROWS", most, raising=False)
+        model = models.health_estimator(models.Sizes(trees=45, tree_depth=3)).fit(rows)
+        forests = [s for s in model.stages if isinstance(s, RandomForestRegressionModel)]
+        assert [f.getNumTrees for f in forests] == want
+        if len(want) < 10:
+            scored = model.transform(rows).select("_health_x", "_health_pred").limit(5).collect()
+            trees = [tree for f in forests for tree in f.trees]
+            assert len({tree.toDebugString for tree in trees}) > 30  # no part repeats another one
+            for r in scored:
+                assert r["_health_pred"] == pytest.approx(np.mean([tree.predict(r["_health_x"]) for tree in trees]))
+        assert sum(models.FleetModels(health=model).health_importances().values()) == pytest.approx(1)
+        assert "_health_pred_0" not in model.transform(rows).columns
+
+
 def test_train_store_load_score(spark, labelled):
     trained = models.train(labelled, SMALL)
     assert trained.metrics["rows_trained"] == 120 and not trained.metrics["used_real_labels"]

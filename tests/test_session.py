@@ -73,3 +73,13 @@ OTHERS = [
 @pytest.mark.parametrize("name", OTHERS)
 def test_the_other_storing_queries_run_on_a_cluster(named, name):
     assert differences(named, duck(SF), CATALOG[name], SF) == []
+
+
+@pytest.mark.parametrize("name", ["predict_fleet", "r2_per_fold"])
+def test_queries_with_a_forest_in_parts_run_on_a_cluster(named, name, monkeypatch):
+    """Its parts are fitted, stored, loaded and averaged; the figures of small models need not reach the least skill."""
+    small = Sizes(trees=25, tree_depth=6, boosting_rounds=3, cluster_starts=2)
+    monkeypatch.setattr(model_queries, "train", functools.partial(train, sizes=small))
+    monkeypatch.setattr(model_queries, "LEAST_SKILL", dict.fromkeys(model_queries.LEAST_SKILL, -1e9))
+    monkeypatch.setattr(model_queries, "LEAST_FOLD_R2", -1e9)
+    assert differences(named, duck(SF), CATALOG[name], SF) == []
