@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tillwatch.operators import labels, models
 from tillwatch.operators.features import features
 from tillwatch.operators.ordering import row_positions, running_offsets
-from tillwatch.session import work_path
+from tillwatch.session import work_path, workspace
 
 SMALL = models.Sizes(trees=5, tree_depth=4, boosting_rounds=3, cluster_starts=2, lasso_alphas=20)
 AS_OF = "2026-02-09"
@@ -92,6 +92,44 @@ def test_train_store_load_score(spark, labelled):
         assert r["activity_level"] in {"Low", "Moderate", "High"} and 0 <= r["days_to_depletion"] <= 1
 
 
+def test_a_large_forest_is_stored_and_scored_in_parts(spark, labelled, monkeypatch):
+    """The driver holds no more than a pass of it; a forest that it holds whole gives the same figures."""
+    rows, sizes = models.model_input(labelled), models.Sizes(trees=45, tree_depth=6)
+    whole = models.health_estimator(sizes).fit(rows)
+    monkeypatch.setattr(models, "FOREST_HELD", 0)
+    monkeypatch.setattr(models, "FOREST_NODES", 1)
+    monkeypatch.setattr(models, "FOREST_TREE_ROWS", 120 * 20)
+    path, predictions = work_path(spark, "forest-test"), []
+    with workspace(spark):
+        model = models.health_estimator(sizes).fit(rows)
+        assert not [s for s in model.stages if isinstance(s, RandomForestRegressionModel)]
+        assert [[p.trees for p in some] for some in model.stages[-1].passes()] == [[20], [20], [5]]
+        monkeypatch.setattr(models, "FOREST_NODES", sum(p.nodes for p in model.stages[-1].parts[:2]))
+        assert [[p.trees for p in some] for some in model.stages[-1].passes()] == [[20, 20], [5]]
+        models.FleetModels(health=model).save(path)
+        predictions += [collect(model.transform(rows), "atm_id", "record_date")]
+    loaded = models.FleetModels.load(spark, path)
+    assert loaded.health_importances() == models.FleetModels(health=whole).health_importances()
+    predictions += [collect(m.transform(rows), "atm_id", "record_date") for m in (loaded.health, whole)]
+    for r in zip(*predictions):
+        assert r[0]["_health_pred"] == r[1]["_health_pred"] == pytest.approx(r[2]["_health_pred"], abs=1e-12)
+    assert len(predictions[0]) == 120 and list(predictions[0][0]) == list(predictions[2][0])
+    rows = labelled.union(labelled).union(labelled.filter("false"))  # repeated rows are scored one by one
+    assert loaded.health.transform(models.model_input(rows)).count() == 240
+    assert loaded.health.transform(models.model_input(labelled.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("held", [0, 1 << 20])
+def test_heads_in_parts_give_records(spark, labelled, monkeypatch, held):
+    monkeypatch.setattr(models, "FOREST_HELD", held)
+    trained = models.train(labelled, SMALL, score=False)
+    got = collect(models.predict_fleet(features(fleet_days(spark)), AS_OF, trained), "atm_id")
+    assert len(got) == 3 and all(0 <= r["health_score"] <= 100 for r in got)
+    by_fold = models.train(labelled, SMALL, heads=("health",)).metrics["r2_by_fold"]
+    assert set(by_fold) == {1, 2, 3, 4, 5} and all(v <= 1 for v in by_fold.values())
+    assert models.skill(trained, labelled, "health") > 0.3
+
+
 def test_one_class_skips_the_failure_model(spark, labelled):
     trained = models.train(labelled.withColumn("y_failure", F.lit(0)), SMALL, heads=("failure",))
     assert trained.failure is None
