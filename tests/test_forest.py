@@ -119,3 +119,23 @@ def test_rows_without_a_label_are_refused(spark):
     rows = _rows(spark, 20).withColumn("y_health", F.when(F.col("id") > 3, F.col("y_health")))
     with pytest.raises(ValueError, match="4 of 20"):
         models.health_estimator(models.Sizes(trees=2)).fit(rows)
+
+
+def _jobs(spark, name, call):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        result = call()
+        return result, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_a_fit_and_a_score_are_a_few_jobs(spark, monkeypatch):
+    """However deep the trees are; fits by levels took a job or more per level and part, for each of the folds anew."""
+    monkeypatch.setattr(models, "FOREST_HELD", 0)
+    monkeypatch.setattr(models, "FOREST_TREE_ROWS", 1)
+    rows = _rows(spark, 1200).cache()
+    model, jobs = _jobs(spark, "fit", lambda: models.health_estimator(models.Sizes(trees=12)).fit(rows))
+    assert jobs < 25 and max(p.nodes for p in model.stages[-1].parts) > 500
+    _, jobs = _jobs(spark, "score", lambda: model.transform(rows))
+    assert jobs <= 2  # the trees are loaded; the rows wait until they are asked for
