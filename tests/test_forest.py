@@ -89,10 +89,14 @@ def test_the_forest_predicts_new_rows_as_well_as_sparks(spark):
     sizes = models.Sizes(trees=30, tree_depth=12)
     own = models.health_estimator(sizes).fit(known)
     prepared = [own.stages[1].transform(own.stages[0].transform(rows)) for rows in (known, new)]
-    sparks = RandomForestRegressor(featuresCol="_health_x", labelCol="y_health", predictionCol="_health_pred", numTrees=30, maxDepth=12,
-                                   maxBins=32, featureSubsetStrategy="all", seed=1).fit(prepared[0])
-    assert _error(own, known) < 1.15 * _error(sparks, prepared[0])
-    assert _error(own, new) < 1.25 * _error(sparks, prepared[1])
+    spark_errors = []
+    for seed in (1, 11):  # one seed's error on new rows is up to a third above another's
+        sparks = RandomForestRegressor(featuresCol="_health_x", labelCol="y_health", predictionCol="_health_pred", numTrees=30, maxDepth=12,
+                                       maxBins=32, featureSubsetStrategy="all", seed=seed).fit(prepared[0])
+        spark_errors.append([_error(sparks, rows) for rows in prepared])
+    on_known, on_new = np.mean(spark_errors, axis=0)
+    assert _error(own, known) < 1.15 * on_known
+    assert _error(own, new) < 1.25 * on_new
 
 
 def test_a_forest_does_not_hang_on_partitions_or_tasks(spark, monkeypatch):
